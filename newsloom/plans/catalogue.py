@@ -1,10 +1,695 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL.
+
+The tables hold invented prose, so the queries use dictionaries that fit it; the operators' defaults are in
+functions.lexicons. Articles are the view `articles` over documents; all windows look back from AS_OF.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, text, urls
+from ..operators import advantages, articles, evidence, metrics, reports, search, tagging, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+AS_OF = "2024-03-31 00:00:00"
+TOPICS = {"T1": ["tion"], "T2": ["that"], "T3": ["with"], "T4": ["this", "those"], "T5": ["ment"], "T6": ["keit"]}
+PLACES = {"north": ["onth", "onst"], "south": ["erea", "ionn"], "west": ["ouer"]}
+FORMATS = {"guide": ["reation", "thing"], "report": ["enough", "ander"], "news": ["ation", "erin"], "review": ["heit", "ción"]}
+SIGNALS = ["hand", "ther", "ment"]
+SERIES = ["tion", r"\bthe\b", "ing"]
+
+ART = """art AS (SELECT substr(sha256(lower(source) || '|' || CAST(doc_id AS VARCHAR)), 1, 16) AS article_id, doc_id, source, split_part(text, chr(10), 1) AS title, substr(text, 1, 300) AS summary, text AS content,
+  CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'internal' ELSE 'competitor' END AS category, source IN ('src1', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8') AS is_affiliate,
+  TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 90 AS INTEGER)) + to_hours(doc_id * 7 % 24) AS published, 'https://' || source || '.example.com/' || CAST(doc_id AS VARCHAR) AS link FROM documents),
+  win AS (SELECT *, category AS corpus FROM art WHERE published BETWEEN TIMESTAMP '2024-03-01 00:00:00' AND TIMESTAMP '2024-03-31 00:00:00')"""
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def corpus_view(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 90).cast("int"), (F.col("doc_id") * 7 % 24).cast("int"))
+    return d.select(
+        F.substring(F.sha2(F.concat(F.lower("source"), F.lit("|"), F.col("doc_id").cast("string")), 256), 1, 16).alias("article_id"), "doc_id", "source", F.substring_index("text", "\n", 1).alias("title"),
+        F.substring("text", 1, 300).alias("summary"), F.col("text").alias("content"), F.when(F.col("source").isin("src0", "src1", "src2"), F.lit("internal")).otherwise(F.lit("competitor")).alias("category"),
+        F.col("source").isin("src1", *[f"src{i}" for i in range(3, 9)]).alias("is_affiliate"), at.alias("published"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("link"),
+    )
+
+
+def window(spark: SparkSession, sf: str, days: int = 30) -> DataFrame:
+    """Articles of the closed window with their corpus."""
+    return corpus_view(spark, sf).where(dates.closed(F.col("published"), AS_OF, days)).withColumn("corpus", articles.corpus(F.col("category")))
+
+
+def tagged(spark: SparkSession, sf: str) -> DataFrame:
+    return tagging.tag(window(spark, sf), F.col("content"), TOPICS, "entities")
+
+
+def any_sql(column: str, keywords: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{k}')" for k in keywords) + ")"
+
+
+def tags_sql(column: str, lexicon: dict[str, list[str]]) -> str:
+    """A table of label and condition: SELECT ... UNION ALL over `win`."""
+    return " UNION ALL ".join(f"SELECT article_id, corpus, is_affiliate, '{label}' AS entity FROM win WHERE {any_sql(f'lower({column})', ks)}" for label, ks in lexicon.items())
+
+
+TAGGED = f"WITH {ART}, tags AS ({tags_sql('content', TOPICS)}), tot AS (SELECT count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM win)"
+COVER = TAGGED + """, cov AS (SELECT entity, count(*) FILTER (corpus = 'internal') AS i, count(*) FILTER (corpus = 'competitor') AS c FROM tags GROUP BY entity),
+  pct AS (SELECT entity, i, c, coalesce(round(i * 100.0 / nullif(ni, 0), 2), 0.0) AS internal_pct, coalesce(round(c * 100.0 / nullif(nc, 0), 2), 0.0) AS competitor_pct FROM cov, tot)"""
+
+
+# ---- addresses -------------------------------------------------------------------------------------------------
+
+_URL_PARTS = r"""u AS (SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS b FROM pages),
+  p AS (SELECT page_id, url, regexp_extract(b, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?]*)', 1) AS base, regexp_extract(b, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?]*([^?]*)', 1) AS path, regexp_extract(b, '\?(.*)$', 1) AS query FROM u)"""
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
+
+
+@query(f"""WITH {_URL_PARTS}, k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|fbclid|gclid|mc_cid|mc_eid|ref|source|campaign)'))), '&') AS kept FROM p)
+  SELECT page_id, lower(base) || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM k""")
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
+
+
+@query(f"""WITH {_URL_PARTS}, k AS (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|source|campaign)$')), '&') AS kept FROM p)
+  SELECT page_id, base || path || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM k""")
+def url_strip_tracking(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("url"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host, {_HOST} = 'example.com' OR suffix({_HOST}, '.example.com') AS is_com FROM pages")
+def url_domain(spark, sf):
+    host = urls.domain(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", host.alias("host"), urls.under(host, ["example.com"]).alias("is_com"))
+
+
+@query("SELECT page_id, substr(sha256('feed one|' || url), 1, 16) AS article_id FROM pages")
+def article_ids(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.article_id(F.lit(" Feed   One"), F.col("url")).alias("article_id"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages WHERE NOT ({_HOST} = 'spam-farm.example.org' OR suffix({_HOST}, '.spam-farm.example.org') OR {_HOST} = 'example.net' OR suffix({_HOST}, '.example.net'))")
+def blocklist_filter(spark, sf):
+    d = table(spark, sf, "pages").where(~urls.blocked(F.lit("feed one"), F.col("url"), ["blocked feed"], ["spam-farm.example.org", "example.net"]))
+    return d.select("page_id", urls.domain(F.col("url")).alias("host"))
+
+
+@query("""SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 300) AS summary FROM pages""")
+def html_summary(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html"), 300).alias("summary"))
+
+
+# ---- history ---------------------------------------------------------------------------------------------------
+
+_HIST = ART + """, h AS (SELECT *, doc_id // 3 AS story, strftime(published, '%Y-%m-%d %H:%M') AS published_date, 'k' || CAST(doc_id // 3 AS VARCHAR) AS id, 'https://x.example/' || CAST(doc_id // 2 AS VARCHAR) AS address FROM art)"""
+
+
+def _history(spark, sf):
+    d = corpus_view(spark, sf).withColumn("published_date", F.date_format("published", "yyyy-MM-dd HH:mm"))
+    return d.withColumn("article_id", F.concat(F.lit("k"), F.floor(F.col("doc_id") / 3).cast("string"))).withColumn("link", F.concat(F.lit("https://x.example/"), F.floor(F.col("doc_id") / 2).cast("string"))).withColumn("seq", F.col("doc_id"))
+
+
+@query(f"WITH {_HIST} SELECT id AS article_id, doc_id FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY published_date DESC, doc_id) = 1")
+def dedupe_latest(spark, sf):
+    return articles.latest_by_id(_history(spark, sf)).select("article_id", "doc_id")
+
+
+@query(f"WITH {_HIST}, a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY published_date, doc_id) = 1) SELECT id AS article_id, doc_id FROM a QUALIFY row_number() OVER (PARTITION BY address ORDER BY published_date, doc_id) = 1")
+def dedupe_earliest(spark, sf):
+    return articles.earliest_by_id_and_link(_history(spark, sf)).select("article_id", "doc_id")
+
+
+@query(f"WITH {ART} SELECT title, source, doc_id FROM art QUALIFY row_number() OVER (PARTITION BY title, source ORDER BY published, doc_id) = 1")
+def dedupe_title_source(spark, sf):
+    return articles.keep_first(corpus_view(spark, sf), ["title", "source"], [F.col("published"), F.col("doc_id")]).select("title", "source", "doc_id")
+
+
+@query(f"""WITH {_HIST}, o AS (SELECT *, 0 AS new FROM h WHERE doc_id % 4 < 3), n AS (SELECT *, 1 AS new FROM h WHERE doc_id % 4 > 1), b AS (SELECT * FROM o UNION ALL SELECT * FROM n),
+  a AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY published_date, concat_ws('|', new, id, title), doc_id) = 1),
+  l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY address ORDER BY published_date, concat_ws('|', new, id, title)) = 1)
+  SELECT id AS article_id, published_date FROM l""")
+def history_upsert(spark, sf):
+    d = _history(spark, sf).select("article_id", "source", "title", "link", "published_date", "doc_id").withColumn("run_timestamp", F.lit(None).cast("string")).withColumn("scrape_timestamp", F.lit(None).cast("string"))
+    return articles.upsert(d.where("doc_id % 4 < 3"), d.where("doc_id % 4 > 1"), "2024-04-01 00:00").select("article_id", "published_date")
+
+
+@query(f"WITH {ART} SELECT article_id, doc_id FROM art WHERE published >= TIMESTAMP '2024-02-01' AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def backfill_antijoin(spark, sf):
+    d = corpus_view(spark, sf).where("published >= timestamp_ntz'2024-02-01 00:00:00'")
+    return d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select("article_id", "doc_id")
+
+
+@query(f"WITH {_HIST} SELECT lower(address) AS link, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1")
+def url_duplicates(spark, sf):
+    return articles.url_groups(_history(spark, sf)).select("link", "n")
+
+
+@query(f"""WITH {ART}, m AS (SELECT DISTINCT source, category AS c, is_affiliate AS a FROM art WHERE source < 'src5') SELECT coalesce(c, 'competitor') AS category, coalesce(a, false) AS is_affiliate, count(*) AS n FROM art LEFT JOIN m USING (source) GROUP BY 1, 2""")
+def category_migration(spark, sf):
+    d = corpus_view(spark, sf)
+    by_source = d.where("source < 'src5'").select("source", "category", "is_affiliate").distinct()
+    return articles.recategorise(d, by_source).groupBy("category", "is_affiliate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {ART}, r AS (SELECT article_id, content, row_number() OVER (ORDER BY article_id) - 1 AS row FROM art) SELECT article_id, row, row // 60 AS batch, length(CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END) AS n FROM r""")
+def batches(spark, sf):
+    return articles.batches(corpus_view(spark, sf)).select("article_id", "row", "batch", F.length("content").cast("long").alias("n"))
+
+
+@query(f"WITH {ART} SELECT article_id, title, published FROM art ORDER BY published DESC NULLS LAST, article_id DESC LIMIT 20 OFFSET 20")
+def news_feed_page(spark, sf):
+    return articles.page(corpus_view(spark, sf), [F.col("published").desc_nulls_last(), F.col("article_id").desc()], 2).select("article_id", "title", "published")
+
+
+# ---- windows ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-17 12:00:00'")
+def window_closed(spark, sf):
+    return table(spark, sf, "events").where(dates.closed(F.col("ts"), "2024-01-17 12:00:00", 7)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00'")
+def window_halfopen(spark, sf):
+    return table(spark, sf, "events").where(dates.half_open(F.col("ts"), "2024-01-17 12:00:00", 7)).select("event_id")
+
+
+@query("""SELECT count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '2023-12-26' AND DATE '2024-01-25') AS last_30, count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '2023-10-27' AND DATE '2024-01-25') AS last_90,
+  count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-25') AS ytd, count(*) AS everything, count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09') AS custom FROM events""")
+def window_date_presets(spark, sf):
+    t, at = F.col("ts"), "2024-01-25 08:00:00"
+    c = lambda p, *x: F.count_if(dates.preset(t, at, p, *x))
+    return table(spark, sf, "events").agg(c("last_30").alias("last_30"), c("last_90").alias("last_90"), c("ytd").alias("ytd"), c("all").alias("everything"), c("custom", "2024-01-09", "2024-01-05").alias("custom"))
+
+
+@query(f"WITH {ART} SELECT count(*) AS total, count(*) FILTER (corpus = 'internal') AS internal, count(*) FILTER (corpus = 'competitor') AS competitor, count(*) FILTER (is_affiliate) AS affiliate, min(published) AS first, max(published) AS last, count(DISTINCT source) AS sources FROM win")
+def window_stats(spark, sf):
+    who = lambda c: F.count_if(F.col("corpus") == c)
+    return window(spark, sf).agg(F.count(F.lit(1)).alias("total"), who("internal").alias("internal"), who("competitor").alias("competitor"), F.count_if("is_affiliate").alias("affiliate"), F.min("published").alias("first"), F.max("published").alias("last"), F.count_distinct("source").alias("sources"))
+
+
+@query(f"WITH {ART} SELECT coalesce(category, '(all)') AS category, coalesce(source, '(all)') AS source, count(*) AS n FROM art GROUP BY ROLLUP (category, source)")
+def category_rollup(spark, sf):
+    d = corpus_view(spark, sf).rollup("category", "source").agg(F.count(F.lit(1)).alias("n"))
+    return d.select(F.coalesce("category", F.lit("(all)")).alias("category"), F.coalesce("source", F.lit("(all)")).alias("source"), "n")
+
+
+@query(f"WITH {ART}, c AS (SELECT article_id, source, lower(category) AS x, is_affiliate FROM art) SELECT article_id, x = 'internal' AS named_internal, true AS rest_competitor_or_internal, source IN ('src1','src3','src4','src5','src6','src7','src8') AS affiliate_space FROM c")
+def corpus_rules(spark, sf):
+    d = corpus_view(spark, sf)
+    return d.select("article_id", (articles.corpus(F.col("category"), "named") == "internal").alias("named_internal"), articles.corpus(F.col("category"), "rest").isNotNull().alias("rest_competitor_or_internal"), F.col("is_affiliate").alias("affiliate_space"))
+
+
+# ---- search ----------------------------------------------------------------------------------------------------
+
+_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents({t}), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\bi\s+gaming\b', 'igaming gaming', 'g'), '\be\s+cricket\b', 'ecricket cricket', 'g'), '\be\s+sports?\b', 'esports', 'g'), '\besport\b', 'esports', 'g'), '\s+', ' ', 'g'))"""
+_INDEX = f"WITH {ART}, n AS (SELECT *, {_NORM.format(t='concat_ws(chr(32), trim(title), trim(summary), trim(content))')} AS s FROM art)"
+
+
+def _tok(w: str) -> str:
+    return f"contains(' ' || s || ' ', ' {w} ')"
+
+
+def _word(w: str) -> str:
+    return f"(CASE WHEN (SELECT bool_or({_tok(w)}) FROM n) THEN {_tok(w)} ELSE contains(s, '{w}') END)"
+
+
+@query(f"WITH {ART} SELECT doc_id, {_NORM.format(t='content')} AS norm FROM art")
+def normalize_text(spark, sf):
+    return corpus_view(spark, sf).select("doc_id", text.normalize(F.col("content")).alias("norm"))
+
+
+@query(_INDEX + f" SELECT article_id FROM n WHERE {_word('tion')} AND {_word('bleing')}")
+def search_and(spark, sf):
+    return search.search(corpus_view(spark, sf), "tion and BLEING").select("article_id")
+
+
+@query(_INDEX + f" SELECT article_id FROM n WHERE {_word('tion')} OR {_word('bleing')} OR {_word('nble')}")
+def search_or(spark, sf):
+    return search.search(corpus_view(spark, sf), "tion OR bleing or nble").select("article_id")
+
+
+@query(_INDEX + " SELECT article_id FROM n WHERE contains(s, 'of the')")
+def search_phrase(spark, sf):
+    return search.search(corpus_view(spark, sf), '"of the"').select("article_id")
+
+
+@query(_INDEX + f" SELECT article_id FROM n WHERE (contains(s, 'in the') OR {_word('tion')}) AND {_word('that')}")
+def search_mixed(spark, sf):
+    return search.search(corpus_view(spark, sf), 'or tion that "in the"').select("article_id")
+
+
+@query(_INDEX + f" SELECT article_id FROM n WHERE {_tok('ing')} AND source = 'src3'")
+def search_short_token(spark, sf):
+    return search.search(corpus_view(spark, sf), "ing", sources=["src3"]).select("article_id")
+
+
+@query(_INDEX + f" SELECT * FROM (SELECT 'tion' AS keyword, count(*) AS n FROM n WHERE {_word('tion')} UNION ALL SELECT 'of the', count(*) FROM n WHERE {_tok('of')} AND {_tok('the')} UNION ALL SELECT 'nble', count(*) FROM n WHERE {_word('nble')} UNION ALL SELECT 'zzzz', count(*) FROM n WHERE {_word('zzzz')}) WHERE n > 0")
+def keyword_counts(spark, sf):
+    return search.keyword_counts(corpus_view(spark, sf), ["tion", "of the", "nble", "zzzz"])
+
+
+@query(_INDEX + f", f AS (SELECT article_id FROM n WHERE {_word('tion')} AND published BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-03-31'), w AS (SELECT * FROM n WHERE published BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-03-31'), g AS (SELECT article_id FROM w WHERE CASE WHEN (SELECT bool_or({_tok('tion')}) FROM w) THEN {_tok('tion')} ELSE contains(s, 'tion') END) SELECT coalesce(f.article_id, g.article_id) AS article_id, f.article_id IS NOT NULL AS in_left, g.article_id IS NOT NULL AS in_right FROM f FULL JOIN g ON f.article_id = g.article_id")
+def search_parity(spark, sf):
+    every, part = corpus_view(spark, sf), window(spark, sf)
+    left = search.search(every, "tion").join(part.select("article_id"), "article_id", "left_semi")
+    return search.parity(left, search.search(part, "tion"))
+
+
+@query(_INDEX + ", t AS (SELECT article_id, unnest(list_distinct(list_filter(string_split(s, ' '), lambda x: x <> ''))) AS token FROM n) SELECT token, count(*) AS df FROM t GROUP BY token")
+def postings(spark, sf):
+    return search.postings(search.indexed(corpus_view(spark, sf))).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+# ---- dictionaries ----------------------------------------------------------------------------------------------
+
+
+@query(TAGGED + " SELECT article_id, entity FROM tags")
+def topic_tags(spark, sf):
+    return tagged(spark, sf).select("article_id", F.explode("entities").alias("entity"))
+
+
+@query("SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3")
+def region_lookup(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region").where("r_regionkey < 3")
+    dim = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("n_name").alias("keyword"), F.col("r_name").alias("label"))
+    return tagging.regions_of(n, "n_name", dim).select("n_name", "region")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Construction' ELSE c_mktsegment END AS canonical FROM customer")
+def alias_lookup(spark, sf):
+    dim = spark.createDataFrame([("building", "Construction")], "keyword string, label string")
+    return tagging.canonical_names(table(spark, sf, "customer"), "c_mktsegment", dim).select("c_custkey", "canonical")
+
+
+@query(f"""WITH {ART}, e AS (SELECT unnest(list_distinct(regexp_extract_all(title, '[A-Z][a-z]+'))) AS entity FROM win), c AS (SELECT entity, count(*) AS n FROM e GROUP BY entity ORDER BY n DESC, entity LIMIT 30)
+  SELECT entity, n, CASE WHEN entity = 'The' THEN 'operator' ELSE 'unknown' END AS type, CASE WHEN entity = 'The' THEN 'b2c' ELSE 'unknown' END AS segment, entity = 'And' AS is_sponsor FROM c WHERE n >= 2 ORDER BY n DESC, entity LIMIT 15""")
+def company_radar(spark, sf):
+    d = window(spark, sf).withColumn("companies", F.array_distinct(F.regexp_extract_all("title", F.lit("[A-Z][a-z]+"), F.lit(0))))
+    meta = spark.createDataFrame([("THE", "operator", "b2c")], "name string, type string, primary_segment string")
+    sponsors = spark.createDataFrame([("and",)], "name string")
+    return tagging.radar(metrics.mentions(d, "companies"), meta, sponsors)
+
+
+@query(f"""WITH {ART}, v AS (SELECT source, count(*) FILTER (contains(lower(summary), 'tion') OR contains(lower(summary), 'ment')) AS a, count(*) FILTER (contains(lower(summary), 'ing')) AS b FROM art GROUP BY source)
+  SELECT source, CASE WHEN greatest(a, b) = 0 THEN 'unknown' WHEN a >= b THEN 'supplier' ELSE 'operator' END AS label, greatest(a, b) AS votes, CAST(round(CASE WHEN greatest(a, b) > 0 THEN least(0.9, 0.5 + 0.1 * greatest(a, b)) ELSE 0.3 END, 6) AS DOUBLE) AS confidence FROM v""")
+def company_type_vote(spark, sf):
+    return tagging.vote(corpus_view(spark, sf), "source", "summary", {"supplier": ["tion", "ment"], "operator": ["ing"]})
+
+
+# ---- comparison ------------------------------------------------------------------------------------------------
+
+
+@query(COVER + " SELECT entity, i AS internal, c AS competitor, internal_pct, competitor_pct FROM pct")
+def entity_coverage(spark, sf):
+    return metrics.coverage(tagged(spark, sf)).select("entity", "internal", "competitor", "internal_pct", "competitor_pct")
+
+
+@query(COVER + ", own AS (SELECT entity FROM pct WHERE i > 0 ORDER BY i DESC, entity LIMIT 4) SELECT entity, competitor_pct, CASE WHEN entity IN (SELECT entity FROM own) THEN internal_pct ELSE 0.0 END AS internal_pct FROM pct WHERE c > 0 ORDER BY c DESC, entity LIMIT 5")
+def coverage_comparison(spark, sf):
+    return metrics.top_entities(tagged(spark, sf), 5, 4)
+
+
+@query(COVER + ", g AS (SELECT entity, competitor_pct, internal_pct, round(competitor_pct - internal_pct, 2) AS gap FROM pct) SELECT *, CASE WHEN gap >= 5 AND competitor_pct >= 5 THEN 'High' WHEN gap >= 3 THEN 'Medium' ELSE 'Low' END AS priority FROM g WHERE gap > 0")
+def gap_table(spark, sf):
+    return metrics.gaps(metrics.coverage(tagged(spark, sf)).select("entity", "competitor_pct", "internal_pct"))
+
+
+@query(COVER + " SELECT entity, internal_pct, competitor_pct, round(internal_pct - competitor_pct, 2) AS lead FROM pct WHERE internal_pct > 0 AND round(internal_pct - competitor_pct, 2) > 0 ORDER BY lead DESC, entity LIMIT 3")
+def strengths(spark, sf):
+    return metrics.strengths(metrics.coverage(tagged(spark, sf)), 3).select("entity", "internal_pct", "competitor_pct", "lead")
+
+
+@query(f"WITH {ART}, t AS (SELECT article_id, corpus, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z]{{6,}}'))) AS entity FROM win), c AS (SELECT entity, count(*) FILTER (corpus = 'internal') AS i, count(*) FILTER (corpus = 'competitor') AS c FROM t GROUP BY entity) SELECT entity, c AS competitor FROM c WHERE i = 0 AND c > 0")
+def competitor_only(spark, sf):
+    d = window(spark, sf).withColumn("entities", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{6,}"), F.lit(0))))
+    return metrics.only_theirs(metrics.entity_counts(d))
+
+
+@query(TAGGED + """, c AS (SELECT entity, count(*) FILTER (is_affiliate) AS a, count(*) FILTER (NOT is_affiliate) AS b FROM tags GROUP BY entity), n AS (SELECT count(*) FILTER (is_affiliate) AS na, count(*) FILTER (NOT is_affiliate) AS nb FROM win),
+  p AS (SELECT entity, round(a * 100.0 / na, 2) AS affiliate_pct, round(b * 100.0 / nb, 2) AS other_pct FROM c, n WHERE na > 5 AND nb > 5) SELECT *, round(affiliate_pct - other_pct, 2) AS diff FROM p""")
+def affiliate_comparison(spark, sf):
+    return metrics.affiliate_difference(tagged(spark, sf), "is_affiliate", "entities")
+
+
+def _format_sql(column: str, formats: dict[str, list[str]]) -> str:
+    n = {f: " + ".join(f"CAST(contains({column}, '{k}') AS INTEGER)" for k in ks) for f, ks in formats.items()}
+    top = "greatest(" + ", ".join(n.values()) + ")"
+    return f"CASE WHEN {top} = 0 THEN 'news' " + " ".join(f"WHEN {c} = {top} THEN '{f}'" for f, c in n.items()) + " END"
+
+
+_FMT = f"WITH {ART}, f AS (SELECT *, {_format_sql('lower(summary)', FORMATS)} AS article_format FROM win), tot AS (SELECT count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM win)"
+
+
+@query(_FMT + """, k AS (SELECT unnest(['guide', 'report', 'news', 'review']) AS format), c AS (SELECT article_format AS format, count(*) FILTER (corpus = 'internal') AS i, count(*) FILTER (corpus = 'competitor') AS c FROM f GROUP BY 1),
+  p AS (SELECT format, round(coalesce(i * 100.0 / ni, 0.0), 6) AS internal_pct, round(coalesce(c * 100.0 / nc, 0.0), 6) AS competitor_pct FROM k LEFT JOIN c USING (format), tot) SELECT *, round((internal_pct + 0.1) / (competitor_pct + 0.1), 6) AS ratio FROM p""")
+def format_distribution(spark, sf):
+    return metrics.format_shares(window(spark, sf).withColumn("article_format", text.best_format(F.col("summary"), FORMATS)), FORMATS)
+
+
+def _occ_sql(lexicon: dict[str, list[str]], plus: float, least: float) -> str:
+    low = "lower(content)"
+    k = lambda ks: " + ".join(f"(length({low}) - length(replace({low}, '{x}', ''))) // {len(x)}" for x in ks)
+    parts = " UNION ALL ".join(f"SELECT '{label}' AS label, corpus, {k(ks)} AS k FROM win" for label, ks in lexicon.items())
+    return f"""WITH {ART}, e AS ({parts}), c AS (SELECT label, CAST(sum(CASE WHEN corpus = 'internal' THEN k ELSE 0 END) AS BIGINT) AS internal, CAST(sum(CASE WHEN corpus = 'competitor' THEN k ELSE 0 END) AS BIGINT) AS competitor, count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM e GROUP BY label),
+      r AS (SELECT label, internal, competitor, round(internal / ni, 6) AS internal_rate, round(competitor / nc, 6) AS competitor_rate FROM c), q AS (SELECT *, round((internal_rate + {plus}) / (competitor_rate + {plus}), 6) AS ratio FROM r) SELECT * FROM q WHERE ratio > {least}"""
+
+
+@query(_occ_sql(PLACES, 0.01, 0.5))
+def region_edge(spark, sf):
+    return metrics.occurrence_edges(window(spark, sf), "content", PLACES, least=0.5)
+
+
+@query(_occ_sql({k: [k] for k in ("tion", "ment", "ing ", "keit", "aaa")}, 0.01, 0.2))
+def company_edge(spark, sf):
+    return metrics.occurrence_edges(window(spark, sf), "content", {k: [k] for k in ("tion", "ment", "ing ", "keit", "aaa")}, least=0.2)
+
+
+@query(f"WITH {ART} SELECT corpus, count(*) AS n, round(count(*) / 30, 2) AS per_day, round(count(*) FILTER (isodow(published) >= 6) * 100.0 / count(*), 1) AS weekend_pct, CAST(median(hour(published)) AS DOUBLE) AS median_hour FROM win GROUP BY corpus")
+def cadence(spark, sf):
+    return metrics.cadence(window(spark, sf), "published", 30)
+
+
+def _gram_sql(pattern: str) -> str:
+    return f"w AS (SELECT corpus, regexp_extract_all(lower(summary), '{pattern}') AS w FROM win), g AS (SELECT corpus, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS ngram FROM w)"
+
+
+_GRAMS = f"WITH {ART}, " + _gram_sql(r"\b[a-z][a-z0-9]+\b") + ", c AS (SELECT ngram, count(*) FILTER (corpus = 'internal') AS internal, count(*) FILTER (corpus = 'competitor') AS competitor FROM g GROUP BY ngram)"
+
+
+def _english(spark, sf):
+    """Titles and summaries in ASCII, where word borders mean the same in both engines."""
+    return window(spark, sf).withColumn("summary", F.regexp_replace("summary", r"[^\x00-\x7F]", " "))
+
+
+_GRAMS = _GRAMS.replace("lower(summary)", r"lower(regexp_replace(summary, '[^\x00-\x7F]', ' ', 'g'))")
+
+
+@query(_GRAMS + " SELECT * FROM c ORDER BY internal + competitor DESC, ngram LIMIT 500")
+def ngram_counts(spark, sf):
+    return metrics.ngram_counts(_english(spark, sf), "summary", 2, 500)
+
+
+@query(_GRAMS + """, k AS (SELECT * FROM c ORDER BY internal + competitor DESC, ngram LIMIT 2000), t AS (SELECT sum(internal) AS ti, sum(competitor) AS tc FROM k),
+  s AS (SELECT ngram, internal, competitor, round(ln(((internal + 1) / (ti + 2)) / ((competitor + 1) / (tc + 2))), 6) AS score FROM k, t WHERE internal + competitor >= 3 AND len(list_filter(string_split(ngram, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'that'))) > 0)
+  SELECT * FROM s WHERE score > 0 ORDER BY score DESC, ngram LIMIT 20""")
+def log_odds_terms(spark, sf):
+    return metrics.log_odds_terms(metrics.ngram_counts(_english(spark, sf), "summary", 2, 2000), ["the", "and", "that"])
+
+
+_RATES = f"""WITH {ART}, w AS (SELECT corpus, unnest(list_filter(regexp_extract_all(lower(regexp_replace(summary, '[^\\x00-\\x7F]', ' ', 'g')), '\\b[a-z]{{3,}}\\b'), lambda x: x NOT IN ('the', 'and'))) AS keyword FROM win), tot AS (SELECT count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM win),
+  c AS (SELECT keyword, count(*) FILTER (corpus = 'internal') AS i, count(*) FILTER (corpus = 'competitor') AS c FROM w GROUP BY keyword ORDER BY i + c DESC, keyword LIMIT 100), r AS (SELECT keyword, round(i * 100.0 / ni, 6) AS internal_rate, round(c * 100.0 / nc, 6) AS competitor_rate FROM c, tot)"""
+
+
+@query(_RATES + """, g AS (SELECT *, round(internal_rate - competitor_rate, 6) AS gap FROM r) SELECT keyword, internal_rate, competitor_rate, gap, CASE WHEN gap >= 2 THEN 'strength' WHEN gap <= -2 THEN 'gap' ELSE 'parity' END AS trend, keyword IN ('that', 'with', 'tion') AS is_industry
+  FROM g WHERE greatest(internal_rate, competitor_rate) >= 1 ORDER BY is_industry DESC, abs(gap) DESC, keyword LIMIT 15""")
+def seo_trending(spark, sf):
+    return metrics.trending(metrics.keyword_rates(_english(spark, sf), "summary", ["the", "and"]), ["that", "with", "tion"])
+
+
+# ---- topics ----------------------------------------------------------------------------------------------------
+
+_CLU = ART + f""", cl AS (SELECT a.*, e.label AS cluster, a.category = 'internal' AS is_internal, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS word_count, hour(published) AS publish_hour, isodow(published) >= 6 AS is_weekend,
+  {_format_sql('lower(summary)', FORMATS)} AS article_format FROM art a JOIN embeddings e ON a.doc_id % 500 = e.vec_id)"""
+_IDX = f"""WITH {_CLU}, t AS (SELECT cluster, count(*) FILTER (is_internal) AS i, count(*) FILTER (NOT is_internal) AS c, avg(CAST(is_weekend AS INTEGER)) FILTER (is_internal) AS wi, avg(CAST(is_weekend AS INTEGER)) FILTER (NOT is_internal) AS wc,
+  median(publish_hour) FILTER (is_internal) AS hi, median(publish_hour) FILTER (NOT is_internal) AS hc, median(word_count) FILTER (is_internal) AS mi, median(word_count) FILTER (NOT is_internal) AS mc, stddev_samp(word_count) FILTER (NOT is_internal) AS sd FROM cl GROUP BY cluster),
+  f AS (SELECT cluster, article_format, count(*) FILTER (is_internal) AS fi, count(*) FILTER (NOT is_internal) AS fc FROM cl GROUP BY 1, 2), s AS (SELECT *, fi / nullif(sum(fi) OVER (PARTITION BY cluster), 0) AS si, coalesce(fc / nullif(sum(fc) OVER (PARTITION BY cluster), 0), 0) AS sc FROM f),
+  o AS (SELECT cluster, count(*) FILTER (fi > 0 AND si >= 1.5 * sc) AS over, count(*) FILTER (fi > 0) AS used FROM s WHERE article_format IN ('guide', 'report') GROUP BY cluster),
+  x AS (SELECT t.cluster, i AS internal_count, c AS competitor_count, i / (i + c) AS ownership, CASE WHEN i = 0 THEN 0.0 WHEN c = 0 THEN 1.0 ELSE least(1.0, i / (i + c) * 1.5) END AS exclusivity,
+    CASE WHEN i = 0 THEN 0.0 ELSE 0.6 * least(1.0, greatest(0.0, coalesce(wi - wc, wi, 0.0)) * 3) + 0.4 * CASE WHEN c = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, (hc - hi) / 6)) END END AS timeliness,
+    CASE WHEN i = 0 THEN 0.0 WHEN c = 0 THEN 0.5 ELSE (greatest(-2.0, least(2.0, (mi - mc) / coalesce(nullif(sd, 0), 100.0))) + 2) / 4 END AS depth, CASE WHEN i = 0 THEN 0.0 ELSE coalesce(over / nullif(used, 0), 0.0) END AS format_edge FROM t LEFT JOIN o ON t.cluster = o.cluster),
+  idx AS (SELECT cluster, internal_count, competitor_count, round(ownership, 6) AS ownership, round(exclusivity, 6) AS exclusivity, round(timeliness, 6) AS timeliness, round(depth, 6) AS depth, round(format_edge, 6) AS format_edge, round(0.35 * ownership + 0.25 * exclusivity + 0.15 * timeliness + 0.15 * depth + 0.10 * format_edge, 6) AS score FROM x)"""
+
+
+def clustered(spark, sf):
+    """Articles with the cluster that the embeddings' labels give."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+    d = corpus_view(spark, sf).withColumn("vec_id", F.col("doc_id") % 500).join(e, "vec_id")
+    return d.withColumns({"is_internal": F.col("category") == "internal", "word_count": text.count_words(F.col("content")), "publish_hour": F.hour("published"), "is_weekend": F.weekday("published") >= 5, "article_format": text.best_format(F.col("summary"), FORMATS)})
+
+
+@query(_IDX + " SELECT * FROM idx")
+def topic_indices(spark, sf):
+    return metrics.topic_indices(clustered(spark, sf), valued=["guide", "report"])
+
+
+@query(_IDX + " SELECT cluster, score FROM idx WHERE internal_count + competitor_count >= 5 AND internal_count >= 3 AND NOT (ownership < 0.14 AND exclusivity < 0.2) ORDER BY score DESC, cluster LIMIT 12")
+def topic_ranking(spark, sf):
+    return metrics.ranked_topics(metrics.topic_indices(clustered(spark, sf), valued=["guide", "report"]), own=0.14, exclusive=0.2).select("cluster", "score")
+
+
+_SMALL = f"WITH {ART}, t AS (SELECT doc_id % 40 AS cluster, count(*) FILTER (category = 'internal' AND doc_id % 40 < 30) AS i, count(*) FILTER (category <> 'internal' AND doc_id % 40 > 4 AND doc_id % 7 = 0) AS c FROM art GROUP BY 1), x AS (SELECT cluster, i AS internal_count, c AS competitor_count, c = 0 AS is_exclusive, round(coalesce(i / nullif(i + c, 0), 0.0), 6) AS toi FROM t)"
+
+
+def _small_topics(spark, sf):
+    k = F.col("doc_id") % 40
+    return corpus_view(spark, sf).groupBy(k.alias("cluster")).agg(F.count_if((F.col("category") == "internal") & (k < 30)).alias("internal_count"), F.count_if((F.col("category") != "internal") & (k > 4) & (F.col("doc_id") % 7 == 0)).alias("competitor_count"))
+
+
+@query(_SMALL + " SELECT * FROM x WHERE internal_count >= 3 AND internal_count + competitor_count >= 5 AND (is_exclusive OR toi >= 0.7)")
+def editorial_wins(spark, sf):
+    return advantages.editorial_wins(_small_topics(spark, sf))
+
+
+@query(_SMALL + " SELECT cluster, internal_count, competitor_count, is_exclusive, toi AS ownership_ratio FROM x WHERE internal_count >= 3 AND (is_exclusive OR toi >= 0.7)")
+def owned_topics(spark, sf):
+    return advantages.owned(_small_topics(spark, sf))
+
+
+@query(_SMALL + " SELECT 'topic' AS lever, CAST(cluster AS VARCHAR) AS name, CAST(round(internal_count * 1.2, 6) AS DOUBLE) AS potential FROM x WHERE internal_count >= 3 UNION ALL SELECT 'speaker', n, CAST(1.0 AS DOUBLE) FROM (VALUES ('Ann'), ('Bo')) v(n)")
+def commercial_levers(spark, sf):
+    s = spark.createDataFrame([(0, "Ann"), (1, "Bo")], "place int, name string")
+    return advantages.levers(_small_topics(spark, sf), True, s)
+
+
+@query(f"""WITH {_CLU}, m AS (SELECT is_internal, 'weekend' AS note, is_weekend AS hit FROM cl UNION ALL SELECT is_internal, 'place:onth', contains(lower(concat_ws(' ', title, summary)), 'onth') FROM cl UNION ALL SELECT is_internal, 'place:ouer', contains(lower(concat_ws(' ', title, summary)), 'ouer') FROM cl)
+  SELECT note, round(count(*) FILTER (is_internal AND hit) * 100.0 / count(*) FILTER (is_internal), 6) AS internal, round(count(*) FILTER (NOT is_internal AND hit) * 100.0 / count(*) FILTER (NOT is_internal), 6) AS competitor FROM m GROUP BY note""")
+def global_notes(spark, sf):
+    return topics.global_notes(clustered(spark, sf), ["onth", "ouer"])
+
+
+@query()
+def topic_kmeans(spark, sf):
+    d, names = topics.cluster(corpus_view(spark, sf).select("doc_id", "content"), "content", k=8)
+    return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(names, "cluster")
+
+
+@query("WITH p(k, inertia) AS (VALUES (8, 100.0), (12, 60.0), (16, 50.0), (20, 45.0), (24, 44.0)), b AS (SELECT lag(k) OVER (ORDER BY k) AS k, lag(inertia, 2) OVER (ORDER BY k) - 2 * lag(inertia) OVER (ORDER BY k) + inertia AS bend FROM p) SELECT k FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1")
+def inertia_knee(spark, sf):
+    return metrics.knee(spark.createDataFrame([(8, 100.0), (12, 60.0), (16, 50.0), (20, 45.0), (24, 44.0)], "k int, inertia double"))
+
+
+# ---- advantages ------------------------------------------------------------------------------------------------
+
+_OT = "count(*) FILTER (corpus = 'internal') AS our, count(*) FILTER (corpus = 'competitor') AS their"
+_LOW = "lower(concat_ws(chr(32), title, summary))"
+_EXPL = f"(SELECT 'explainer' AS advantage_key, our, their, CAST(our + CASE WHEN our / (our + their) > 0.5 THEN 2 ELSE 0 END + CASE WHEN our >= 4 THEN 1 ELSE 0 END AS BIGINT) AS score FROM (SELECT {_OT} FROM win WHERE {any_sql(_LOW, SIGNALS)}) WHERE our >= 2)"
+_EVNT = f"(SELECT 'event' AS advantage_key, our, their, CAST(our + CASE WHEN our / (our + their) > 0.6 THEN 2 ELSE 0 END + CASE WHEN our >= 5 THEN 1 ELSE 0 END AS BIGINT) AS score FROM (SELECT {_OT} FROM win WHERE {any_sql('lower(concat_ws(chr(32), title, summary, link))', ['src1.', 'src2.', 'src3.'])}) WHERE our >= 2)"
+_FRAN = f"(SELECT 'franchise' AS advantage_key, our, their, CAST(our + CASE WHEN kinds >= 2 THEN 2 ELSE 0 END + CASE WHEN our > their THEN 1 ELSE 0 END AS BIGINT) AS score FROM (SELECT {_OT}, count(DISTINCT CASE WHEN corpus = 'internal' THEN k END) AS kinds FROM (SELECT corpus, CASE WHEN regexp_matches(lower(title), 'tion') THEN 1 WHEN regexp_matches(lower(title), '\\bthe\\b') THEN 2 WHEN regexp_matches(lower(title), 'ing') THEN 3 END AS k FROM win) WHERE k IS NOT NULL) WHERE our >= 2)"
+
+
+@query(f"WITH {ART} SELECT * FROM {_EXPL}")
+def adv_explainer(spark, sf):
+    return advantages.explainer(window(spark, sf), SIGNALS)
+
+
+@query(f"WITH {ART} SELECT * FROM {_EVNT}")
+def adv_event(spark, sf):
+    return advantages.events(window(spark, sf), ["src1.", "src2.", "src3."])
+
+
+@query(f"WITH {ART} SELECT * FROM {_FRAN}")
+def adv_franchise(spark, sf):
+    return advantages.franchise(window(spark, sf), SERIES)
+
+
+@query(f"WITH {ART}, gp AS (" + " UNION ALL ".join(f"SELECT article_id, corpus, '{p}' AS place FROM win WHERE contains(lower(concat_ws(' ', title, summary)), '{p}')" for p in ("onthe", "ouer", "ziel", "quele")) + ") SELECT place, count(DISTINCT article_id) FILTER (corpus = 'internal') AS our, count(DISTINCT article_id) FILTER (corpus = 'competitor') AS their FROM gp GROUP BY place")
+def adv_geography(spark, sf):
+    e = advantages.geographies(window(spark, sf), ["onthe", "ouer", "ziel", "quele"])
+    n = lambda c: F.count_distinct(F.when(F.col("corpus") == c, F.col("article_id")))
+    return e.groupBy("place").agg(n("internal").alias("our"), n("competitor").alias("their"))
+
+
+_FOLLOW = f"""WITH {ART}, ti AS (SELECT corpus, article_id, list_distinct(regexp_extract_all(lower(regexp_replace(title, '[^\\x00-\\x7F]', ' ', 'g')), '\\b[a-z]{{8,}}\\b')) AS ws FROM win), e AS (SELECT corpus, article_id, ws, unnest(ws) AS w FROM ti),
+  pr AS (SELECT DISTINCT x.corpus, x.article_id AS a, y.article_id AS b, list_sort(list_intersect(x.ws, y.ws)) AS s FROM e x JOIN e y ON x.corpus = y.corpus AND x.w = y.w AND x.article_id < y.article_id)"""
+
+
+@query(_FOLLOW.replace("{8,}", "{4,}") + " SELECT corpus, a, b, array_to_string(s[1:3], ' ') AS cluster FROM pr WHERE len(s) >= 2")
+def adv_followthrough(spark, sf):
+    d = window(spark, sf).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", " "))
+    return advantages.followed_pairs(d)
+
+
+@query(f"""WITH {ART}, d AS (SELECT * FROM {_EXPL} UNION ALL SELECT * FROM {_EVNT} UNION ALL SELECT * FROM {_FRAN}), t AS (SELECT count(*) FILTER (corpus = 'internal') AS no, count(*) FILTER (corpus = 'competitor') AS nt FROM win),
+  p AS (SELECT advantage_key, least(our, no) AS our, least(their, nt) AS their, round(our * 100.0 / no, 6) AS our_pct, round(their * 100.0 / nt, 6) AS their_pct, score FROM d, t) SELECT advantage_key, our, their, our_pct, their_pct, round(CASE WHEN their_pct > 0 THEN our_pct / their_pct ELSE 99.0 END, 6) AS concentration_ratio, score FROM p WHERE our_pct > their_pct""")
+def adv_cards(spark, sf):
+    return advantages.cards(window(spark, sf), [lambda d: advantages.explainer(d, SIGNALS), lambda d: advantages.events(d, ["src1.", "src2.", "src3."]), lambda d: advantages.franchise(d, SERIES)])
+
+
+_CAND = f"""WITH {ART}, w AS (SELECT article_id, corpus, published, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s''\\-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM win),
+  g AS (SELECT article_id, corpus, published, unnest(list_distinct(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])))) AS topic FROM w),
+  k AS (SELECT * FROM g WHERE length(topic) BETWEEN 3 AND 30 AND regexp_matches(topic, '^[\\p{{L}} \\-]+$') AND split_part(topic, ' ', 1) NOT IN ('the', 'of', 'and') AND split_part(topic, ' ', -1) NOT IN ('the', 'of', 'and') AND NOT regexp_matches(topic, '^-|-$| -|- ')),
+  c AS (SELECT topic, count(*) FILTER (corpus = 'internal') AS our, count(*) FILTER (corpus <> 'internal') AS their, count(*) FILTER (corpus = 'internal' AND published >= TIMESTAMP '2024-03-24') AS our_7d, count(*) FILTER (corpus <> 'internal' AND published >= TIMESTAMP '2024-03-24') AS their_7d FROM k GROUP BY topic),
+  s AS (SELECT *, round(our / (our + their), 2) AS share FROM c), tot AS (SELECT count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM win)"""
+
+
+def _topic_counts(spark, sf):
+    found = advantages.candidates(window(spark, sf), "title", 2, ["the", "of", "and"])
+    return advantages.topic_counts(found, dates.half_open(F.col("published"), AS_OF, 7))
+
+
+@query(_CAND + " SELECT topic, our, their, our_7d, their_7d, share FROM s WHERE our + their >= 3")
+def topic_candidates(spark, sf):
+    return _topic_counts(spark, sf).where("our + their >= 3").select("topic", "our", "their", "our_7d", "their_7d", "share")
+
+
+@query(_CAND + """, d AS (SELECT topic, our, their, share, round(our / ni - their / nc, 6) AS share_diff, their = 0 AND our >= 2 AS ownership, share >= 0.6 AND our + their >= 4 AS edge, our_7d >= 2 AND their_7d = 0 AS momentum FROM s, tot WHERE our + their >= 3 AND our >= 2)
+  SELECT *, round(2.0 * CAST(ownership AS INTEGER) + 1.5 * CAST(edge AS INTEGER) + 1.0 * CAST(momentum AS INTEGER) + share_diff, 3) AS score FROM d WHERE ownership OR edge OR momentum ORDER BY score DESC, topic LIMIT 10""")
+def topic_scorecard(spark, sf):
+    return advantages.scored_topics(_topic_counts(spark, sf), metrics.totals(window(spark, sf)))
+
+
+@query(_CAND + " SELECT topic, our, their, share, round(our / ni - their / nc, 6) AS share_diff FROM s, tot WHERE our >= 1 AND round(our / ni - their / nc, 6) > 0 ORDER BY share_diff DESC, topic LIMIT 5")
+def near_advantages(spark, sf):
+    return advantages.near_advantages(_topic_counts(spark, sf), metrics.totals(window(spark, sf)))
+
+
+@query(_CAND + " SELECT topic, our, their, our - their AS lead FROM s WHERE (our >= 3 AND our - their >= 2) OR (our >= 5 AND our / greatest(their, 1) >= 1.5) ORDER BY lead DESC, our DESC, topic LIMIT 5")
+def reader_topics(spark, sf):
+    return advantages.reader_topics(_topic_counts(spark, sf))
+
+
+@query(_CAND + """, x AS (SELECT topic, our, their, our - their AS advantage, our >= 3 AND (our >= 2 * their OR their <= 1) AS win, our >= 2 AND our - their >= 1 AS near FROM s), y AS (SELECT *, bool_or(win) OVER () AS any_win FROM x WHERE win OR near)
+  SELECT topic, our, their, advantage, NOT win AS near_win FROM y WHERE win OR NOT any_win ORDER BY advantage DESC, our DESC, topic LIMIT 7""")
+def reader_wins(spark, sf):
+    return advantages.reader_wins(_topic_counts(spark, sf))
+
+
+# ---- evidence --------------------------------------------------------------------------------------------------
+
+
+def _gaps(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("gap_id"), F.substring_index("text", ".", 1).alias("evidence"), F.col("text"))
+
+
+@query(f"WITH {ART}, g AS (SELECT item_id AS gap_id, lower(trim(split_part(title, ' ', 1))) AS e FROM benchmark JOIN art ON item_id = doc_id), a AS (SELECT lower(trim(title)) AS t, max(article_id) AS article_id FROM art WHERE trim(title) <> '' GROUP BY 1), k AS (SELECT item_id AS gap_id, lower(trim(title)) AS t FROM benchmark JOIN art ON item_id = doc_id) SELECT gap_id, article_id, 'exact' AS match_method FROM k JOIN a USING (t)")
+def evidence_exact(spark, sf):
+    d = corpus_view(spark, sf)
+    gaps = table(spark, sf, "benchmark").join(d, F.col("item_id") == F.col("doc_id")).select(F.col("item_id").alias("gap_id"), F.col("title").alias("evidence"))
+    return evidence.by_title(gaps, d)
+
+
+@query(f"WITH {ART}, g AS (SELECT item_id AS gap_id, lower(trim(split_part(text, '.', 1))) AS e FROM benchmark), a AS (SELECT article_id, lower(trim(title)) AS t FROM art WHERE trim(title) <> '') SELECT gap_id, min(article_id) AS article_id, 'partial' AS match_method FROM g, a WHERE e <> '' AND (contains(t, e) OR contains(e, t)) GROUP BY gap_id")
+def evidence_partial(spark, sf):
+    return evidence.by_part(_gaps(spark, sf), corpus_view(spark, sf))
+
+
+@query(_INDEX.replace("concat_ws(chr(32), trim(title), trim(summary), trim(content))", "concat_ws(chr(32), trim(title), trim(summary))") + """, g AS (SELECT DISTINCT item_id AS gap_id, unnest(regexp_extract_all(lower(text), '\\b[a-z]{9,}\\b')) AS w FROM benchmark), a AS (SELECT article_id, unnest(list_distinct(string_split(s, ' '))) AS w FROM n), h AS (SELECT DISTINCT gap_id, article_id FROM a JOIN g USING (w))
+  SELECT gap_id, article_id, 'keyword' AS match_method FROM h QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY article_id) <= 5""")
+def evidence_keyword(spark, sf):
+    g = table(spark, sf, "benchmark").select(F.col("item_id").alias("gap_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{9,}\b"), F.lit(0)).alias("keywords"))
+    return evidence.by_keyword(g, corpus_view(spark, sf))
+
+
+def _class_sql(low: str) -> str:
+    from ..functions.lexicons import GAP_CLASSES
+
+    return "CASE " + " ".join(f"WHEN {any_sql(low, ks)} THEN '{c}'" for c, ks in GAP_CLASSES.items()) + " ELSE 'general' END"
+
+
+@query(f"SELECT item_id, {_class_sql('lower(concat_ws(chr(32), substr(text, 1, 40), text))')} AS class FROM benchmark")
+def gap_class(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", evidence.gap_class(F.substring("text", 1, 40), F.col("text")).alias("class"))
+
+
+def _meets_sql() -> str:
+    from ..functions.lexicons import EVIDENCE
+
+    low = "lower(concat_ws(' ', title, summary, substr(content, 1, 500)))"
+    return " UNION ALL ".join(f"SELECT article_id, '{c}' AS class FROM art WHERE " + " AND ".join(any_sql(low, ks) for ks in lists) for c, lists in EVIDENCE.items())
+
+
+@query(f"WITH {ART} {_meets_sql()}")
+def article_matches_class(spark, sf):
+    return evidence.classes_of(corpus_view(spark, sf))
+
+
+# ---- documents and caches --------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (ts + to_hours(user_id % 48) > TIMESTAMP '2024-01-20 00:00:00') AS valid, count(*) FILTER (NOT ts + to_hours(user_id % 48) > TIMESTAMP '2024-01-20 00:00:00') AS expired FROM events")
+def cache_stats(spark, sf):
+    return reports.cache_stats(table(spark, sf, "events").withColumn("ttl_hours", (F.col("user_id") % 48).cast("int")), "2024-01-20 00:00:00")
+
+
+@query(f"WITH {ART}, t AS (SELECT *, row_number() OVER (ORDER BY published DESC, article_id) AS r FROM art), w AS (SELECT r, unnest(regexp_extract_all(regexp_replace(title, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Z][a-z]{{3,}}\\b')) AS name, generate_subscripts(regexp_extract_all(regexp_replace(title, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Z][a-z]{{3,}}\\b'), 1) AS p FROM t WHERE r <= 20) SELECT name FROM w GROUP BY name ORDER BY min((r, p)) LIMIT 5")
+def prospects_fallback(spark, sf):
+    d = corpus_view(spark, sf).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", " "))
+    return reports.prospects(d)
+
+
+@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, max(length(text)) AS longest FROM conversations GROUP BY conv_id")
+def conversation_stats(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (found or f"file://{tempfile.gettempdir()}").rstrip("/") + "/newsloom-streams"
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark, sf):
+    from ..streaming import events
+
+    s = events.source(spark, f"{sf}/events.parquet").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return events.drained(events.deduplicated(s, ["user_id", "event_type"], "ts"), _folder(spark)).select("user_id", "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf):
+    from ..streaming import events
+
+    d = events.drained(events.tumbling(events.source(spark, f"{sf}/events.parquet", files=1000), "ts"), _folder(spark), "complete")
+    return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+  SELECT min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_session(spark, sf):
+    from ..streaming import events
+
+    d = events.drained(events.sessions(events.source(spark, f"{sf}/events.parquet", files=1000), "ts"), _folder(spark), "complete")
+    return d.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
