@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +71,6 @@ def repair_json(value: str | None):
 
 def repaired(df: DataFrame, column: str) -> DataFrame:
     """df with `repaired`, the column's JSON made readable: what Spark can parse as it is stays, the rest goes to Python in batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fix(values: pd.Series) -> pd.Series:
         found = values.map(repair_json)
