@@ -117,7 +117,7 @@ def allot(narrow: DataFrame, part: int = 2048, gaps: int = 4, **weighing) -> Dat
 
 def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (with source, size, doc_id and any others): each with source_size, target, copies and taken. plan: of `allot`."""
-    classes = plan.where("part = 0").select(F.col("source").alias("_of"), F.col("size").alias("_as"), F.col("parts").alias("_parts"))
+    classes = plan.groupBy(F.col("source").alias("_of"), F.col("size").alias("_as")).agg(F.max("parts").alias("_parts"))
     r = rows.join(classes, F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_as"))).drop("_of", "_as")
     r = r.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_part", F.pmod("_hash", "_parts"))
     p = plan.select(F.col("source").alias("_of"), F.col("size").alias("_as"), F.col("part").alias("_in"), "source_size", "target", F.col("base").alias("_base"), F.col("extra").alias("_extra"))
