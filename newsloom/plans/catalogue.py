@@ -693,3 +693,6 @@ def stream_session(spark, sf):
 
     d = events.drained(events.sessions(events.source(spark, f"{sf}/events.parquet", files=1000), "ts"), _folder(spark), "complete")
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+from . import documents as _documents  # noqa: E402, F401  registers more queries
