@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and \t..\r.
 SPACE = np.zeros(256, bool)
@@ -56,6 +57,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def numbered(documents: DataFrame, name: str) -> DataFrame:
+    """documents with a number for each row that stays the same in every later read.
+
+    doc_id where it is unique and never null; else a row number in a copy written to shared storage (numbers by
+    partition would change if the files were split otherwise, as after executors came or went).
+    """
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        return documents.withColumn(name, F.col("doc_id").cast("long"))
+    return written(documents.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """One byte array of all texts, each with a space before it and one after the last; and where each begins (at its space)."""
     texts = texts.cast(pa.large_string()).fill_null("")

@@ -41,9 +41,10 @@ def _alone(groups: DataFrame) -> DataFrame:
     return groups.where("n = 1").select(F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
 
 
-def classes(documents: DataFrame, stride: int = 64) -> DataFrame:
-    """rid (a number for each row), doc_id, keep_id, group_size, kept and sha (SHA-256 of the normalised text, binary) of each row."""
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).cast("binary").alias("data"))
+def classes(documents: DataFrame, stride: int = 64, row: str | None = None) -> DataFrame:
+    """rid (a number for each row, the column `row` if given), doc_id, keep_id, group_size, kept and sha (SHA-256 of the normalised text, binary) of each row."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = documents.select(number.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).cast("binary").alias("data"))
     rows = rows.select("rid", "doc_id", F.octet_length("data").alias("size"), _bytes(F.col("data"), 1, stride).alias("digits"), F.unhex(F.sha2("data", 256)).alias("sha"), "data")
     first = C.written(_groups(rows.drop("data"), "size", "digits"), "radix-groups")
     out = _alone(first)
@@ -68,6 +69,7 @@ def classes(documents: DataFrame, stride: int = 64) -> DataFrame:
 
 def deduplicate(documents: DataFrame, stride: int = 64) -> DataFrame:
     """The rows of documents that stay, with all their columns."""
-    keep = classes(documents, stride).where("kept").select("rid")
     name = C.free_name(documents, "rid")
-    return documents.withColumn(name, F.monotonically_increasing_id()).join(keep.withColumnRenamed("rid", name), name, "left_semi").drop(name)
+    rows = C.numbered(documents, name)
+    keep = classes(rows, stride, name).where("kept").select(F.col("rid").alias(name))
+    return rows.join(keep, name, "left_semi").select(*documents.columns)

@@ -108,7 +108,8 @@ def fit(documents: DataFrame, max_rows: int = 3000, language: str = "lang", **ho
     rows = documents.where(F.col(language).isNotNull() & (F.length("text") > 0)).select(F.xxhash64(F.col("doc_id"), F.lit(3)).alias("h"), "doc_id", language)
     picked = rows.orderBy("h", "doc_id", language).limit(max_rows).select("doc_id").distinct()
     # at most max_rows numbers: a bounded side to broadcast
-    found = documents.join(F.broadcast(picked), "doc_id", "left_semi").where(F.col(language).isNotNull() & (F.length("text") > 0)).select("text", language).limit(2 * max_rows).collect()
+    known = documents.join(F.broadcast(picked), "doc_id", "left_semi").where(F.col(language).isNotNull() & (F.length("text") > 0))
+    found = known.groupBy("doc_id").agg(F.min(F.struct("text", language)).alias("r")).select("r.*").collect()  # of rows with one doc_id one counts
     return train(sorted((r[0], str(r[1])) for r in found), **how)
 
 

@@ -129,9 +129,9 @@ def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, **how) -> DataFrame:
     """documents, each row as often as the mix takes it."""
-    columns = documents.columns
-    rows = sized(documents)
-    plan = allot(C.written(rows.select(F.col("doc_id"), "source", "size"), "mixing-sizes"), **how)
-    taken = mixed(rows, plan).where("copies > 0")
+    name, copies = C.free_name(documents, "rid"), C.free_name(documents, "copies")
+    rows = C.numbered(documents, name)
+    narrow = C.written(sized(rows.select(F.col(name).alias("rid"), F.col("doc_id"), "source", "text")).drop("text"), "mixing-sizes")
+    taken = mixed(narrow, allot(narrow.drop("rid"), **how)).where("copies > 0").select(F.col("rid").alias(name), F.col("copies").alias(copies))
     again = C.free_name(documents, "again")
-    return taken.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return rows.join(taken, name).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)

@@ -150,9 +150,8 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     moved = walked(real, key)
     names = {n: C.free_name(base, n) for n in ("_rid", "_found", "_moved", "_pieces")}
     rid, found, over, pieces = names.values()
-    rows = base.withColumn(found, _found(F.col("text").cast("string")))
+    rows = (base if moved is None else C.numbered(base, rid)).withColumn(found, _found(F.col("text").cast("string")))
     if moved is not None:
-        rows = rows.withColumn(rid, F.monotonically_increasing_id())
         e = rows.select(rid, F.explode(found).alias("e")).withColumn("kind", F.expr(kind_sql("e"))).withColumn("canonical", F.expr(canonical_sql("kind", "e")))
         own = e.join(moved, ["kind", "canonical"]).select(rid, F.concat_ws("|", "kind", "canonical").alias("k"), "surrogate").distinct()
         own = own.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(over))

@@ -128,10 +128,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, **how) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     texts = documents.select("doc_id", "text")
-    # at most max_rows rows of two numbers: a bounded side to broadcast
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))[: 2 * max_rows]
-    return train([(r.text, r.label) for r in rows], **how)
+    # at most max_rows rows of two numbers: a bounded side to broadcast; of rows with one doc_id one text counts
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    return train([(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)], **how)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -57,16 +57,17 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+def fingerprints(documents: DataFrame, size: int = 4, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and rid (the column `row`, null if none is given) of each row."""
     C.small_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, size) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(1)], ["doc_id", "fp", "rid"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rid = F.lit(None).cast("long") if row is None else F.col(row)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, rid long")
 
 
 class BKTree:
@@ -227,17 +228,17 @@ def links(points: DataFrame, radius: int = 4, most: int = 2048) -> DataFrame:
     return tasks.mapInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 2048) -> DataFrame:
-    """doc_id, fp (signed), component_id and least (the smallest doc_id is this row's) of each row."""
-    rows = C.written(fingerprints(documents, size), "fingerprints")
+def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 2048, row: str | None = None) -> DataFrame:
+    """doc_id, fp (signed), component (its smallest fingerprint), component_id and rid (the column `row`) of each row."""
+    rows = C.written(fingerprints(documents, size, row), "fingerprints")
     points = C.written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
     linked = C.written(components(links(points.select("fp"), radius, most)), "linked")
     # the smallest doc_id of a component; a fingerprint that links to none is its own
     named = points.join(linked.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = C.written(named.select("fp", "component").join(least, "component").select("fp", "component_id")
-                      .unionByName(points.join(linked, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("low").alias("component_id"))), "names")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    alone = points.join(linked, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("fp").alias("component"), F.col("low").alias("component_id"))
+    names = C.written(named.select("fp", "component").join(least, "component").select("fp", "component", "component_id").unionByName(alone), "names")
+    return rows.join(names, "fp").select("doc_id", "fp", "component", "component_id", "rid")
 
 
 def hexed(fp):
@@ -247,9 +248,9 @@ def hexed(fp):
 
 def deduplicate(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 2048) -> DataFrame:
     """The rows of documents that stay: of each component the one with the smallest doc_id (of rows that share it, one)."""
-    found = near_duplicates(documents, size, radius, most)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("_stay"))
-    name = C.free_name(documents, "_row")
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias(name)).groupBy("doc_id").agg(F.min(name).alias(name))
-    rows = ids.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(name)
-    return documents.withColumn(name, F.monotonically_increasing_id()).join(rows, name, "left_semi").drop(name)
+    name = C.free_name(documents, "rid")
+    rows = C.numbered(documents, name)
+    found = near_duplicates(rows, size, radius, most, name)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")
+    stay = found.groupBy("component").agg(best).select(F.col("best.rid").alias(name))
+    return rows.join(stay, name, "left_semi").select(*documents.columns)

@@ -118,10 +118,10 @@ def test_bk_tree_finds_all():
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two three four five six"), (4, "one two three four five six"), (None, "alone here with some words")]
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two three four five six"), (4, "one two three four five six"), (None, "alone here with some words"), (None, "another one of quite other words")]
     got = simhash.near_duplicates(docs(spark, rows)).collect()
-    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (None, None)])
-    assert simhash.deduplicate(docs(spark, rows)).count() == 3
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (None, None), (None, None)])
+    assert simhash.deduplicate(docs(spark, rows)).count() == 4
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
