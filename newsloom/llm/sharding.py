@@ -75,13 +75,16 @@ def assign(documents: DataFrame, limit: int = 256 << 20, key: str = "doc_id", fi
     placed = base.join(directory.select(F.col("h").alias(h), "shard_id", "pages"), h)
     # rows of a paged bucket are alike, so a row number in a salted part of the bucket deals them evenly
     part = C.free_name(placed, "part")
-    plain = placed.where("pages = 1").drop("pages", h)
-    paged = placed.where("pages > 1").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.col("pages")))
-    paged = paged.withColumn("shard_id", F.concat("shard_id", F.lit("/"), F.col(part).cast("string")))
-    paged = _repage(paged, limit).drop("pages", part, h)
-    rows = plain.unionByName(paged)
-    sums = plain.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
-    sums = C.written(sums.unionByName(paged.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))), "shards")
+    totals = lambda d: d.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    rows = placed.where("pages = 1").drop("pages", h)
+    sums = totals(rows)
+    if not directory.where("pages > 1").isEmpty():
+        paged = placed.where("pages > 1").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.col("pages")))
+        paged = paged.withColumn("shard_id", F.concat("shard_id", F.lit("/"), F.col(part).cast("string")))
+        # written, as a row's page depends on where the row is read
+        paged = C.written(_repage(paged, limit).drop("pages", part, h), "pages")
+        rows, sums = rows.unionByName(paged), sums.unionByName(totals(paged))
+    sums = C.written(sums, "shards")
     return rows.join(sums, "shard_id").withColumn("over_limit", F.col("shard_bytes") > limit)
 
 
