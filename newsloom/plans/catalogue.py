@@ -24,7 +24,7 @@ FORMATS = {"guide": ["reation", "thing"], "report": ["enough", "ander"], "news":
 SIGNALS = ["hand", "ther", "ment"]
 SERIES = ["tion", r"\bthe\b", "ing"]
 
-ART = """art AS (SELECT substr(sha256(lower(source) || '|' || CAST(doc_id AS VARCHAR)), 1, 16) AS article_id, doc_id, source, split_part(text, chr(10), 1) AS title, substr(text, 1, 300) AS summary, text AS content,
+ART = """art AS (SELECT substr(sha256(lower(source) || '|' || CAST(doc_id AS VARCHAR)), 1, 16) AS article_id, doc_id, source, lang, split_part(text, chr(10), 1) AS title, substr(text, 1, 300) AS summary, text AS content,
   CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'internal' ELSE 'competitor' END AS category, source IN ('src1', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8') AS is_affiliate,
   TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 90 AS INTEGER)) + to_hours(doc_id * 7 % 24) AS published, 'https://' || source || '.example.com/' || CAST(doc_id AS VARCHAR) AS link FROM documents),
   win AS (SELECT *, category AS corpus FROM art WHERE published BETWEEN TIMESTAMP '2024-03-01 00:00:00' AND TIMESTAMP '2024-03-31 00:00:00')"""
@@ -50,7 +50,7 @@ def corpus_view(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 90).cast("int"), (F.col("doc_id") * 7 % 24).cast("int"))
     return d.select(
-        F.substring(F.sha2(F.concat(F.lower("source"), F.lit("|"), F.col("doc_id").cast("string")), 256), 1, 16).alias("article_id"), "doc_id", "source", F.substring_index("text", "\n", 1).alias("title"),
+        F.substring(F.sha2(F.concat(F.lower("source"), F.lit("|"), F.col("doc_id").cast("string")), 256), 1, 16).alias("article_id"), "doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"),
         F.substring("text", 1, 300).alias("summary"), F.col("text").alias("content"), F.when(F.col("source").isin("src0", "src1", "src2"), F.lit("internal")).otherwise(F.lit("competitor")).alias("category"),
         F.col("source").isin("src1", *[f"src{i}" for i in range(3, 9)]).alias("is_affiliate"), at.alias("published"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("link"),
     )
@@ -146,13 +146,13 @@ def dedupe_title_source(spark, sf):
     return articles.keep_first(corpus_view(spark, sf), ["title", "source"], [F.col("published"), F.col("doc_id")]).select("title", "source", "doc_id")
 
 
-@query(f"""WITH {_HIST}, o AS (SELECT *, 0 AS new FROM h WHERE doc_id % 4 < 3), n AS (SELECT *, 1 AS new FROM h WHERE doc_id % 4 > 1), b AS (SELECT * FROM o UNION ALL SELECT * FROM n),
+@query(f"""WITH {_HIST}, o AS (SELECT *, 0 AS new FROM h WHERE lang <> 'fr'), n AS (SELECT *, 1 AS new FROM h WHERE lang <> 'de'), b AS (SELECT * FROM o UNION ALL SELECT * FROM n),
   a AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY published_date, concat_ws('|', new, id, title), doc_id) = 1),
   l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY address ORDER BY published_date, concat_ws('|', new, id, title)) = 1)
   SELECT id AS article_id, published_date FROM l""")
 def history_upsert(spark, sf):
-    d = _history(spark, sf).select("article_id", "source", "title", "link", "published_date", "doc_id").withColumn("run_timestamp", F.lit(None).cast("string")).withColumn("scrape_timestamp", F.lit(None).cast("string"))
-    return articles.upsert(d.where("doc_id % 4 < 3"), d.where("doc_id % 4 > 1"), "2024-04-01 00:00").select("article_id", "published_date")
+    d = _history(spark, sf).select("article_id", "source", "title", "link", "published_date", "doc_id", "lang").withColumn("run_timestamp", F.lit(None).cast("string")).withColumn("scrape_timestamp", F.lit(None).cast("string"))
+    return articles.upsert(d.where("lang <> 'fr'"), d.where("lang <> 'de'"), "2024-04-01 00:00").select("article_id", "published_date")
 
 
 @query(f"WITH {ART} SELECT article_id, doc_id FROM art WHERE published >= TIMESTAMP '2024-02-01' AND doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -460,28 +460,28 @@ def topic_ranking(spark, sf):
     return metrics.ranked_topics(metrics.topic_indices(clustered(spark, sf), valued=["guide", "report"]), own=0.14, exclusive=0.2).select("cluster", "score")
 
 
-_SMALL = f"WITH {ART}, t AS (SELECT doc_id % 40 AS cluster, count(*) FILTER (category = 'internal' AND doc_id % 40 < 30) AS i, count(*) FILTER (category <> 'internal' AND doc_id % 40 > 4 AND doc_id % 7 = 0) AS c FROM art GROUP BY 1), x AS (SELECT cluster, i AS internal_count, c AS competitor_count, c = 0 AS is_exclusive, round(coalesce(i / nullif(i + c, 0), 0.0), 6) AS toi FROM t)"
+_SMALL = f"WITH {ART}, t AS (SELECT source AS cluster, count(*) FILTER (lang = 'en') AS i, count(*) FILTER (lang <> 'en') AS c FROM art GROUP BY 1), x AS (SELECT cluster, i AS internal_count, c AS competitor_count, c = 0 AS is_exclusive, round(coalesce(i / nullif(i + c, 0), 0.0), 6) AS toi FROM t)"
 
 
-def _small_topics(spark, sf):
-    k = F.col("doc_id") % 40
-    return corpus_view(spark, sf).groupBy(k.alias("cluster")).agg(F.count_if((F.col("category") == "internal") & (k < 30)).alias("internal_count"), F.count_if((F.col("category") != "internal") & (k > 4) & (F.col("doc_id") % 7 == 0)).alias("competitor_count"))
+def _source_topics(spark, sf):
+    """Sources as topics, English articles as ours."""
+    return corpus_view(spark, sf).groupBy(F.col("source").alias("cluster")).agg(F.count_if(F.col("lang") == "en").alias("internal_count"), F.count_if(F.col("lang") != "en").alias("competitor_count"))
 
 
 @query(_SMALL + " SELECT * FROM x WHERE internal_count >= 3 AND internal_count + competitor_count >= 5 AND (is_exclusive OR toi >= 0.7)")
 def editorial_wins(spark, sf):
-    return advantages.editorial_wins(_small_topics(spark, sf))
+    return advantages.editorial_wins(_source_topics(spark, sf))
 
 
 @query(_SMALL + " SELECT cluster, internal_count, competitor_count, is_exclusive, toi AS ownership_ratio FROM x WHERE internal_count >= 3 AND (is_exclusive OR toi >= 0.7)")
 def owned_topics(spark, sf):
-    return advantages.owned(_small_topics(spark, sf))
+    return advantages.owned(_source_topics(spark, sf))
 
 
 @query(_SMALL + " SELECT 'topic' AS lever, CAST(cluster AS VARCHAR) AS name, CAST(round(internal_count * 1.2, 6) AS DOUBLE) AS potential FROM x WHERE internal_count >= 3 UNION ALL SELECT 'speaker', n, CAST(1.0 AS DOUBLE) FROM (VALUES ('Ann'), ('Bo')) v(n)")
 def commercial_levers(spark, sf):
     s = spark.createDataFrame([(0, "Ann"), (1, "Bo")], "place int, name string")
-    return advantages.levers(_small_topics(spark, sf), True, s)
+    return advantages.levers(_source_topics(spark, sf), True, s)
 
 
 @query(f"""WITH {_CLU}, m AS (SELECT is_internal, 'weekend' AS note, is_weekend AS hit FROM cl UNION ALL SELECT is_internal, 'place:onth', contains(lower(concat_ws(' ', title, summary)), 'onth') FROM cl UNION ALL SELECT is_internal, 'place:ouer', contains(lower(concat_ws(' ', title, summary)), 'ouer') FROM cl)
