@@ -4,6 +4,10 @@
 
 Each stage takes the rows that the one before kept, of the columns of documents. The mix repeats rows, so that the
 last stage returns a row for each copy.
+
+Cases: documents of null or empty text, or without a letter, are in no known language and go in the first stage;
+of repeated rows one stays after the second; rows with a null doc_id stay rows of their own; null sources are one
+source; an empty table passes all stages without rows; columns that documents have besides are carried along.
 """
 
 from __future__ import annotations
