@@ -14,8 +14,12 @@ from . import common as C
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Each node with its smallest neighbour, itself included (a partial aggregate: hubs are summed where they are read)."""
-    return edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """Each node with its smallest neighbour, itself included (a partial aggregate: hubs are summed where they are read).
+
+    It is dealt anew before the join that follows, so that the join's own exchange stands below it on both sides
+    and the partition of a hub with many edges can be split.
+    """
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m", "a")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
