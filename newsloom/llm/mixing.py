@@ -79,7 +79,7 @@ def solve(counts: DataFrame, goal: DataFrame, steps: int = 60, near: float = 1e-
     return state.select("source", "tilt", "whole", "mean")
 
 
-def allot(narrow: DataFrame, part: int = 2048, gaps: int = 4, **weighing) -> DataFrame:
+def allot(narrow: DataFrame, part: int = 512, gaps: int = 4, **weighing) -> DataFrame:
     """narrow: doc_id, source, size of all rows. Result by source, size, part: parts, copies of each row (base) and how many rows get one more (extra); source_size and target."""
     goal = C.written(targets(narrow, **weighing), "mixing-goal")
     counts = C.written(narrow.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("m")), "mixing-counts")
