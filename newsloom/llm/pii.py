@@ -28,15 +28,16 @@ from . import common as C
 
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Pattern of each kind, tried in this order at each place. All have bounded look-behinds and no nested repeats.
+#: Pattern of each kind, tried in this order at each place. Look-behinds are bounded, and short ones stand before
+#: long ones, which are tried in few places then; no repeat holds another that can match the same text in two ways.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "secret": r"(?<=(?:token|secret|passwd|password|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{8,256}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b|(?<![0-9A-Za-z])[0-9a-f]{32,256}(?![0-9A-Za-z])",
+    "secret": r"(?<=[=:\"' ])(?<=[=:][ ]{0,2}[\"']?)(?<=(?:token|secret|passwd|password|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{8,256}|(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![0-9A-Za-z_])|(?<![0-9A-Za-z])[0-9a-f]{32,256}(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<=\b(?:{_TITLES})\.? )\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLES})\.? )\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
 }
 PATTERN = "|".join(KINDS.values())
 #: A text without any of these holds no entity.
