@@ -246,8 +246,8 @@ def encode_texts(texts: list[str | None], ranks: Ranks, store: Store):
     store.turn()
     missing = store.missing(everything)
     missing.sort()
-    for at in range(0, len(missing), 100_000):
-        part = missing[at : at + 100_000]
+    for at in range(0, len(missing), 50_000):
+        part = missing[at : at + 50_000]
         store.new.update(zip(part, encode_pieces(part, ranks), strict=True))
     get = store.new.__getitem__
     for pieces in cut:
@@ -264,7 +264,7 @@ def _load(path: str, pattern: str) -> Ranks:
     return _ranks[path, pattern]
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int = 150_000, with_ids: bool = False) -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int = 100_000, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row; ids too if `with_ids`. ranks_path: a file that every executor has."""
     C.small_batches(documents.sparkSession)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
@@ -274,7 +274,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int
         sha = hashlib.sha256
         for batch in batches:
             rows: list[tuple] = []
-            for first, end in C.slices(batch.column(1), 4 << 20):
+            for first, end in C.slices(batch.column(1), 2 << 20):
                 for n, ids, decoded in encode_texts(batch.column(1).slice(first, end - first).to_pylist(), ranks, store):
                     rows.append((n, sha(ids).hexdigest(), sha(decoded).hexdigest()) + (([int(i) for i in ids.split()],) if with_ids else ()))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
