@@ -8,6 +8,9 @@ every document and layout: coreference needs no table. What makes a value valid
 the issuer digit and check digit of cards, country codes, the top-level domain; a name keeps its title and the
 last letter of each word, which carry its gender.
 
+Labels and hexadecimal digits count in either case, and secrets of any length. One of more than PART characters
+is permuted part by part, each with a key of its place.
+
 Collision check. A surrogate must be no real entity of the corpus, itself included. The distinct entities of the
 corpus are a table; a surrogate found in it is permuted again until it is not (walking a permutation past a set
 keeps images distinct). Such entities are few; the documents that hold one get them joined, all others are
@@ -32,7 +35,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: long ones, which are tried in few places then; no repeat holds another that can match the same text in two ways.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "secret": r"(?<=[=:\"' ])(?<=[=:][ ]{0,2}[\"']?)(?<=(?:token|secret|passwd|password|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{8,256}|(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![0-9A-Za-z_])|(?<![0-9A-Za-z])[0-9a-f]{32,256}(?![0-9A-Za-z])",
+    "secret": r"(?<=[=:\"' ])(?<=[=:][ ]{0,2}[\"']?)(?<=(?i:token|secret|passwd|password|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{8,}+|(?<![0-9A-Za-z_])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{36})(?![0-9A-Za-z_])|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
@@ -41,7 +44,9 @@ KINDS: dict[str, str] = {
 }
 PATTERN = "|".join(KINDS.values())
 #: A text without any of these holds no entity.
-_HINT = rf"[0-9]|@|(?:token|secret|passw|key)|\b(?:{_TITLES})\b"
+_HINT = rf"[0-9]|@|(?i:token|secret|passw|key)|\b(?:{_TITLES})\b"
+#: Longer secrets are permuted in parts of so many characters: each step hashes all that it is permuted with.
+PART = 256
 #: Classes whose characters change places with one another only.
 CLASSES = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "áàâäéèêëíìîïóòôöúùûü", "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ", "çñß", "ÇÑ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ"]
 
@@ -51,10 +56,11 @@ def _q(s: str) -> str:
 
 
 def kind_sql(e: str) -> str:
-    """The kind of an entity, from its form; hex is a secret of hexadecimal digits only."""
+    """The kind of an entity, from its form; hex is a secret of hexadecimal digits only, HEX one with capitals."""
     return (
         f"CASE WHEN instr({e}, '@') > 0 THEN 'email' WHEN {e} rlike {_q('^' + KINDS['ip'] + '$')} THEN 'ip' WHEN {e} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn' "
         f"WHEN {e} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' THEN 'card' WHEN {e} rlike '^[+(0-9][0-9 ().+-]{{6,}}$' AND {e} rlike '[ ().+-]' THEN 'phone' WHEN {e} rlike '^[0-9a-f]{{8,}}$' THEN 'hex' "
+        f"WHEN {e} rlike '^[0-9A-Fa-f]{{8,}}$' AND {e} rlike '[0-9]' THEN 'HEX' "
         f"WHEN {e} rlike '^\\\\p{{Lu}}\\\\p{{L}}+( \\\\p{{Lu}}\\\\p{{L}}+)?$' AND NOT {e} rlike '[0-9]' THEN 'name' ELSE 'secret' END"
     )
 
@@ -65,7 +71,7 @@ def canonical_sql(kind: str, e: str) -> str:
 
 def _class_sql(kind: str, c: str) -> str:
     cases = " ".join(f"WHEN instr('{x}', {c}) > 0 THEN '{x}'" for x in CLASSES)
-    return f"CASE WHEN {c} = '' THEN '' WHEN {kind} = 'hex' THEN '0123456789abcdef' {cases} ELSE '' END"
+    return f"CASE WHEN {c} = '' THEN '' WHEN {kind} = 'hex' THEN '0123456789abcdef' WHEN {kind} = 'HEX' THEN CASE WHEN instr('ABCDEF', {c}) > 0 THEN 'ABCDEF' WHEN instr('abcdef', {c}) > 0 THEN 'abcdef' ELSE '0123456789' END {cases} ELSE '' END"
 
 
 def _shift_sql(key: str, kind: str, turn: str, rest: str) -> str:
@@ -87,13 +93,21 @@ def _luhn_sql(s: str) -> str:
     return f"aggregate(sequence(1, length({s}) - 1), 0, (z, j) -> z + if((length({s}) - j) % 2 = 1, int(substr({s}, j, 1)) * 2 - if(int(substr({s}, j, 1)) > 4, 9, 0), int(substr({s}, j, 1))))"
 
 
-def permute_sql(key: str, kind: str, s: str) -> str:
-    """The permutation of canonical forms of a kind."""
+def _text_sql(key: str, kind: str, s: str, turn: str) -> str:
+    """Character after character shifted within its class, twice round."""
     c = "substr(acc, i, 1)"
-    put = f"concat(substr(acc, 1, i - 1), substr(a, int(pmod(instr(a, {c}) - 1 + {_shift_sql(key, kind, 'k', 'concat(substr(acc, 1, i - 1), chr(0), substr(acc, i + 1))')}, length(a))) + 1, 1), substr(acc, i + 1))"
+    put = f"concat(substr(acc, 1, i - 1), substr(a, int(pmod(instr(a, {c}) - 1 + {_shift_sql(key, kind, turn, 'concat(substr(acc, 1, i - 1), chr(0), substr(acc, i + 1))')}, length(a))) + 1, 1), substr(acc, i + 1))"
     # a let: the lambda over a one-element array names the place and the class once
     step = f"element_at(transform(array(named_struct('i', k % length({s}) + 1)), t -> element_at(transform(array(named_struct('i', t.i, 'a', {_class_sql(kind, 'substr(acc, t.i, 1)')})), u -> if(u.a = '' OR NOT ({_moves_sql(kind, 'acc', 'u.i')}), acc, {put.replace('(a,', '(u.a,').replace('length(a)', 'length(u.a)').replace('acc, i,', 'acc, u.i,').replace('i - 1)', 'u.i - 1)').replace('i + 1)', 'u.i + 1)')})), 1)), 1)"
-    text = f"aggregate(sequence(0, 2 * length({s}) - 1), {s}, (acc, k) -> {step})"
+    return f"aggregate(sequence(0, 2 * length({s}) - 1), {s}, (acc, k) -> {step})"
+
+
+def permute_sql(key: str, kind: str, s: str) -> str:
+    """The permutation of canonical forms of a kind."""
+    text = _text_sql(key, kind, s, "k")
+    # a secret may be of any length
+    parts = f"transform(sequence(0, (length({s}) - 1) div {PART}), b -> named_struct('b', b, 's', substr({s}, b * {PART} + 1, {PART})))"
+    text = f"CASE WHEN {kind} IN ('secret', 'hex', 'HEX') AND length({s}) > {PART} THEN array_join(transform({parts}, w -> {_text_sql(key, kind, 'w.s', "concat(w.b, '/', k)")}), '') ELSE {text} END"
     others = "array_join(transform(acc, (y, l) -> if(l = k % 4, -1L, y)), ',')"
     octets = f"array_join(aggregate(sequence(0, 11), transform(split({s}, '[.]'), o -> bigint(o)), (acc, k) -> transform(acc, (o, j) -> if(j = k % 4, pmod(o + {_shift_sql(key, kind, 'k', others)}, 256), o))), '.')"
     card = f"element_at(transform(array({text}), v -> concat(substr(v, 1, length(v) - 1), string(pmod(int(substr({s}, -1)) + {_luhn_sql(s)} - ({_luhn_sql('v')}), 10)))), 1)"

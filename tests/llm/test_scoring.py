@@ -129,6 +129,18 @@ def test_pii(spark):
     assert pii.replace(docs(spark, []).limit(0), "key").count() == 0
 
 
+def test_secrets_in_capitals_and_long_ones(spark):
+    upper, mixed = "9233A8EC" * 5, "9233a8EC" * 5
+    rows = [(1, f'TOKEN = "{upper}"'), (2, f"see {upper} and {mixed} end"), (3, "Password: Hunter2hunter2"), (4, "token = " + "Ab3x" * 250 + " end"), (5, "x " + "0a1b2c3d" * 200 + " end"), (6, "SECRET: QWERTYXY_ZZ9"), (7, "GHP_" + "A1B2C3" * 6)]
+    by = {r.doc_id: r for r in pii.replace(docs(spark, rows), "key").collect()}
+    assert [by[i].n_entities for i in range(1, 8)] == [1, 2, 1, 1, 1, 1, 1]
+    for secret in ("9233A8EC", "9233a8EC", "Hunter2", "Ab3x" * 3, "0a1b2c3d", "QWERTY", "A1B2C3"):
+        assert not any(secret in r.text for r in by.values())
+    one = re.fullmatch(r'TOKEN = "([0-9A-F]{40})"', by[1].text)[1]
+    assert re.fullmatch(r"see ([0-9A-F]{40}) and [0-9]{4}[a-f][0-9][A-F]{2}.* end", by[2].text)[1] == one
+    assert re.fullmatch(r"token = [A-Za-z0-9]{1000} end", by[4].text) and re.fullmatch(r"x [0-9a-f]{1600} end", by[5].text)
+
+
 def test_surrogates_are_distinct_and_not_real(spark):
     """All addresses of a small format: every value is real, or all but one."""
     d = spark.range(256).select(F.lit("ssn").alias("kind"), F.format_string("%09d", F.col("id") * 7).alias("canonical"))
