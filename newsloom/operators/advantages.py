@@ -61,21 +61,29 @@ def geography(articles: DataFrame, places: list[str] | None = None) -> DataFrame
     return c.where("our >= 2").select(F.lit("geography").alias("advantage_key"), "our", "their", score.cast("long").alias("score"))
 
 
-def followed_pairs(articles: DataFrame, least: int = 2, most_common: int = 1000) -> DataFrame:
+def followed_pairs(articles: DataFrame, least: int = 2, block: int = 256) -> DataFrame:
     """corpus, a, b, cluster: pairs of articles of a corpus whose titles share `least` words of four letters or more.
 
-    Words meet in an equi join; a word that `most_common` titles have makes no pairs by itself (it still counts in
-    the overlap of a pair that a rarer word made), so that a frequent word does not pair everything with everything.
+    Pairs of words of a title meet in an equi join (single words if one is enough), and two titles count where their
+    first two shared words meet: no frequent word pairs titles that share nothing else. A word pair of more than
+    `block` titles is dealt into slices that meet in pairs, so that no task gets all of its titles.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0)))
-    t = articles.select("corpus", "article_id", words.alias("ws"))
-    e = t.select("corpus", "article_id", "ws", F.explode("ws").alias("w"))
-    rare = e.groupBy("corpus", "w").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most_common)).select("corpus", "w")
-    e = e.join(rare, ["corpus", "w"])
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))))
+    t = articles.select("corpus", "article_id", words.alias("ws")).where(F.size("ws") >= least)
+    k = 2 if least >= 2 else 1
+    rest = lambda w, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda v: F.concat_ws(" ", w, v))
+    keys = F.flatten(F.transform("ws", rest)) if k == 2 else F.col("ws")
+    e = t.select("corpus", "article_id", "ws", F.explode(keys).alias("w"))
+    n = e.groupBy("corpus", "w").agg(F.count(F.lit(1)).alias("n"))
+    hot = n.where(F.col("n") > block).select("corpus", "w", F.ceil(F.col("n") / block).alias("slices"))
+    e = e.join(hot, ["corpus", "w"], "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
+    e = e.withColumn("own", F.pmod(F.xxhash64("article_id"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     x, y = e.alias("x"), e.alias("y")
-    pairs = x.join(y, (F.col("x.corpus") == F.col("y.corpus")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.article_id") < F.col("y.article_id")))
+    meet = (F.col("x.corpus") == F.col("y.corpus")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    pairs = x.join(y, meet & (F.col("x.article_id") < F.col("y.article_id")))
     shared = F.array_sort(F.array_intersect("x.ws", "y.ws"))
-    p = pairs.select(F.col("x.corpus").alias("corpus"), F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b"), shared.alias("s")).where(F.size("s") >= least)
+    p = pairs.select(F.col("x.corpus").alias("corpus"), F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b"), F.col("x.w").alias("w"), shared.alias("s"))
+    p = p.where((F.size("s") >= least) & (F.array_join(F.slice("s", 1, k), " ") == F.col("w")))
     return p.select("corpus", "a", "b", F.array_join(F.slice("s", 1, 3), " ").alias("cluster")).distinct()
 
 

@@ -100,6 +100,15 @@ def test_editorial_wins(spark):
     assert [(r.cluster, r.is_exclusive) for r in advantages.editorial_wins(d).collect()] == [(1, True), (2, False)]
 
 
+def test_followed_pairs_of_frequent_words(spark):
+    """More titles than any cap on a word, all with the same two words."""
+    d = spark.range(1100).select(F.lit("internal").alias("corpus"), F.format_string("%04d", "id").alias("article_id"), F.lit("that with").alias("title"))
+    d = d.unionByName(spark.createDataFrame([("internal", "x1", "that alone"), ("competitor", "x2", "that with")], "corpus string, article_id string, title string"))
+    r = advantages.followed_pairs(d)
+    assert r.count() == r.select("a", "b").distinct().count() == 1100 * 1099 // 2
+    assert advantages.followed_pairs(d.where("article_id >= '1098'"), least=1).count() == 3
+
+
 def test_evidence_tiers(spark):
     d = corpus(spark).where("article_id is not null")
     gaps = spark.createDataFrame([(1, "apple LAUNCH ", []), (2, "Orange juice of today", []), (3, "nothing like it", ["fox"]), (4, "zzz", [])], "gap_id int, evidence string, keywords array<string>")
