@@ -47,10 +47,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """What a document's page says: the document's number ends the path, the markup declares a language."""
+    """What a document's page says: the document's number ends the path (but for a file's extension), the markup declares a language."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select(
-        F.regexp_extract("url", r"/([0-9]{1,18})/?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"), F.nullif(host, F.lit("")).alias("host"),
+        F.regexp_extract("url", r"(?<!:/)(?<!^/)/([0-9]{1,18})(?:\.[A-Za-z]{1,5})?/?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"), F.nullif(host, F.lit("")).alias("host"),
         F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]{0,200}?\slang=[\"']?([a-z]{2})", 1)), F.lit("")).alias("declared"), language.suffix_language(host).alias("suffix"),
     )
 

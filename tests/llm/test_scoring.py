@@ -79,6 +79,14 @@ def test_language(spark):
     assert len(r) == d.count() and sum(x.language == x.lang for x in r) / len(r) > 0.98 and all(x.kept for x in r)
 
 
+def test_every_page_has_its_document(spark):
+    for sf in (SF, SF2):
+        facts = queries.page_facts(spark.read.parquet(f"{sf}/pages.parquet"))
+        assert facts.where("doc_id is null").isEmpty() and facts.join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "left_anti").isEmpty()
+    odd = spark.createDataFrame([("https://a.de/en/4033.html?x=1", ""), ("https://a.de/77/", ""), ("https://4033.com", ""), ("https://a.de/4033.5", "")], "url string, html string")
+    assert [r.doc_id for r in queries.page_facts(odd).collect()] == [4033, 77, None, None]
+
+
 def test_language_evidence_and_odd_rows(spark):
     rows = [("the cat and the dog of the house", "en"), ("le chat et le chien de la maison", "fr")] * 8
     m = language.train(rows, bits=12)
