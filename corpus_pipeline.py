@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, exact_dedup, language, mixing, simhash
+from newsloom.llm.queries import page_facts
 from newsloom.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; undetermined and doubtful ones go."""
+    """Documents in a language that the model knows, by their texts, pages and hosts; undetermined and doubtful ones go."""
     model = language.fit(docs)
-    return language.identify(docs, model, host=F.col("source")).where("kept").select(*docs.columns)
+    # a model of no language decides without evidence
+    facts = page_facts(spark.read.parquet(f"{sf_dir}/pages.parquet")) if model.languages else None
+    return language.identify(docs, model, host=F.col("source"), facts_of=facts).where("kept").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

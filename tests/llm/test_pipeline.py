@@ -38,6 +38,15 @@ def test_stages(spark):
     assert cp.run(spark, SF).count() == seen.count()
 
 
+def test_pages_are_evidence(spark, monkeypatch):
+    """The language stage gives each document what its page says."""
+    given, identify = [], cp.language.identify
+    monkeypatch.setattr(cp.language, "identify", lambda *a, **k: (given.append(k.get("facts_of")), identify(*a, **k))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert cp.language_id(spark, docs, SF).columns == docs.columns
+    assert given[0] is not None and given[0].where("doc_id is null or declared is null").isEmpty()
+
+
 def test_run_without_rows(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
