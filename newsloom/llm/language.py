@@ -6,8 +6,8 @@ host. Host priors are smoothed hierarchically: a host's counts lean on its domai
 The counts are sums of text posteriors by host, a grouped aggregate over all rows (partial first, so that a host
 with a third of the rows is one row of each task); the smallest documents count as much as the longest.
 
-Likelihoods are trained on a bounded sample of rows with a known language (`max_rows`, the smallest hashes of the
-texts; whole texts). Byte grams of one text lean on each other, so its log likelihood is tempered. A text whose grams were mostly never
+Likelihoods are trained on a bounded sample of rows with a known language (`max_rows` dealt to the languages alike,
+of each the smallest hashes of its documents; whole texts), so that each language with enough rows in the whole table is in the model. Byte grams of one text lean on each other, so its log likelihood is tempered. A text whose grams were mostly never
 seen in training, or that has none, is in no known language ("und"); such rows, and rows whose best posterior is
 below `least`, are rejected.
 
@@ -104,12 +104,30 @@ def evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit(documents: DataFrame, max_rows: int = 3000, language: str = "lang", **how) -> Model:
-    """Train on the `max_rows` rows with a language and a text whose doc_id and text hash lowest."""
-    rows = documents.where(F.col(language).isNotNull() & (F.length("text") > 0)).select(F.xxhash64(F.col("doc_id"), F.lit(3)).alias("h"), "doc_id", language)
-    picked = rows.orderBy("h", "doc_id", language).limit(max_rows).select("doc_id").distinct()
-    # at most max_rows numbers: a bounded side to broadcast
-    known = documents.join(F.broadcast(picked), "doc_id", "left_semi").where(F.col(language).isNotNull() & (F.length("text") > 0))
-    found = known.groupBy("doc_id").agg(F.min(F.struct("text", language)).alias("r")).select("r.*").collect()  # of rows with one doc_id one counts
+    """Train on `max_rows` rows with a language and a text, an equal part for each language: those whose doc_id hashes lowest.
+
+    No language is left out for its share of the rows: each gets `least` rows of train() or more.
+    """
+    least = how.get("least", 5)
+    spark, known = documents.sparkSession, documents.where(F.col(language).isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
+    rows = known.select("doc_id", language).distinct()
+    sizes = {r[0]: r[1] for r in rows.groupBy(language).agg(F.count(F.lit(1))).collect() if r[1] >= least}
+    if not sizes:
+        return train([], **how)
+    part = max(least, max_rows // len(sizes))
+    # hashes are spread evenly: a share that holds `part` rows of the language with room to spare, of which the lowest are taken
+    shares = [(x, min(1.0, (part + 8 * part**0.5 + 40) / n)) for x, n in sizes.items()]
+    below = F.broadcast(spark.createDataFrame(shares, T.StructType([T.StructField("_of", known.schema[language].dataType), T.StructField("_share", T.DoubleType())])))
+    h = F.xxhash64(F.col("doc_id"), F.lit(3))
+    some = rows.withColumn("_h", h).join(below, F.col(language) == F.col("_of")).where(F.col("_h") / 2.0**64 + 0.5 <= F.col("_share"))
+    picked: dict = {}
+    for r in sorted(some.select(F.col("_h"), "doc_id", language).collect()):
+        if len(picked.setdefault(r[2], [])) < part:
+            picked[r[2]].append(r[1])
+    chosen = spark.createDataFrame([(i, x) for x, ids in picked.items() for i in ids], T.StructType([known.schema["doc_id"], known.schema[language]]))
+    # at most `part` numbers for each language: a bounded side to broadcast
+    met = known.join(F.broadcast(chosen), ["doc_id", language], "left_semi")
+    found = met.groupBy("doc_id", language).agg(F.min("text").alias("t")).select("t", language).collect()  # of rows with one doc_id and language one counts
     return train(sorted((r[0], str(r[1])) for r in found), **how)
 
 

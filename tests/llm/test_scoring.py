@@ -87,6 +87,14 @@ def test_every_page_has_its_document(spark):
     assert [r.doc_id for r in queries.page_facts(odd).collect()] == [4033, 77, None, None]
 
 
+def test_rare_languages_are_in_the_model(spark):
+    d = spark.range(20000).select("id", F.when(F.col("id") % 2000 == 7, "fr").when(F.col("id") == 5, "xx").otherwise("en").alias("lang"))
+    d = d.select(F.col("id").alias("doc_id"), F.when(F.col("lang") == "fr", "le chat et le chien de la maison").otherwise("the cat and the dog of the house").alias("text"), "lang")
+    assert language.fit(d, bits=12).languages == ["en", "fr"]  # 10 of 20,000 rows; one row is not enough
+    assert language.fit(d, max_rows=2, bits=12).languages == ["en", "fr"]
+    assert language.fit(d.limit(0)).languages == []
+
+
 def test_language_evidence_and_odd_rows(spark):
     rows = [("the cat and the dog of the house", "en"), ("le chat et le chien de la maison", "fr")] * 8
     m = language.train(rows, bits=12)
