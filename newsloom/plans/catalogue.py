@@ -548,6 +548,21 @@ def adv_cards(spark, sf):
     return advantages.cards(window(spark, sf), [lambda d: advantages.explainer(d, SIGNALS), lambda d: advantages.events(d, ["src1.", "src2.", "src3."]), lambda d: advantages.franchise(d, SERIES)])
 
 
+_PLACES = ["onthe", "ouer", "ziel", "quele"]
+_EACH = "count(DISTINCT article_id) FILTER (corpus = 'internal') AS our, count(DISTINCT article_id) FILTER (corpus = 'competitor') AS their"
+_GEOG = f"(SELECT 'geography' AS advantage_key, our, their, CAST(our + CASE WHEN places >= 2 THEN 2 ELSE 0 END + CASE WHEN our > 2 * their THEN 2 ELSE 0 END AS BIGINT) AS score FROM (SELECT {_EACH}, count(DISTINCT place) AS places FROM gp WHERE place IN (SELECT place FROM (SELECT place, {_EACH} FROM gp GROUP BY place) WHERE our >= 2 AND our > their)) WHERE our >= 2)"
+_FOLL = f"(SELECT 'followthrough' AS advantage_key, our, their, CAST(our + CASE WHEN clusters >= 3 THEN 2 ELSE 0 END + CASE WHEN our > their THEN 1 ELSE 0 END AS BIGINT) AS score FROM (SELECT {_EACH}, count(DISTINCT CASE WHEN corpus = 'internal' THEN cluster END) AS clusters FROM fo) WHERE our >= 2)"
+
+
+@query(_FOLLOW.replace("{8,}", "{4,}") + ", gp AS (" + " UNION ALL ".join(f"SELECT article_id, corpus, '{p}' AS place FROM win WHERE contains({_LOW}, '{p}')" for p in _PLACES) + f"""), fo AS (SELECT corpus, array_to_string(s[1:3], ' ') AS cluster, unnest([a, b]) AS article_id FROM pr WHERE len(s) >= 2),
+  d AS (SELECT * FROM {_EXPL} UNION ALL SELECT * FROM {_EVNT} UNION ALL SELECT * FROM {_FRAN} UNION ALL SELECT * FROM {_GEOG} UNION ALL SELECT * FROM {_FOLL}), t AS (SELECT count(*) FILTER (corpus = 'internal') AS no, count(*) FILTER (corpus = 'competitor') AS nt FROM win),
+  p AS (SELECT advantage_key, least(our, no) AS our, least(their, nt) AS their, round(our * 100.0 / no, 6) AS our_pct, round(their * 100.0 / nt, 6) AS their_pct, score FROM d, t) SELECT advantage_key, our, their, our_pct, their_pct, round(CASE WHEN their_pct > 0 THEN our_pct / their_pct ELSE 99.0 END, 6) AS concentration_ratio, score FROM p WHERE our_pct > their_pct""")
+def adv_cards_all(spark, sf):
+    """Cards of all five detectors; adv_cards has those that need no places and no pairs of titles."""
+    ascii_title = F.regexp_replace("title", r"[^\x00-\x7F]", " ")
+    return advantages.cards(window(spark, sf), [lambda d: advantages.explainer(d, SIGNALS), lambda d: advantages.events(d, ["src1.", "src2.", "src3."]), lambda d: advantages.franchise(d, SERIES), lambda d: advantages.geography(d, _PLACES), lambda d: advantages.followthrough(d.withColumn("title", ascii_title))])
+
+
 _CAND = f"""WITH {ART}, w AS (SELECT article_id, corpus, published, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s''\\-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM win),
   g AS (SELECT article_id, corpus, published, unnest(list_distinct(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])))) AS topic FROM w),
   k AS (SELECT * FROM g WHERE length(topic) BETWEEN 3 AND 30 AND regexp_matches(topic, '^[\\p{{L}} \\-]+$') AND split_part(topic, ' ', 1) NOT IN ('the', 'of', 'and') AND split_part(topic, ' ', -1) NOT IN ('the', 'of', 'and') AND NOT regexp_matches(topic, '^-|-$| -|- ')),

@@ -109,6 +109,14 @@ def test_followed_pairs_of_frequent_words(spark):
     assert advantages.followed_pairs(d.where("article_id >= '1098'"), least=1).count() == 3
 
 
+def test_cards_of_all_detectors_are_registered(spark):
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()["adv_cards_all"]
+    assert all(f"'{k}' AS advantage_key" in sql for k in ("explainer", "event", "franchise", "geography", "followthrough"))
+    assert "adv_cards_all" in entry.queries()
+
+
 def test_evidence_tiers(spark):
     d = corpus(spark).where("article_id is not null")
     gaps = spark.createDataFrame([(1, "apple LAUNCH ", []), (2, "Orange juice of today", []), (3, "nothing like it", ["fox"]), (4, "zzz", [])], "gap_id int, evidence string, keywords array<string>")
