@@ -21,15 +21,13 @@ def by_title(gaps: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def by_part(gaps: DataFrame, articles: DataFrame, max_gaps: int = 10_000) -> DataFrame:
-    """One title within the other, the smallest id of several. The gaps are the small side: they are counted, and
-    sent to every task only if there are at most `max_gaps`; else long titles meet through runs of five words."""
+    """One title within the other, the smallest id of several. Every gap meets every title: up to `max_gaps` gaps are
+    sent to every task; more are dealt into blocks of about that size, each of which meets each part of the titles."""
     a = articles.select("article_id", _key(F.col("title")).alias("_t")).where("_t <> ''")
     g = gaps.select("gap_id", _key(F.col("evidence")).alias("_e")).where("_e <> ''")
-    if g.limit(max_gaps + 1).count() <= max_gaps:
-        hit = a.join(F.broadcast(g), F.contains(F.col("_t"), F.col("_e")) | F.contains(F.col("_e"), F.col("_t")))
-    else:
-        runs = lambda d, c: d.withColumn("_w", text.tokens(F.col(c))).withColumn("_g", F.explode(F.array_distinct(text.ngrams(F.col("_w"), 5)))).drop("_w")
-        hit = runs(a, "_t").join(runs(g, "_e"), "_g").where(F.contains(F.col("_t"), F.col("_e")) | F.contains(F.col("_e"), F.col("_t")))
+    n = g.count()
+    g = F.broadcast(g) if n <= max_gaps else g.repartition(-(-n // max_gaps)).hint("shuffle_replicate_nl")
+    hit = a.join(g, F.contains(F.col("_t"), F.col("_e")) | F.contains(F.col("_e"), F.col("_t")))
     return hit.groupBy("gap_id").agg(F.min("article_id").alias("article_id")).withColumn("match_method", F.lit("partial"))
 
 
