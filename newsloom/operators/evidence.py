@@ -66,15 +66,26 @@ def gap_class(title: Column, description: Column) -> Column:
     return text.first_class(F.concat_ws(" ", title, description), lexicons.GAP_CLASSES)
 
 
+def by_class(gaps: DataFrame, articles: DataFrame, n: int = 5) -> DataFrame:
+    """The first `n` articles by id that are evidence for the gap's class; any is for the general one. gaps: gap_id, title, description."""
+    every = classes_of(articles).unionByName(articles.select("article_id", F.lit("general").alias("class")))
+    first = every.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy("article_id"))).where(F.col("_r") <= n)
+    g = gaps.select("gap_id", gap_class(F.col("title"), F.col("description")).alias("class"))
+    return g.join(first, "class").select("gap_id", "article_id", F.lit("class").alias("match_method"))
+
+
 def enrich(gaps: DataFrame, articles: DataFrame, n: int = 5) -> DataFrame:
-    """gap_id, article_id, match_method: titles first, then keywords; at most `n` for a gap.
+    """gap_id, article_id, match_method: titles first, then keywords, then the gap's class; at most `n` for a gap.
 
-    gaps: gap_id, evidence, keywords.
+    gaps: gap_id, evidence, keywords, and title and description for the class; gaps without these two have no class.
     """
     exact = by_title(gaps, articles)
     left = gaps.join(exact.select("gap_id").distinct(), "gap_id", "left_anti")
     part = by_part(left, articles)
     none = left.join(part.select("gap_id").distinct(), "gap_id", "left_anti")
-    every = exact.unionByName(part).unionByName(by_keyword(none, articles, n))
+    word = by_keyword(none, articles, n)
+    every = exact.unionByName(part).unionByName(word)
+    if {"title", "description"} <= set(gaps.columns):
+        every = every.unionByName(by_class(none.join(word.select("gap_id").distinct(), "gap_id", "left_anti"), articles, n))
     order = F.row_number().over(Window.partitionBy("gap_id").orderBy("match_method", "article_id"))
     return every.withColumn("_r", order).where(F.col("_r") <= n).drop("_r")

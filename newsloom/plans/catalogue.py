@@ -651,6 +651,20 @@ def article_matches_class(spark, sf):
     return evidence.classes_of(corpus_view(spark, sf))
 
 
+@query(_INDEX.replace("concat_ws(chr(32), trim(title), trim(summary), trim(content))", "concat_ws(chr(32), trim(title), trim(summary))") + f""", gp AS (SELECT item_id AS gap_id, lower(trim(split_part(text, '.', 1))) AS e, text FROM benchmark),
+  ex AS (SELECT gap_id, max(article_id) AS article_id, 'exact' AS match_method FROM gp JOIN art ON lower(trim(title)) = e WHERE e <> '' GROUP BY gap_id),
+  pa AS (SELECT gap_id, min(article_id) AS article_id, 'partial' AS match_method FROM gp, art WHERE gap_id NOT IN (SELECT gap_id FROM ex) AND e <> '' AND trim(title) <> '' AND (contains(lower(trim(title)), e) OR contains(e, lower(trim(title)))) GROUP BY gap_id),
+  le AS (SELECT * FROM gp WHERE gap_id NOT IN (SELECT gap_id FROM ex UNION ALL SELECT gap_id FROM pa)),
+  gw AS (SELECT DISTINCT gap_id, unnest(regexp_extract_all(lower(text), '\\b[a-z]{{12,}}\\b')) AS w FROM le), aw AS (SELECT article_id, unnest(list_distinct(string_split(s, ' '))) AS w FROM n), hw AS (SELECT DISTINCT gap_id, article_id FROM aw JOIN gw USING (w)),
+  kw AS (SELECT gap_id, article_id, 'keyword' AS match_method FROM hw QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY article_id) <= 5),
+  cl AS (SELECT gap_id, {_class_sql('lower(concat_ws(chr(32), substr(text, 1, 40), text))')} AS class FROM le WHERE gap_id NOT IN (SELECT gap_id FROM kw)), ac AS ({_meets_sql()} UNION ALL SELECT article_id, 'general' AS class FROM art),
+  ch AS (SELECT gap_id, article_id, 'class' AS match_method FROM cl JOIN ac USING (class) QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY article_id) <= 5)
+  SELECT * FROM ex UNION ALL SELECT * FROM pa UNION ALL SELECT * FROM kw UNION ALL SELECT * FROM ch""")
+def evidence_enrich(spark, sf):
+    g = _gaps(spark, sf).select("gap_id", "evidence", F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{12,}\b"), F.lit(0)).alias("keywords"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("description"))
+    return evidence.enrich(g, corpus_view(spark, sf))
+
+
 # ---- documents and caches --------------------------------------------------------------------------------------
 
 

@@ -125,6 +125,13 @@ def test_many_gaps_are_matched_as_few(spark):
         assert {(r.gap_id, r.article_id) for r in evidence.by_part(gaps, d, max_gaps=most).collect()} == want
 
 
+def test_evidence_by_class(spark):
+    d = spark.createDataFrame([(f"a{i}", "Firm unveils a platform" if i < 7 else "Quiet day", "", "") for i in range(9)], "article_id string, title string, summary string, content string")
+    gaps = spark.createDataFrame([(1, "zzz", [], "Rollout", "of it"), (2, "zzz", [], "Odd", "thing"), (3, "zzz", ["quiet"], "Rollout", "")], "gap_id int, evidence string, keywords array<string>, title string, description string")
+    got = {(r.gap_id, r.article_id, r.match_method) for r in evidence.enrich(gaps, d).collect()}
+    assert got == {(g, f"a{i}", "class") for g in (1, 2) for i in range(5)} | {(3, f"a{i}", "keyword") for i in (7, 8)}
+
+
 def test_evidence_tiers(spark):
     d = corpus(spark).where("article_id is not null")
     gaps = spark.createDataFrame([(1, "apple LAUNCH ", []), (2, "Orange juice of today", []), (3, "nothing like it", ["fox"]), (4, "zzz", [])], "gap_id int, evidence string, keywords array<string>")
