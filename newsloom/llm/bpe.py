@@ -2,22 +2,25 @@
 
 The distinct pre-tokens of a block of documents form a small corpus. It is held as one linked sequence of symbols
 with an inverted index from token pair to the places where the pair stands. Merges are replayed over this whole
-corpus in rank order: each takes the places of its pair from the index, joins them, and looks again only at the
-two neighbours it touched. Words that share a pair share the work of finding it; nothing is scanned twice.
+corpus in rank order, one rank at a time: the places of its pairs are taken from the index and joined, all words
+together, and only the two neighbours of each place are looked up again and go to the index under their new pairs.
+Words that share a pair share the work of finding it; nothing is scanned twice.
 
 A text is cut at single spaces between words first (where the pre-token pattern cuts too), so that the store,
 bounded in size, holds what each such piece encodes to; a text in which a space stands between white space goes
 through the pattern as a whole.
 
-Cases: null and empty texts give no ids. A merge that makes a pair of lower rank than its own is followed at
-once, as one word alone would be encoded. Repeated rows are encoded each; other columns are ignored. Ids that
+Cases: null and empty texts give no ids. Where a merge makes a pair of a rank as low as its own, the word's places to
+the right of it wait until that pair is merged, as one word alone would be encoded. Repeated rows are encoded each; other columns are ignored. Ids that
 are not in the vocabulary raise KeyError when decoded.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -81,6 +84,57 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
+#: Fewer places than this are merged one by one: a step over arrays would cost more.
+FEW = 128
+NONE_ = int(NONE)
+
+
+class PairIndex:
+    """Token pair -> places where it stands, with the ranks that have places in a heap. A place may be out of date; who takes it looks."""
+
+    def __init__(self, n: int):
+        self.n, self.places, self.pairs, self.heap = n, {}, {}, []
+
+    def put(self, sym: np.ndarray, after: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        """Places with a pair."""
+        if not len(at):
+            return
+        key = sym[at].astype(np.int64) * self.n + sym[after[at]]
+        by = np.argsort(key, kind="stable")
+        key, at = key[by], at[by]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = [*starts[1:].tolist(), len(at)]
+        for k, r, a, b in zip(key[starts].tolist(), rank[at[starts]].tolist(), starts.tolist(), ends, strict=True):
+            self._open(k, r).append(at[a:b])
+
+    def add(self, key: int, r: int, place: int) -> None:
+        self._open(key, r).append(place)
+
+    def _open(self, key: int, r: int) -> list:
+        if (found := self.places.get(key)) is None:
+            found = self.places[key] = []
+            if (pairs := self.pairs.get(r)) is None:
+                self.pairs[r] = [key]
+                heapq.heappush(self.heap, r)
+            else:
+                pairs.append(key)
+        return found
+
+    def lowest(self) -> int | None:
+        return self.heap[0] if self.heap else None
+
+    def take(self, r: int) -> np.ndarray:
+        """All places of the pairs of the lowest rank."""
+        heapq.heappop(self.heap)
+        single, runs = [], []
+        for key in self.pairs.pop(r):
+            for x in self.places.pop(key):
+                (single if isinstance(x, int) else runs).append(x)
+        if not runs:
+            return np.array(single, np.int64)
+        return np.concatenate([*runs, np.array(single, np.int64)]) if single or len(runs) > 1 else runs[0]
+
+
 class Ranks:
     """The rank file at a path: ids of byte strings, and the byte string of each id. An id is the rank of the merge that makes it."""
 
@@ -104,20 +158,10 @@ class Ranks:
                 if (x := ids.get(token[:k])) is not None and (y := ids.get(token[k:])) is not None:
                     pairs[x * n + y] = made
         self.pair = PairTable(pairs, n)
-        # ranks fall into bands, narrow at first, where pairs stand in many places
-        edges = [256]
-        while edges[-1] < n:
-            edges.append(edges[-1] + max(32, edges[-1] // 6))
-        self.edges = np.array(edges, np.int32)
+        self.pairs, self.n = pairs, n
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words, one word after the other, and how many each has: all merges of the block, in rank order.
-
-        The index has the places of the block's pairs by band of ranks. A band takes its places from the index and
-        merges, in each word that has some there, the pair of lowest rank, the leftmost of equals, until none is
-        left in the band; after each merge only the pairs at the two touched places are looked up again. They go to
-        the index, or stay in hand if their rank is not above the band.
-        """
+        """The ids of these words, one word after the other, and how many each has: all merges of the block, in rank order."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
         total = len(sym)
@@ -130,53 +174,84 @@ class Ranks:
         rank = np.full(total, NONE, np.int32)
         has = np.flatnonzero(after >= 0)
         rank[has] = self.pair(sym[has], sym[has + 1])
-        index: list[list[np.ndarray]] = [[] for _ in range(len(self.edges) + 1)]
-
-        def put(places: np.ndarray) -> None:
-            places = places[rank[places] != NONE]
-            if not len(places):
-                return
-            band = np.searchsorted(self.edges, rank[places], "right")
-            by = np.argsort(band, kind="stable")
-            found, starts = np.unique(band[by], return_index=True)
-            for k, part in zip(found.tolist(), np.split(places[by], starts[1:]), strict=True):
-                index[k].append(part)
-
-        put(has)
-        for k, lists in enumerate(index):
-            if not lists:
-                continue
-            top = self.edges[k] if k < len(self.edges) else NONE
-            hand = _distinct(np.concatenate(lists))
-            lists.clear()
-            while True:
-                r = rank[hand]
-                fits = r < top  # else it was merged away, or its pair changed
-                hand, r = hand[fits], r[fits]
-                if not len(hand):
-                    break
-                of = word[hand]
-                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                low = np.repeat(np.minimum.reduceat(r, starts), np.diff(np.concatenate([starts, [len(hand)]])))
-                best = np.flatnonzero(r == low)
-                i = hand[best[np.concatenate([[True], of[best[1:]] != of[best[:-1]]])]]
-                j = after[i]
-                sym[i], sym[j], rank[j] = rank[i], -1, NONE
-                nxt = after[i] = after[j]
-                right, left = nxt >= 0, before[i]
-                before[nxt[right]] = i[right]
-                rank[i] = NONE
-                a, h = i[right], left[left >= 0]
-                rank[a] = self.pair(sym[a], sym[nxt[right]])
-                rank[h] = self.pair(sym[h], sym[after[h]])
-                touched = np.concatenate([a, h])
-                near = rank[touched] < top
-                if len(far := touched[~near]):
-                    put(far)
-                hand = _distinct(np.concatenate([hand, touched[near]])) if near.any() else hand
+        index = PairIndex(self.n)
+        index.put(sym, after, rank, has[rank[has] != NONE])
+        while (r := index.lowest()) is not None:
+            places = index.take(r)
+            if len(places) < FEW:
+                self._merge_few(r, places, sym, after, before, rank, word, index)
+            else:
+                self._merge_many(r, places, sym, after, before, rank, word, index)
         left = sym >= 0
         return sym[left], np.bincount(word[left], minlength=len(words))
 
+    def _merge_many(self, r, places, sym, after, before, rank, word, index) -> None:
+        """One rank's places of all words at once."""
+        p = _distinct(places)
+        p = p[rank[p] == r]  # the others were merged away, or their pair changed
+        if not len(p):
+            return
+        # of places that share a symbol every second one stands
+        tied = np.concatenate([[False], after[p[:-1]] == p[1:]])
+        runs = np.flatnonzero(~tied)
+        p = p[(np.arange(len(p)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(p)]])))) % 2 == 0]
+        q, left = after[p], before[p]
+        right = after[q]
+        # the pairs that each makes when it comes, those left of it done and those right of it not
+        joined = np.concatenate([[False], q[:-1] == left[1:]])
+        l, m = left >= 0, right >= 0
+        lower = np.zeros(len(p), bool)
+        lower[l] = self.pair(np.where(joined[l], r, sym[left[l]]), np.full(l.sum(), r)) <= r
+        lower[m] |= self.pair(np.full(m.sum(), r), sym[right[m]]) <= r
+        if lower.any():  # the word's places after such a pair wait
+            w = word[p]
+            firsts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            so_far = np.cumsum(lower) - lower
+            go = so_far == np.repeat(so_far[firsts], np.diff(np.concatenate([firsts, [len(w)]])))
+            wait, p, q, right = p[~go], p[go], q[go], right[go]
+        else:
+            wait = p[:0]
+        sym[p], sym[q], rank[q] = r, -1, NONE
+        after[p] = right
+        before[right[right >= 0]] = p[right >= 0]
+        back = before[p]
+        touched = _distinct(np.concatenate([p, back[back >= 0]]))
+        nxt = after[touched]
+        rank[touched] = np.where(nxt >= 0, self.pair(sym[touched], sym[nxt]), NONE)
+        index.put(sym, after, rank, touched[rank[touched] != NONE])
+        index.put(sym, after, rank, wait[rank[wait] == r])
+
+    def _merge_few(self, r, places, sym, after, before, rank, word, index) -> None:
+        """A rank of few places: one after the other, from the left."""
+        get, n, held = self.pairs.get, self.n, -1
+        sym_, after_, before_, rank_, word_ = (memoryview(x) for x in (sym, after, before, rank, word))
+        for p in sorted(places.tolist()):
+            if rank_[p] != r:
+                continue
+            if word_[p] == held:  # a pair as low stands left of it
+                index.add(sym_[p] * n + sym_[after_[p]], r, p)
+                continue
+            q = after_[p]
+            right, left = after_[q], before_[p]
+            sym_[p], sym_[q], rank_[q], after_[p] = r, -1, NONE_, right
+            rank_[p] = NONE_
+            if right >= 0:
+                before_[right] = p
+                key = r * n + sym_[right]
+                if (x := get(key)) is not None:
+                    rank_[p] = x
+                    index.add(key, x, p)
+                    if x <= r:
+                        held = word_[p]
+            if left >= 0:
+                key = sym_[left] * n + r
+                x = get(key)
+                rank_[left] = NONE_ if x is None else x
+                if x is not None:
+                    index.add(key, x, left)
+                    if x <= r:
+                        held = word_[p]
+
     def encode(self, text: str) -> list[int]:
         return self.replay([w.encode("utf-8", "surrogatepass") for w in self.cut(text)])[0].tolist()
 
@@ -272,6 +347,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int
     def run(batches):
         ranks, store = _load(ranks_path, pattern), Store(store_size)
         sha = hashlib.sha256
+        gc.disable()  # stores and indexes hold millions of tuples and no cycle; looking for cycles takes a sixth of the time
         for batch in batches:
             rows: list[tuple] = []
             for first, end in C.slices(batch.column(1), 2 << 20):

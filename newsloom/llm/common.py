@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and \t..\r.
@@ -57,6 +57,45 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def free_prefix(df: DataFrame, wanted: str = "_n_") -> str:
+    """A beginning that no column name of df has."""
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
+        wanted = "_" + wanted
+    return wanted
+
+
+#: Words of 64 bits that a key filter has at most (16 MB broadcast).
+FILTER_WORDS = 1 << 20
+
+
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """rows with the boolean column `flag`: false only if `key` is no value of `keys` (one column, long).
+
+    A filter of one bit for each hashed key, 16 bits for each key up to FILTER_WORDS words, is broadcast: rows that
+    cannot have a partner need not be shuffled to learn it. Beyond that size more rows are flagged in vain, no row is missed.
+    """
+    hashed, m = keys.select(F.xxhash64(F.col(keys.columns[0])).alias("h")), 64
+    n = hashed.count()
+    while m < 64 * FILTER_WORDS and m < 16 * n:
+        m *= 2
+    place = lambda h: h.bitwiseAND(F.lit(m - 1))
+    p = free_prefix(rows)
+    bit = lambda c: f"shiftleft(1L, int({c} & 63))"
+    words = hashed.select(place(F.col("h")).alias("at")).groupBy(F.expr("at div 64").alias(f"{p}word")).agg(F.expr(f"bit_or({bit('at')})").alias(f"{p}bits"))
+    words = written(words, "filter")
+    asked = rows.withColumn(f"{p}at", place(F.xxhash64(key))).withColumn(f"{p}of", F.expr(f"`{p}at` div 64"))
+    met = asked.join(F.broadcast(words), F.col(f"{p}of") == F.col(f"{p}word"), "left")
+    return met.withColumn(flag, F.coalesce(F.expr(f"(`{p}bits` & {bit(f'`{p}at`')}) <> 0"), F.lit(False))).drop(f"{p}at", f"{p}of", f"{p}word", f"{p}bits")
+
+
+def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """rows whose number `name` is not in `gone` (one column); only rows that the filter flags are shuffled."""
+    flag = free_name(rows, "flag")
+    asked = flagged(rows, F.col(name), gone, flag)
+    stay = asked.where(~F.col(flag)).drop(flag)
+    return stay.unionByName(asked.where(flag).drop(flag).join(gone.select(F.col(gone.columns[0]).alias(name)), name, "left_anti").select(*rows.columns))
+
+
 def numbered(documents: DataFrame, name: str) -> DataFrame:
     """documents with a number for each row that stays the same in every later read.
 

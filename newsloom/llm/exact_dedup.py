@@ -4,7 +4,9 @@ A document is the byte string of its text, each run of white space replaced by o
 it. Groups of documents are split by successive bytes: first by length and the first `stride` bytes, then, in
 each round, by the next run of bytes, four times as long as the one before. A group of one is finished; so is a
 group whose bytes have ended: its texts are equal, byte for byte, and no digest was asked. Only the others go on,
-so that a document's bytes move about as far as another document agrees with it.
+so that a document's bytes move about as far as another document agrees with it: the first round aggregates a few bytes
+of each document where it is read, and only documents that a broadcast filter of the groups of two or more flags are
+shuffled with their texts.
 
 A round is an aggregate by (group, next bytes), partial on the reading side, and a join of the remaining documents
 with its groups of two or more. A group's name is the smallest row number in it. Remaining documents are written
@@ -49,7 +51,8 @@ def classes(documents: DataFrame, stride: int = 64, row: str | None = None) -> D
     first = C.written(_groups(rows.drop("data"), "size", "digits"), "radix-groups")
     out = _alone(first)
     shared = first.where("n > 1").select("size", "digits", "name")
-    left = C.written(rows.join(shared, ["size", "digits"]).select("name", "rid", "doc_id", "size", "sha", _bytes(F.col("data"), stride + 1, 2**30).alias("data")), "radix-rows")
+    asked = C.flagged(rows, F.xxhash64("size", "digits"), shared.select(F.xxhash64("size", "digits").alias("k")), "flag").where("flag").drop("flag")
+    left = C.written(asked.join(shared, ["size", "digits"]).select("name", "rid", "doc_id", "size", "sha", _bytes(F.col("data"), stride + 1, 2**30).alias("data")), "radix-rows")
     done = stride
     while True:
         ended = left.where(F.col("size") <= done).drop("data")
@@ -71,5 +74,5 @@ def deduplicate(documents: DataFrame, stride: int = 64) -> DataFrame:
     """The rows of documents that stay, with all their columns."""
     name = C.free_name(documents, "rid")
     rows = C.numbered(documents, name)
-    keep = classes(rows, stride, name).where("kept").select(F.col("rid").alias(name))
-    return rows.join(keep, name, "left_semi").select(*documents.columns)
+    gone = C.written(classes(rows, stride, name).where("not kept").select("rid"), "copies")
+    return C.without(rows, name, gone).select(*documents.columns)

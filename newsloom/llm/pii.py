@@ -5,16 +5,23 @@ permutation of all canonical forms of its format: character after character is s
 (digits, vowels or consonants of a script, by case), by a hash of the key and all other characters, twice round.
 Each shift can be undone, so different entities have different surrogates, and one entity has one surrogate in
 every document and layout: coreference needs no table. What makes a value valid is kept: the octets of addresses,
-the issuer digit and check digit of cards, country codes, the top-level domain; a name keeps its title and the
-last letter of each word, which carry its gender.
+the issuer digit and check digit of cards, country codes, the top-level domain.
+
+Names are found after a title, or where a known given name stands before capitalised words. They are replaced word
+by word, so that "Maria Lopez" and "Mrs. Lopez" stay one family: a known given name becomes another of the same
+gender and script (a rotation of its list, by the key), any other word is permuted, keeping the last letter, which
+carries gender where words do. The title stays.
 
 Labels and hexadecimal digits count in either case, and secrets of any length. One of more than PART characters
-is permuted part by part, each with a key of its place.
+is permuted part by part, each with a key of its place. Runs of 13 to 19 digits are cards only if the check digit is right.
 
-Collision check. A surrogate must be no real entity of the corpus, itself included. The distinct entities of the
-corpus are a table; a surrogate found in it is permuted again until it is not (walking a permutation past a set
-keeps images distinct). Such entities are few; the documents that hold one get them joined, all others are
-rewritten where they are read.
+Collision check. No surrogate may be a real value of the corpus, and no two entities may share one. The distinct
+entities are a table; they are grouped with their surrogates by value. An entity whose surrogate is real, or
+belongs to another (one of several keeps it), draws again with the next attempt's key, against all real values and all surrogates
+given so far, until none is left. After WIDE attempts the format is made one character longer with each attempt (names, e-mails, secrets, phones),
+so that a small format in which every value is taken is left behind; a format that cannot grow raises an error
+after ATTEMPTS rather than keep a real value. Entities that drew again are few; only rows that a broadcast filter of
+them flags are joined with them, all others are rewritten where they are read.
 
 All of it is DataFrame expressions, no Python runs over rows.
 
@@ -24,27 +31,41 @@ overlapping kinds go to the first that matches from the left; other columns are
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа"
+# ---- Fixed values: given names by gender and script. ----
+GIVEN = {
+    "female, Latin": "Anna Maria Elena Laura Sofia Julia Emma Olivia Charlotte Isabella Camille Chloé Claire Inès Léa Manon Marie Sophie Katharina Lena Johanna Hannah Greta Ingrid Carmen Lucía Paula Marta Mary Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Emily".split(),
+    "male, Latin": "Carlos Juan José Miguel Antonio Pedro Diego Javier Pablo Luis Jean Pierre Michel Louis Antoine Nicolas Hugo Lucas Thomas Hans Peter Klaus Wolfgang Jürgen Stefan Matthias Felix James John Robert Michael William David Richard Joseph Charles Daniel Matthew".split(),
+    "female, Cyrillic": "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия Дарья Полина".split(),
+    "male, Cyrillic": "Александр Дмитрий Сергей Андрей Алексей Иван Михаил Николай Владимир Павел Олег Виктор".split(),
+}
+# ---- End of fixed values. ----
+_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_LABELS = "token|secret|passwd|password|api_key|apikey|access_key"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Pattern of each kind, tried in this order at each place. Look-behinds are bounded, and short ones stand before
 #: long ones, which are tried in few places then; no repeat holds another that can match the same text in two ways.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "secret": r"(?<=[=:\"' ])(?<=[=:][ ]{0,2}[\"']?)(?<=(?i:token|secret|passwd|password|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{8,}+|(?<![0-9A-Za-z_])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{36})(?![0-9A-Za-z_])|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+    "secret": r"(?<=[=:\"' ])(?<=[=:][ ]{0,2}[\"']?)(?<=(?i:@LABELS@)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{8,}+|(?<![0-9A-Za-z_])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{36})(?![0-9A-Za-z_])|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])".replace("@LABELS@", _LABELS),
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLES})\.? )\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
+    "card": r"(?<![0-9.])(?:[0-9]{13,19}+|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLES})\.? )\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}}){{0,2}}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_])(?:{_GIVEN})(?: \p{{Lu}}\p{{L}}{{1,30}}){{1,2}}",
 }
 PATTERN = "|".join(KINDS.values())
 #: A text without any of these holds no entity.
-_HINT = rf"[0-9]|@|(?i:token|secret|passw|key)|\b(?:{_TITLES})\b"
+_HINT = rf"[0-9]|@|(?i:token|secret|passw|key)|\b(?:{_TITLES})\b|(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}"
+#: Attempts in a format as it is, and attempts in all.
+WIDE, ATTEMPTS = 8, 200
 #: Longer secrets are permuted in parts of so many characters: each step hashes all that it is permuted with.
 PART = 256
 #: Classes whose characters change places with one another only.
@@ -59,12 +80,18 @@ def kind_sql(e: str) -> str:
     """The kind of an entity, from its form; hex is a secret of hexadecimal digits only, HEX one with capitals."""
     return (
         f"CASE WHEN instr({e}, '@') > 0 THEN 'email' WHEN {e} rlike {_q('^' + KINDS['ip'] + '$')} THEN 'ip' WHEN {e} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn' "
-        f"WHEN {e} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' THEN 'card' WHEN {e} rlike '^[+(0-9][0-9 ().+-]{{6,}}$' AND {e} rlike '[ ().+-]' THEN 'phone' WHEN {e} rlike '^[0-9a-f]{{8,}}$' THEN 'hex' "
+        f"WHEN {e} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' THEN if({_valid_sql(e)}, 'card', 'number') WHEN {e} rlike '^[+(0-9][0-9 ().+-]{{6,}}$' AND {e} rlike '[ ().+-]' THEN 'phone' WHEN {e} rlike '^[0-9a-f]{{8,}}$' THEN 'hex' "
         f"WHEN {e} rlike '^[0-9A-Fa-f]{{8,}}$' AND {e} rlike '[0-9]' THEN 'HEX' "
-        f"WHEN {e} rlike '^\\\\p{{Lu}}\\\\p{{L}}+( \\\\p{{Lu}}\\\\p{{L}}+)?$' AND NOT {e} rlike '[0-9]' THEN 'name' ELSE 'secret' END"
+        f"WHEN {e} rlike '^\\\\p{{Lu}}\\\\p{{L}}+( \\\\p{{Lu}}\\\\p{{L}}+){{0,2}}$' AND NOT {e} rlike '[0-9]' THEN 'name' ELSE 'secret' END"
     )
 
 
+def _valid_sql(e: str) -> str:
+    """Whether the check digit of a card's digits is right."""
+    d = f"regexp_replace({e}, '[^0-9]', '')"
+    return f"element_at(transform(array({d}), n -> ({_luhn_sql('n')} + int(substr(n, -1))) % 10 = 0), 1)"
+
+
 def canonical_sql(kind: str, e: str) -> str:
     return f"CASE WHEN {kind} = 'email' THEN lower({e}) WHEN {kind} IN ('phone', 'card', 'ssn') THEN regexp_replace({e}, '[^0-9]', '') ELSE {e} END"
 
@@ -116,69 +143,129 @@ def permute_sql(key: str, kind: str, s: str) -> str:
 
 def layout_sql(kind: str, e: str, s: str) -> str:
     """A canonical surrogate in the layout of the entity: its separators, its capitals."""
-    digits = f"aggregate(sequence(1, length({e})), named_struct('o', '', 'n', 0), (a, i) -> if(substr({e}, i, 1) rlike '[0-9]', named_struct('o', concat(a.o, substr({s}, a.n + 1, 1)), 'n', a.n + 1), named_struct('o', concat(a.o, substr({e}, i, 1)), 'n', a.n)), a -> a.o)"
-    cased = f"array_join(transform(sequence(1, length({e})), i -> if(substr({e}, i, 1) rlike '[A-Z]', upper(substr({s}, i, 1)), substr({s}, i, 1))), '')"
+    digits = f"aggregate(sequence(1, length({e})), named_struct('o', '', 'n', 0), (a, i) -> if(substr({e}, i, 1) rlike '[0-9]', named_struct('o', concat(a.o, substr({s}, a.n + 1, 1)), 'n', a.n + 1), named_struct('o', concat(a.o, substr({e}, i, 1)), 'n', a.n)), a -> concat(a.o, substr({s}, a.n + 1)))"
+    cased = f"array_join(transform(sequence(1, length({s})), i -> if(substr({e}, i, 1) rlike '[A-Z]', upper(substr({s}, i, 1)), substr({s}, i, 1))), '')"
     return f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {digits} WHEN {kind} = 'email' THEN {cased} ELSE {s} END"
 
 
-def _found(text: Column) -> Column:
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _found(text: str) -> str:
+    """SQL of the entities of a text column, in order: e (as it stands), kind, canonical. Numbers that are no card keep their place, as kind 'number'."""
+    each = f"CASE WHEN {text} rlike {_q(_HINT)} THEN regexp_extract_all({text}, {_q(PATTERN)}, 0) ELSE array() END"
+    # what stands before a value tells a secret of digits or letters only from a number or a name
+    label = _q(rf"(?i:{_LABELS})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?$")
+    before = f"slice(split({text}, {_q(PATTERN)}, -1), 1, size(a.each))"
+    formed = f"zip_with(a.each, {before}, (e, p) -> named_struct('e', e, 'secret', p rlike {label}))"
+    kinds = f"transform({formed}, x -> named_struct('e', x.e, 'kind', element_at(transform(array({kind_sql('x.e')}), k -> if(x.secret AND k IN ('number', 'name'), 'secret', k)), 1)))"
+    whole = f"transform({kinds}, x -> named_struct('e', x.e, 'kind', x.kind, 'canonical', {canonical_sql('x.kind', 'x.e')}))"
+    return f"element_at(transform(array(named_struct('each', {each})), a -> if(size(a.each) = 0, array(), {whole})), 1)"
+
+
+_ALL_GIVEN = "array(" + ", ".join(_q(n) for names in GIVEN.values() for n in names) + ")"
+
+
+def _given_sql(key: str, w: str) -> str:
+    """A known given name's surrogate: its list, turned by the key (never by nothing)."""
+    turned = []
+    for label, names in GIVEN.items():
+        by = 1 + int(hashlib.sha256(f"{key}|{label}".encode()).hexdigest(), 16) % (len(names) - 1)
+        turned += [_q(names[(i + by) % len(names)]) for i in range(len(names))]
+    return f"element_at(array({', '.join(turned)}), int(array_position({_ALL_GIVEN}, {w})))"
+
+
+def _parts_sql(kind: str, canonical: str) -> str:
+    """What an entity is replaced by: itself, or a name's words without known given names."""
+    return f"CASE {kind} WHEN 'number' THEN array() WHEN 'name' THEN filter(split({canonical}, ' '), w -> NOT array_contains({_ALL_GIVEN}, w)) ELSE array({canonical}) END"
+
+
+def _asked(documents: DataFrame, *columns: str) -> DataFrame:
+    """kind and canonical of each value to be replaced in each text."""
+    found = documents.select(*columns, F.explode(F.expr(_found("string(text)"))).alias("x"))
+    return found.select(*columns, F.col("x.kind").alias("kind"), F.explode(F.expr(_parts_sql("x.kind", "x.canonical"))).alias("canonical"))
 
 
 def entities(documents: DataFrame) -> DataFrame:
-    """kind and canonical, the distinct entities of all texts."""
-    found = documents.select(F.explode(_found(F.col("text").cast("string"))).alias("e"))
-    found = found.withColumn("kind", F.expr(kind_sql("e")))
-    return found.select("kind", F.expr(canonical_sql("kind", "e")).alias("canonical")).distinct()
-
-
-def walked(real: DataFrame, key: str, rounds: int = 64) -> DataFrame | None:
-    """Entities whose first surrogate is a real one: kind, canonical, surrogate (the first that is not). None if there is none."""
-    going = real.select("kind", "canonical", F.expr(permute_sql(key, "kind", "canonical")).alias("surrogate"))
-    real_too = real.select("kind", F.col("canonical").alias("surrogate"))
-    hits = C.written(going.join(real_too, ["kind", "surrogate"], "left_semi"), "pii-hits")
-    if hits.isEmpty():
-        return None
+    """kind and canonical, the distinct values of all texts that need a surrogate."""
+    return _asked(documents).distinct()
+
+
+def _attempt(key: str, n: int) -> str:
+    """SQL of the surrogate that the n-th attempt draws for kind, canonical."""
+    more = max(0, n - WIDE + 1)
+    grown = "canonical" if not more else (
+        f"CASE kind WHEN 'name' THEN concat(substr(canonical, 1, length(canonical) - 1), repeat(if(canonical rlike '[а-яё]', 'а', 'a'), {more}), substr(canonical, -1)) "
+        f"WHEN 'email' THEN concat(repeat('a', {more}), canonical) WHEN 'card' THEN canonical WHEN 'ip' THEN canonical WHEN 'ssn' THEN canonical ELSE concat(canonical, repeat('0', {more})) END"
+    )
+    return permute_sql(f"{key}#{n}" if n else key, "kind", f"({grown})" if more else "canonical")
+
+
+def surrogates(real: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """kind, canonical and the surrogate drawn first; and the same of those that drew again, with what they got (None if there is none).
+
+    real: distinct kind, canonical. All surrogates that hold are distinct, and none is a value of `real` of any kind.
+    """
+    first = C.written(real.select("kind", "canonical", F.expr(_attempt(key, 0)).alias("surrogate")), "pii-first")
+    me = F.struct("kind", "canonical")
+    by_value = first.select(F.col("surrogate").alias("v"), me.alias("of")).unionByName(first.select(F.col("canonical").alias("v"), F.lit(None).cast("struct<kind:string,canonical:string>").alias("of")))
+    # a value counts once for each that got it, and as taken if it is real; of several the smallest keeps it
+    met = by_value.groupBy("v").agg(F.count_if(F.col("of").isNull()).alias("real"), F.count("of").alias("n"), F.min("of").alias("winner")).where("(real > 0 and n > 0) or n > 1")
+    met = met.select(F.col("v").alias("surrogate"), "real", F.col("winner.kind").alias("wk"), F.col("winner.canonical").alias("wc"))
+    going = C.written(first.join(met, "surrogate").where("real > 0 or kind <> wk or canonical <> wc").select("kind", "canonical"), "pii-again")
+    if going.isEmpty():
+        return first, None
+    taken = first.select(F.col("canonical").alias("surrogate")).unionByName(first.select("surrogate"))
     done = None
-    for _ in range(rounds):  # a format with no free value left (every one is real) keeps what it has
-        again = hits.select("kind", "canonical", F.expr(permute_sql(key, "kind", "surrogate")).alias("surrogate"))
-        again = C.written(again, "pii-walk")
-        free = again.join(real_too, ["kind", "surrogate"], "left_anti").select("kind", "canonical", "surrogate")
-        done = free if done is None else done.unionByName(free)
-        hits = C.written(again.join(real_too, ["kind", "surrogate"], "left_semi").select("kind", "canonical", "surrogate"), "pii-hits")
-        if hits.isEmpty():
-            return C.written(done, "pii-walked")
-    return C.written(done.unionByName(hits), "pii-walked")
+    for n in range(1, ATTEMPTS):
+        drawn = C.written(going.select("kind", "canonical", F.expr(_attempt(key, n)).alias("surrogate")), "pii-drawn")
+        hit = drawn.join(taken if done is None else taken.unionByName(done.select("surrogate")), "surrogate", "left_semi").select("surrogate")
+        one = drawn.groupBy("surrogate").agg(F.min(me).alias("w")).join(hit.distinct(), "surrogate", "left_anti")
+        one = C.written(one.select("w.kind", "w.canonical", "surrogate"), "pii-moved")
+        done = one if done is None else done.unionByName(one)
+        going = C.written(going.join(one, ["kind", "canonical"], "left_anti"), "pii-again")
+        if going.isEmpty():
+            return first, C.written(done, "pii-moved")
+    raise ValueError(f"no free surrogate left for {going.select('kind').distinct().limit(5).collect()}")
 
 
 def collisions(documents: DataFrame, key: str) -> DataFrame:
-    """Surrogates of two entities, or that are a real one, before walking: kind, surrogate, n. For audits."""
-    real = entities(documents)
-    s = real.select("kind", F.expr(permute_sql(key, "kind", "canonical")).alias("surrogate"))
-    return s.unionByName(real.select("kind", F.col("canonical").alias("surrogate"))).groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Surrogates of two entities, or that are a real one, as `replace` gives them: kind, surrogate, n. For audits: always empty."""
+    first, moved = surrogates(C.written(entities(documents), "pii-entities"), key)
+    if moved is not None:
+        first = first.join(moved.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(moved)
+    both = first.select("kind", "surrogate").unionByName(first.select("kind", F.col("canonical").alias("surrogate")))
+    return both.groupBy("surrogate").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "surrogate", "n")
 
 
 def replace(documents: DataFrame, key: str) -> DataFrame:
     """documents with text rewritten, and n_entities, the entities replaced in it."""
     base = documents.drop("n_entities")
-    real = C.written(entities(base), "pii-entities")
-    moved = walked(real, key)
-    names = {n: C.free_name(base, n) for n in ("_rid", "_found", "_moved", "_pieces")}
-    rid, found, over, pieces = names.values()
-    rows = (base if moved is None else C.numbered(base, rid)).withColumn(found, _found(F.col("text").cast("string")))
-    if moved is not None:
-        e = rows.select(rid, F.explode(found).alias("e")).withColumn("kind", F.expr(kind_sql("e"))).withColumn("canonical", F.expr(canonical_sql("kind", "e")))
-        own = e.join(moved, ["kind", "canonical"]).select(rid, F.concat_ws("|", "kind", "canonical").alias("k"), "surrogate").distinct()
-        own = own.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(over))
-        rows = rows.join(own, rid, "left").drop(rid)
+    _, moved = surrogates(C.written(entities(base), "pii-entities"), key)
+    if moved is None:
+        return _rewritten(base, key, None)
+    rid, flag, over = (C.free_name(base, n) for n in ("_rid", "_flag", "_over"))
+    rows = C.numbered(base, rid)
+    name = F.concat_ws("|", "kind", "canonical")
+    k = moved.select(F.xxhash64(name).alias("k"))
+    own = C.flagged(_asked(rows, rid), F.xxhash64(name), k, "hit").where("hit").join(moved, ["kind", "canonical"]).select(rid, name.alias("k"), "surrogate").distinct()
+    own = C.written(own.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(over)), "pii-own")
+    asked = C.flagged(rows, F.col(rid), own.select(rid), flag)
+    plain = _rewritten(asked.where(~F.col(flag)).drop(flag, rid), key, None)
+    return plain.unionByName(_rewritten(asked.where(flag).drop(flag).join(own, rid, "left").drop(rid), key, over))
+
+
+def _rewritten(rows: DataFrame, key: str, over: str | None) -> DataFrame:
+    """Rows with their texts rewritten; over: a column of surrogates by kind|canonical that go before the first drawn ones."""
+    found, pieces = C.free_name(rows, "_found"), C.free_name(rows, "_pieces")
+    rows = rows.withColumn(found, F.expr(_found("string(text)")))
     rows = rows.withColumn(pieces, F.when(F.size(found) > 0, F.split(F.col("text").cast("string"), PATTERN, -1)))
-    first = permute_sql(key, "x.kind", "x.canonical")
-    if moved is not None:
-        first = f"coalesce(try_element_at(`{over}`, concat_ws('|', x.kind, x.canonical)), {first})"
-    kinds = f"transform(`{found}`, e -> named_struct('e', e, 'kind', {kind_sql('e')}))"
-    forms = f"transform({kinds}, x -> named_struct('e', x.e, 'kind', x.kind, 'canonical', {canonical_sql('x.kind', 'x.e')}))"
-    given = f"transform({forms}, x -> named_struct('e', x.e, 'kind', x.kind, 's', {first}))"
+
+    def drawn(kind: str, canonical: str) -> str:
+        first = permute_sql(key, kind, canonical)
+        return first if over is None else f"coalesce(try_element_at(`{over}`, concat_ws('|', {kind}, {canonical})), {first})"
+
+    words = f"array_join(transform(split(x.canonical, ' '), w -> if(array_contains({_ALL_GIVEN}, w), {_given_sql(key, 'w')}, {drawn("'name'", 'w')})), ' ')"
+    given = f"transform(`{found}`, x -> named_struct('e', x.e, 'kind', x.kind, 's', CASE x.kind WHEN 'number' THEN x.e WHEN 'name' THEN {words} ELSE {drawn('x.kind', 'x.canonical')} END))"
     out = f"transform({given}, x -> {layout_sql('x.kind', 'x.e', 'x.s')})"
     joined = f"array_join(zip_with(`{pieces}`, concat({out}, array('')), (p, s) -> concat(p, s)), '')"
-    rows = rows.withColumn("n_entities", F.size(found).cast("long")).withColumn("text", F.when(F.size(found) > 0, F.expr(joined)).otherwise(F.col("text").cast("string")))
-    return rows.drop(found, pieces, over)
+    n = F.expr(f"size(filter(`{found}`, x -> x.kind <> 'number'))").cast("long")
+    rows = rows.withColumn("n_entities", n).withColumn("text", F.when(n > 0, F.expr(joined)).otherwise(F.col("text").cast("string")))
+    return rows.drop(found, pieces, *([over] if over else []))

@@ -3,15 +3,17 @@
 Every text gets a 64-bit fingerprint of its word shingles; fingerprints that differ in at most `radius` bits are
 linked. Equal fingerprints are one point, held with the smallest doc_id, so copies cost nothing after that.
 
-Search. The 64 bits fall into `blocks` parts; two fingerprints within the radius agree on at least
-`blocks - radius` of them, so each point goes to one shard for each choice of that many parts (and for nothing but
-the first choice on which a pair agrees is the pair reported). The number of parts grows with the number of points, so that a shard by
-chance holds few. A shard is a set of points that share those parts; one of more than `most` is dealt, by hash,
-into slices, and each pair of slices is a task of its own, so no task holds an unbounded group and no link is
-lost. In a task, the tree of one slice is a BK-tree (a node's children keyed by their integer Hamming distance to
-it), the points of the other are searched in it, all at once, following only the edges within the radius of the
-distance to the node. What a task found leaves it as a spanning forest of its links, at most one link for each
-point: the components are the same, and a group of near copies gives no square of pairs.
+Search. The 64 bits fall into parts; two fingerprints within the radius agree on at least
+`parts - radius` of them, so each point goes to one shard for each choice of that many parts (the number of parts grows with
+the number of points, so that a shard by chance holds few). Within a shard BK-trees find the links: a node's children are keyed
+by their integer Hamming distance to it, and a search follows only edges within the radius of the distance to the
+node. The shards of a run of rows are a forest of such trees, built and searched level by level, all at once.
+
+A shard of more than `most` points is dealt, by hash, into slices. Each slice becomes one tree, a row of
+bytes of bounded size; trees are broadcast, at most BROADCAST bytes at a time, and the shard's points, spread over all tasks, are
+searched in every tree of their shard. So no task holds an unbounded group, no row is multiplied and no link is
+lost. What a task found leaves it as a spanning forest of its links, at most one link for each point it has: the
+components are the same, and a group of near copies gives no square of pairs.
 
 Links of all shards then go through connected components over shared storage.
 
@@ -73,11 +75,12 @@ def fingerprints(documents: DataFrame, size: int = 4, row: str | None = None) ->
 class BKTree:
     """Nodes are points; the children of a node are keyed by their Hamming distance to it.
 
-    The tree is built level by level and held in arrays: the children of node v are nodes `first[v]` to
-    `first[v] + count[v]`, in order of their edges' distances, `edge`.
+    Built level by level and held in arrays: the children of node v are nodes `first[v]` to `first[v] + count[v]`,
+    in order of their edges' distances, `edge`. With `shard` (a number below `shards` for each point, none without
+    a point) it is a forest of one tree for each shard, whose roots are the nodes of the shards' numbers.
     """
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, shard: np.ndarray | None = None, shards: int = 1):
         n = len(points)
         self.order = np.zeros(n, np.int64)  # node -> place in points
         self.first, self.count, self.edge = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint8)
@@ -85,10 +88,13 @@ class BKTree:
         if not n:
             return
         # a group: points that still hang below one edge; its first becomes the node
-        group, left = np.zeros(n, np.int64), np.arange(n)
-        node, level = 1, np.zeros(1, np.int64)  # ids of this level's nodes, by group
-        self.order[0], self.point[0] = 0, points[0]
-        left, group = left[1:], group[1:]
+        group = np.zeros(n, np.int64) if shard is None else shard
+        roots = np.unique(group, return_index=True)[1]
+        node, level = shards, np.arange(shards)  # ids of this level's nodes, by group
+        self.order[:shards], self.point[:shards] = roots, points[roots]
+        rest = np.ones(n, bool)
+        rest[roots] = False
+        left, group = np.flatnonzero(rest), group[rest]
         while len(left):
             parent = level[group]
             d = np.bitwise_count(points[left] ^ self.point[parent])
@@ -104,13 +110,13 @@ class BKTree:
             group = (np.cumsum(new) - 1)[~new]
             left, level = left[~new], ids
 
-    def within(self, queries: np.ndarray, radius: int):
-        """Pairs (place in queries, place in points) within the radius, in runs."""
+    def within(self, queries: np.ndarray, radius: int, root: np.ndarray | None = None):
+        """Pairs (place in queries, place in points) within the radius, in runs; root: each query's shard."""
         if not len(self.point):
             return
         for start in range(0, len(queries), 4096):
             q = np.arange(start, min(len(queries), start + 4096))
-            v = np.zeros(len(q), np.int64)
+            v = np.zeros(len(q), np.int64) if root is None else root[q]
             while len(q):
                 d = np.bitwise_count(queries[q] ^ self.point[v]).astype(np.int16)
                 near = d <= radius
@@ -122,6 +128,22 @@ class BKTree:
                 go = np.abs(self.edge[kids].astype(np.int16) - d) <= radius
                 q, v = q[go], kids[go]
 
+    def dumped(self) -> bytes:
+        """The tree as bytes, 21 for each point; places in points are not kept (nodes are known by their points)."""
+        parts = (self.point, self.first.astype(np.uint32), self.count.astype(np.uint32), self.edge)
+        return np.uint32(len(self.point)).tobytes() + b"".join(x.tobytes() for x in parts)
+
+    @classmethod
+    def loaded(cls, data: bytes) -> "BKTree":
+        """A tree from its bytes; `order` numbers its nodes."""
+        out, n, at = cls(np.zeros(0, np.uint64)), int(np.frombuffer(data, np.uint32, 1)[0]), 4
+        for name, kind in (("point", np.uint64), ("first", np.uint32), ("count", np.uint32), ("edge", np.uint8)):
+            x = np.frombuffer(data, kind, n, at)
+            at += x.nbytes
+            setattr(out, name, x.astype(np.int64) if kind is np.uint32 else x)
+        out.order = np.arange(n)
+        return out
+
 
 def forest(n: int, pairs) -> list[tuple[int, int]]:
     """Links enough to join what the pairs join; pairs: runs of two arrays of places below n."""
@@ -163,7 +185,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(points: DataFrame, radius: int = 4, most: int = 2048) -> DataFrame:
+#: Bytes of trees that are broadcast at a time.
+BROADCAST = 32 << 20
+
+
+def links(points: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     """points: distinct fp. Result: a, b, links that join all fp within the radius of one another."""
     n = points.count()
     parts, choices = plan(n, radius)
@@ -171,25 +197,17 @@ def links(points: DataFrame, radius: int = 4, most: int = 2048) -> DataFrame:
     # (shard, fp): the shard's number and the fingerprint under its mask
     put = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "under"))
     size = put.groupBy("c", "under").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    shards = put.join(size.where("lo <> hi").select("c", "under", "n"), ["c", "under"])
-    # slices of a large shard: slice i meets each slice j; a row goes to the tasks (i, j) and (j, i), k of them
-    k = F.ceil(F.col("n") / most).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")
-    dealt = (
-        shards.withColumn("k", k).withColumn("s", mine)
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("c", "under", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "fp")
-    )
-
-    # many shards go through one call: rows of a partition are sorted by task, so that a task is a run of rows
-    tasks = dealt.repartition("c", "under", "i", "j").sortWithinPartitions("c", "under", "i", "j")
+    shards = C.written(put.join(size.where("lo <> hi").select("c", "under", "n"), ["c", "under"]), "shards")
+    # many shards go through one call: rows of a partition are sorted by shard, so that a shard is a run of rows
+    small = shards.where(F.col("n") <= most).select("c", "under", "fp").repartition("c", "under").sortWithinPartitions("c", "under")
 
     def run(batches):
         held: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = rows[["c", "under", "i", "j"]].to_numpy()
-            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
+            c, under = rows["c"].to_numpy(), rows["under"].to_numpy()
+            other = np.flatnonzero((c != c[-1]) | (under != under[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 yield search(rows.iloc[:last])
             held = rows.iloc[last:]
@@ -197,38 +215,72 @@ def links(points: DataFrame, radius: int = 4, most: int = 2048) -> DataFrame:
             yield search(held)
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows[["c", "under", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        ends = np.concatenate([starts[1:], [len(rows)]])
-        fp = rows["fp"].to_numpy().astype(np.int64)
-        a, b = [], []
-        # shards of two, nearly all by chance, need no tree
-        two = starts[(ends - starts) == 2]
-        near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
-        a.append(np.maximum(fp[two[near]], fp[two[near] + 1]))
-        b.append(np.minimum(fp[two[near]], fp[two[near] + 1]))
-        s, i, j = (rows[x].to_numpy() for x in "sij")
-        for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
-            if y - x <= 2:
-                continue
-            here = np.sort(fp[x:y]) if i[x] == j[x] else None
-            if here is not None:
-                tree, asked, base = BKTree(here.view(np.uint64)), here, 0
-            else:
-                one, other = np.sort(fp[x:y][s[x:y] == i[x]]), np.sort(fp[x:y][s[x:y] == j[x]])
-                here, tree, asked, base = np.concatenate([one, other]), BKTree(one.view(np.uint64)), other, len(one)
-            found = forest(len(here), ((q + base, p) for q, p in tree.within(asked.view(np.uint64), radius)))
-            if found:
-                f = np.array(found)
-                a.append(here[f[:, 0]])
-                b.append(here[f[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return tasks.mapInPandas(run, "a long, b long").distinct()
-
-
-def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 2048, row: str | None = None) -> DataFrame:
+        c, under, fp = (rows[x].to_numpy() for x in ("c", "under", "fp"))
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (under[1:] != under[:-1])])
+        shard = np.cumsum(new) - 1
+        tree = BKTree(fp.view(np.uint64), shard, int(shard[-1]) + 1)
+        return _ends(fp, forest(len(fp), tree.within(fp.view(np.uint64), radius, shard)))
+
+    found = small.mapInPandas(run, "a long, b long")
+    large = shards.where(F.col("n") > most).select("c", "under", "n", "fp")
+    if not large.isEmpty():
+        found = found.unionByName(_large_links(large, radius, most))
+    return found.distinct()
+
+
+def _ends(fp: np.ndarray, found: list[tuple[int, int]]) -> pd.DataFrame:
+    f = np.array(found, np.int64).reshape(-1, 2)
+    a, b = fp[f[:, 0]], fp[f[:, 1]]
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _large_links(large: DataFrame, radius: int, most: int) -> DataFrame:
+    """Links of shards of more than `most` points: each slice's tree meets all points of its shard, by broadcast."""
+    spark = large.sparkSession
+    slices = F.ceil(F.col("n") / most).cast("int")
+    sliced = large.select("c", "under", F.pmod(F.xxhash64("fp", F.lit(1)), slices).cast("int").alias("s"), "fp")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = BKTree(np.sort(rows["fp"].to_numpy()).view(np.uint64))
+        return pd.DataFrame({"c": rows["c"].iloc[:1], "under": rows["under"].iloc[:1], "tree": [tree.dumped()]})
+
+    trees = sliced.groupBy("c", "under", "s").applyInPandas(build, "c int, under long, tree binary")
+    trees = C.written(trees.withColumn("size", F.octet_length("tree")), "trees")
+    total = trees.agg(F.sum("size")).first()[0]
+    rounds = -(-total // BROADCAST)
+    if rounds > 1:  # trees are of about one size and dealt by hash, half as many rounds more leave room for uneven ones
+        rounds += rounds // 2 + 1
+    points = C.written(large.select("c", "under", "fp").repartition(spark.sparkContext.defaultParallelism * 2, F.xxhash64("fp", F.lit(2))), "large-shards")
+    every = None
+    for k in range(rounds):
+        mine = trees.where(F.pmod(F.xxhash64("c", "under", "tree"), F.lit(rounds)) == k)
+        held: dict = {}
+        for r in mine.select("c", "under", "tree").toLocalIterator():  # about BROADCAST bytes
+            held.setdefault((r.c, r.under), []).append(bytes(r.tree))
+        sent = spark.sparkContext.broadcast(held)
+
+        def meet(batches):
+            loaded = {shard: [BKTree.loaded(t) for t in ts] for shard, ts in sent.value.items()}
+            for batch in batches:
+                for shard, rows in batch.groupby(["c", "under"]):
+                    trees_ = loaded.get((int(shard[0]), int(shard[1])), [])
+                    if not trees_:
+                        continue
+                    asked = rows["fp"].to_numpy()
+                    known = np.concatenate([asked, *[t.point.view(np.int64) for t in trees_]])
+                    bases = np.cumsum([len(asked), *[len(t.point) for t in trees_]])
+                    pairs = ((q, p + base) for t, base in zip(trees_, bases.tolist(), strict=False) for q, p in t.within(asked.view(np.uint64), radius))
+                    # a point and its own node are one: joined without a link
+                    fp, one = np.unique(known, return_inverse=True)
+                    yield _ends(fp, forest(len(fp), ((one[a], one[b]) for a, b in pairs)))
+
+        links_ = C.written(points.mapInPandas(meet, "a long, b long").distinct(), "large-links")
+        every = links_ if every is None else every.unionByName(links_)
+        sent.destroy()
+    return every
+
+
+def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 4096, row: str | None = None) -> DataFrame:
     """doc_id, fp (signed), component (its smallest fingerprint), component_id and rid (the column `row`) of each row."""
     rows = C.written(fingerprints(documents, size, row), "fingerprints")
     points = C.written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
@@ -246,11 +298,12 @@ def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 2048) -> DataFrame:
+def deduplicate(documents: DataFrame, size: int = 4, radius: int = 4, most: int = 4096) -> DataFrame:
     """The rows of documents that stay: of each component the one with the smallest doc_id (of rows that share it, one)."""
     name = C.free_name(documents, "rid")
     rows = C.numbered(documents, name)
     found = near_duplicates(rows, size, radius, most, name)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")
-    stay = found.groupBy("component").agg(best).select(F.col("best.rid").alias(name))
-    return rows.join(stay, name, "left_semi").select(*documents.columns)
+    stay = found.groupBy("component").agg(best).select("component", F.col("best.rid").alias("stays"))
+    gone = C.written(found.join(stay, "component").where("rid <> stays").select("rid"), "near-copies")
+    return C.without(rows, name, gone).select(*documents.columns)

@@ -4,8 +4,10 @@ A piece model (BPE with byte fallback) turns spaces into a mark and merges the n
 scores best, the leftmost first. No piece has a mark after another character, so a text falls into pre-tokens
 (marks, then other characters) that merge apart from each other. The distinct pre-tokens of a batch are held as
 one ragged array of symbols; in each step every sequence applies its lowest-rank pair, all at once; what survives
-is counted (a character that is no piece counts its UTF-8 bytes). Sequences of more than `LONG` symbols, where
-a step of the whole array for each merge would be slow, go through a priority queue to the same result.
+is counted (a character that is no piece counts its UTF-8 bytes). Sequences of more than `SHORT` symbols are held
+in blocks with the lowest rank of each, so that a step looks at one number for each block and at the blocks that
+hold the sequence's lowest rank, and it applies all occurrences of the pair, from the left up to the first that
+makes a pair of a rank as low: the steps of a sequence are about its distinct pairs, whatever its length.
 
 Counts of pre-tokens are kept between batches in a store of bounded size.
 
@@ -14,7 +16,6 @@ Cases: null and empty texts have 0 tokens; repeated rows are counted each; other
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterable
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MARK = "▁"
-LONG = 192
+SHORT = 64
+BLOCK = 64
 NONE = np.int32(2**31 - 1)
 
 
@@ -132,12 +134,19 @@ class Pieces:
         """Tokens of each pre-token."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(words), np.int64)
-        some = np.flatnonzero(sizes <= LONG)
+        some = np.flatnonzero(sizes <= SHORT)
         for at in range(0, len(some), 50_000):
             part = some[at : at + 50_000]
             out[part] = self._together([words[i] for i in part.tolist()], sizes[part])
-        for i in np.flatnonzero(sizes > LONG).tolist():
-            out[i] = self._alone(words[i])
+        # sequences of about one length need about as many steps
+        long = np.flatnonzero(sizes > SHORT)
+        long = long[np.argsort(sizes[long], kind="stable")]
+        first = 0
+        while first < len(long):
+            end = first + max(1, int(np.searchsorted(np.cumsum(sizes[long[first:]]), 1 << 21, "right")))
+            part = long[first:end]
+            out[part] = self._in_blocks([words[i] for i in part.tolist()], sizes[part])
+            first = end
         return out
 
     def _together(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
@@ -184,31 +193,73 @@ class Pieces:
     def _pairs(self, sym: np.ndarray, seq: np.ndarray) -> np.ndarray:
         return self._pairs_at(sym, seq, np.arange(len(sym))) if len(sym) else np.zeros(0, np.int32)
 
-    def _alone(self, word: str) -> int:
-        """A long sequence: the same merges in the same order, by a priority queue."""
-        ids, rank, sym = self.ids, self.rank, list(word)
-        after = list(range(1, len(sym))) + [-1]
-        before = list(range(-1, len(sym) - 1))
-        queue: list = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (p := ids.get(sym[i] + sym[after[i]])) is not None:
-                heapq.heappush(queue, (int(rank[p]), i, len(sym[i]), sym[i] + sym[after[i]]))
-
-        for i in range(len(sym)):
-            offer(i)
-        while queue:
-            _, i, n, piece = heapq.heappop(queue)
-            j = after[i]
-            if sym[i] is None or j < 0 or len(sym[i]) != n or sym[i] + sym[j] != piece:
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each pair of symbols and its rank (NONE for no piece)."""
+        made = self.merge(a, b)
+        return made, np.where(made < 0, NONE, self.rank[made])
+
+    def _in_blocks(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Rank-synchronous over blocks: in each step, each sequence merges all occurrences of its lowest-rank pair that come next."""
+        n_blocks = -(-sizes // BLOCK)
+        first_block = np.cumsum(n_blocks) - n_blocks
+        total = int(n_blocks.sum()) * BLOCK
+        place = np.arange(int(sizes.sum())) + np.repeat(first_block * BLOCK - (np.cumsum(sizes) - sizes), sizes)
+        sym, made, rank = np.full(total + 1, self.n, np.int32), np.full(total, -1, np.int32), np.full(total, NONE, np.int32)
+        sym[place] = self.chars[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        after, before = np.full(total + 1, -1, np.int64), np.full(total + 1, -1, np.int64)
+        inner = np.ones(len(place), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        after[place[inner]] = place[inner] + 1
+        before[place[inner] + 1] = place[inner]
+        alive = np.zeros(total, bool)
+        alive[place] = True
+        has = place[inner]
+        made[has], rank[has] = self._rank_of(sym[has], sym[has + 1])
+        by_block = rank.reshape(-1, BLOCK)
+        low_of = by_block.min(axis=1)
+        seq_of_block = np.repeat(np.arange(len(words)), n_blocks)
+        blocks = np.arange(len(low_of))  # of the sequences that still merge
+        while len(blocks):
+            of = seq_of_block[blocks]
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            held = low_of[blocks]
+            low = np.minimum.reduceat(held, starts)
+            low = np.repeat(low, np.diff(np.concatenate([starts, [len(blocks)]])))
+            if (low == NONE).any():
+                blocks = blocks[low != NONE]
                 continue
-            sym[i], sym[j] = piece, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return sum(1 if s in ids else len(s.encode("utf-8", "surrogatepass")) for s in sym if s is not None)
+            hit = blocks[held == low]
+            rows, columns = np.nonzero(by_block[hit] == held[held == low][:, None])
+            p = hit[rows] * BLOCK + columns
+            # of occurrences that share a symbol every second one stands
+            tied = np.concatenate([[False], after[p[:-1]] == p[1:]])
+            runs = np.flatnonzero(~tied)
+            p = p[(np.arange(len(p)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(p)]])))) % 2 == 0]
+            q, m, r = after[p], made[p], rank[p]
+            # the pairs that each makes when it comes, those left of it done and those right of it not
+            left = before[p]
+            joined = np.concatenate([[False], q[:-1] == left[1:]])
+            left_sym = np.where(joined, np.concatenate([m[:1], m[:-1]]), sym[left])
+            lower = (left >= 0) & (self._rank_of(left_sym, m)[1] <= r)
+            right = after[q]
+            lower |= (right >= 0) & (self._rank_of(m, sym[right])[1] <= r)
+            if lower.any():  # what comes after such a pair waits
+                s = seq_of_block[p // BLOCK]
+                firsts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                so_far = np.cumsum(lower) - lower
+                go = so_far == np.repeat(so_far[firsts], np.diff(np.concatenate([firsts, [len(s)]])))
+                p, q, m, right = p[go], q[go], m[go], right[go]
+            sym[p], alive[q], rank[q] = m, False, NONE
+            after[p] = right
+            before[right[right >= 0]] = p[right >= 0]
+            back = before[p]
+            touched = np.unique(np.concatenate([p, back[back >= 0]]))
+            nxt = after[touched]
+            made[touched], found = self._rank_of(sym[touched], sym[nxt])
+            rank[touched] = np.where(nxt >= 0, found, NONE)
+            changed = np.unique(np.concatenate([touched, q]) // BLOCK)
+            low_of[changed] = by_block[changed].min(axis=1)
+        return np.bincount(seq_of_block[np.flatnonzero(alive) // BLOCK], self.cost(sym[:-1][alive]), len(words)).astype(np.int64)
 
 
 class Store:

@@ -87,7 +87,7 @@ def test_op4_equals_brute_force(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
-@pytest.mark.parametrize("most", [2048, 3])
+@pytest.mark.parametrize("most", [4096, 3])
 def test_links_of_dense_groups(spark, most):
     """Chains and balls of near fingerprints, also when shards are cut into slices."""
     draw = np.random.default_rng(3)
