@@ -74,12 +74,17 @@ def train(rows: list[tuple[str, str]], bits: int = 17, least: int = 5) -> Model:
     tally: dict[str, int] = {}
     for _, lang in rows:
         tally[lang] = tally.get(lang, 0) + 1
-    languages = sorted(x for x, n in tally.items() if n >= least) or []
+    languages = sorted(x for x, n in tally.items() if n >= least)
     count = np.zeros((1 << bits, max(1, len(languages))), np.float64)
     for text, lang in rows:
         if lang in languages:
             for _, x in _buckets(_bytes(pa.array([text]))[0], bits):
                 count[:, languages.index(lang)] += np.bincount(x, minlength=1 << bits)
+    return _model(languages, count, bits)
+
+
+def _model(languages: list[str], count: np.ndarray, bits: int) -> Model:
+    """count: how often each bucket occurs in each language."""
     seen = count.sum(axis=1) > 0
     share = (count + 0.5) / (count.sum(axis=0) + 0.5 * (seen.sum() + 1))
     logp = np.log(share)
@@ -109,7 +114,9 @@ def fit(documents: DataFrame, max_rows: int = 3000, language: str = "lang", **ho
     No language is left out for its share of the rows: each gets `least` rows of train() or more.
     """
     least = how.get("least", 5)
-    spark, known = documents.sparkSession, documents.where(F.col(language).isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
+    bits = how.get("bits", 17)
+    spark, known = documents.sparkSession, documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col(language).cast("string").alias("language"))
+    known, language = known.where(F.col("language").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull()), "language"
     rows = known.select("doc_id", language).distinct()
     sizes = {r[0]: r[1] for r in rows.groupBy(language).agg(F.count(F.lit(1))).collect() if r[1] >= least}
     if not sizes:
@@ -127,8 +134,24 @@ def fit(documents: DataFrame, max_rows: int = 3000, language: str = "lang", **ho
     chosen = spark.createDataFrame([(i, x) for x, ids in picked.items() for i in ids], T.StructType([known.schema["doc_id"], known.schema[language]]))
     # at most `part` numbers for each language: a bounded side to broadcast
     met = known.join(F.broadcast(chosen), ["doc_id", language], "left_semi")
-    found = met.groupBy("doc_id", language).agg(F.min("text").alias("t")).select("t", language).collect()  # of rows with one doc_id and language one counts
-    return train(sorted((r[0], str(r[1])) for r in found), **how)
+    texts = met.groupBy("doc_id", language).agg(F.min("text").alias("text")).select("text", language)  # of rows with one doc_id and language one counts
+    languages = sorted(picked)
+    places = {x: i for i, x in enumerate(languages)}
+
+    def tally(batches):
+        count = np.zeros((len(languages), 1 << bits), np.int64)
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for _, x in _buckets(_bytes(pa.array([text]))[0], bits):
+                    count[places[lang]] += np.bincount(x, minlength=1 << bits)
+        at, bucket = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bucket), pa.array(count[at, bucket])], ["at", "bucket", "n"])
+
+    # no text reaches the driver: sums for 2**bits buckets of each language do
+    sums = texts.mapInArrow(tally, "at long, bucket long, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros((1 << bits, len(languages)), np.float64)
+    count[sums["bucket"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
+    return _model(languages, count, bits)
 
 
 def _softmax(z: Column) -> Column:
@@ -162,26 +185,26 @@ def identify(
     base = documents.drop(*ADDED)
     if not model.languages:
         return base.withColumns({"language": F.lit("und"), "confidence": F.lit(0.0), "coverage": F.lit(0.0), "kept": F.lit(False)})
-    k = len(model.languages)
+    k, p = len(model.languages), C.free_prefix(base)
     sent = spark.sparkContext.broadcast(model)
 
     def run(at, echoed):
         def go(batches):
             for batch in batches:
-                like, n, known = evidence(batch.column(at).cast(pa.string()), sent.value)
+                like, n, known_ = evidence(batch.column(at).cast(pa.string()), sent.value)
                 z = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array((like * temper).ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:echoed], z, pa.array(np.where(n > 0, known / np.maximum(n, 1), 0.0))], [*batch.schema.names[:echoed], "_like", "_known"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:echoed], z, pa.array(np.where(n > 0, known_ / np.maximum(n, 1), 0.0))], [*batch.schema.names[:echoed], f"{p}like", f"{p}known"])
 
         return go
 
     nothing = F.lit(None).cast("string")
-    facts = [(nothing if c is None else c.cast("string")).alias(name) for c, name in ((host, "_host"), (declared, "_declared"), (suffix, "_suffix"))]
+    facts = [(nothing if c is None else c.cast("string")).alias(name) for c, name in ((host, f"{p}host"), (declared, f"{p}declared"), (suffix, f"{p}suffix"))]
 
     def scored(columns: list[str]) -> DataFrame:
         """Those columns and the facts, with _like and _known; a text goes to Python once."""
         rows = base.select(*[F.col(f"`{c}`") for c in columns], *facts)
         echoed = len(rows.columns)
-        schema = T.StructType([*rows.schema.fields, T.StructField("_like", T.ArrayType(T.DoubleType())), T.StructField("_known", T.DoubleType())])
+        schema = T.StructType([*rows.schema.fields, T.StructField(f"{p}like", T.ArrayType(T.DoubleType())), T.StructField(f"{p}known", T.DoubleType())])
         if "text" not in columns:
             rows = base.select(*[F.col(f"`{c}`") for c in columns], *facts, "text")
         return rows.mapInArrow(run(rows.columns.index("text"), echoed), schema)
@@ -190,26 +213,26 @@ def identify(
         """What facts_of knows of a document goes before the row's own."""
         if facts_of is None:
             return rows
-        f = facts_of.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(*[F.min(c).alias(f"_of{c}") for c in ("host", "declared", "suffix")])
-        joined = rows.join(f, F.col("doc_id") == F.col("_doc"), "left")
-        return joined.withColumns({f"_{c}": F.coalesce(F.col(f"_of{c}"), F.col(f"_{c}")) for c in ("host", "declared", "suffix")}).drop("_doc", "_ofhost", "_ofdeclared", "_ofsuffix")
+        f = facts_of.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"{p}doc")).agg(*[F.min(c).alias(f"{p}of{c}") for c in ("host", "declared", "suffix")])
+        joined = rows.join(f, F.col("doc_id") == F.col(f"{p}doc"), "left")
+        return joined.withColumns({f"{p}{c}": F.coalesce(F.col(f"{p}of{c}"), F.col(f"{p}{c}")) for c in ("host", "declared", "suffix")}).drop(f"{p}doc", f"{p}ofhost", f"{p}ofdeclared", f"{p}ofsuffix")
 
     kept = base.columns if columns is None else columns
     # without its text a row is a few numbers: scored once and written; with it, texts are scored again rather than written
     rows = scored(kept) if "text" in kept else C.written(scored(kept), "language-scores")
     posts = with_facts(rows if "text" not in kept else scored([*["doc_id"] * (facts_of is not None)]))
-    posts = posts.where(F.col("_known") >= coverage).withColumn("p", _softmax(F.col("_like")))
-    sums = [F.sum(F.col("p")[j]).alias(f"s{j}") for j in range(k)]
-    by_host = C.written(posts.groupBy("_host").agg(*sums), "host-language")
+    posts = posts.where(F.col(f"{p}known") >= coverage).withColumn(f"{p}post", _softmax(F.col(f"{p}like")))
+    sums = [F.sum(F.col(f"{p}post")[j]).alias(f"s{j}") for j in range(k)]
+    by_host = C.written(posts.groupBy(F.col(f"{p}host").alias("_host")).agg(*sums), "host-language")
     prior = _priors(by_host, k, strength)
     names = F.array(*[F.lit(x) for x in model.languages])
     says = lambda column, odds: F.transform(names, lambda x: F.when(F.lower(F.substring(column, 1, 2)) == x, F.lit(odds)).otherwise(0.0))
     rows = with_facts(rows)
-    rows = rows.join(prior.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")), "left")
-    z = F.array(*[F.col("_like")[j] + F.coalesce(F.col("_prior")[j], F.lit(0.0)) + F.coalesce(says(F.col("_declared"), declared_log_odds)[j], F.lit(0.0)) + F.coalesce(says(F.col("_suffix"), suffix_log_odds)[j], F.lit(0.0)) for j in range(k)])
-    rows = rows.withColumn("_p", _softmax(z)).withColumn("confidence", F.array_max("_p"))
-    rows = rows.withColumn("language", F.when(F.col("_known") < coverage, F.lit("und")).otherwise(F.element_at(names, F.array_position("_p", F.col("confidence")).cast("int"))))
-    rows = rows.withColumn("coverage", F.col("_known")).withColumn("kept", (F.col("language") != "und") & (F.col("confidence") >= least))
+    rows = rows.join(prior.select(F.col("_host").alias(f"{p}of"), F.col("_prior").alias(f"{p}prior")), F.col(f"{p}host").eqNullSafe(F.col(f"{p}of")), "left")
+    z = F.array(*[F.col(f"{p}like")[j] + F.coalesce(F.col(f"{p}prior")[j], F.lit(0.0)) + F.coalesce(says(F.col(f"{p}declared"), declared_log_odds)[j], F.lit(0.0)) + F.coalesce(says(F.col(f"{p}suffix"), suffix_log_odds)[j], F.lit(0.0)) for j in range(k)])
+    rows = rows.withColumn(f"{p}p", _softmax(z)).withColumn("confidence", F.array_max(f"{p}p"))
+    rows = rows.withColumn("language", F.when(F.col(f"{p}known") < coverage, F.lit("und")).otherwise(F.element_at(names, F.array_position(f"{p}p", F.col("confidence")).cast("int"))))
+    rows = rows.withColumn("coverage", F.col(f"{p}known")).withColumn("kept", (F.col("language") != "und") & (F.col("confidence") >= least))
     return rows.select(*[F.col(f"`{c}`") for c in kept], *ADDED)
 
 

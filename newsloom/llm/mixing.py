@@ -7,7 +7,7 @@ document's size: r = 2 e**(t x) / (1 + e**(t x)), x the size over the source's m
 distributed Newton steps: the gradient and curvature of all sources are one aggregate over the counts of
 documents by source and size, which give the same sums as the documents and are far fewer. Steps that leave the
 bracket of a multiplier are replaced by its middle. State goes to shared storage after each step; nothing goes to
-the driver but the largest error.
+the driver but the largest error. Sums are of decimals: the order in which rows arrive changes nothing, so reruns agree.
 
 Rates become copies by systematic rounding: along a source's sizes the running sum of rates is rounded, so that
 the words taken are off by less than one document; a few single documents then close most of that gap. The copies
@@ -33,25 +33,37 @@ def sized(documents: DataFrame) -> DataFrame:
     return documents.drop(*ADDED).withColumn("size", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(C.WORD)).cast("long"))
 
 
+def _places(sources: DataFrame) -> DataFrame:
+    """sources with `place`, from 0 by code point, null last: numbers within ranges, and the rows of the ranges before."""
+    key = [F.col("source").isNull(), F.col("source")]
+    d = sources.repartitionByRange(*key).withColumn("range", F.spark_partition_id())
+    d = C.written(d, "mixing-sources")
+    sizes = d.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition
+    before = sizes.select("range", F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*key)) - 1
+    return d.join(F.broadcast(before), "range").withColumn("place", place).drop("range", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, n, target: `share` of all words, divided by the weights repeated along the sources' order, up to `most` times a source's words.
 
-    The level L at which targets are min(most * size, weight * L) and sum up is found from running sums along
-    the sources in order of the level at which each stops. One row for each source is sorted, in one place.
+    The level L at which targets are min(most * size, weight * L) and sum up rises round by round: sources that stop
+    below it give what is over to the others, until no more stop. A round is an aggregate over one row for each source.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(order, F.lit(len(weights))) + 1).cast("int"))
-    s = sources.withColumn("weight", weight).withColumn("stop", F.lit(most) * F.col("source_size") / F.col("weight"))
-    by = Window.orderBy("stop", F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    s = s.withColumn("full", F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0.0))).withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - F.col("full")) / F.col("open"))
-    # the first source, in that order, that does not stop below the level of those from it on
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "level"))).over(everything).getField("level"))
+    sources = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    s = C.written(_places(sources).withColumn("weight", weight).drop("place"), "mixing-weights")
     cap = F.lit(most) * F.col("source_size")
-    return s.select("source", F.col("source_size").cast("long").alias("source_size"), "n", F.coalesce(F.least(cap, F.col("weight") * F.col("level")), cap).alias("target"))
+    exact = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+    total, stopped, level = s.agg(F.sum("source_size")).first()[0] or 0, -1, 0.0
+    while True:
+        full = cap <= F.col("weight") * F.lit(level)
+        r = s.agg(F.count_if(full).alias("n"), exact(F.when(full, cap).otherwise(0.0)).alias("full"), exact(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if r.n == stopped or not r.open:
+            break
+        stopped, level = r.n, (share * total - r.full) / r.open
+    target = F.least(cap, F.col("weight") * F.lit(level)) if r.open else cap
+    return s.select("source", "source_size", "n", target.alias("target"))
 
 
 def _rate():
@@ -67,7 +79,8 @@ def solve(counts: DataFrame, goal: DataFrame, steps: int = 60, near: float = 1e-
         old = state
         rows = counts.join(state, counts.source.eqNullSafe(state.source)).drop(counts.source).withColumn("x", F.col("size") / F.col("mean")).withColumn("p", _rate() / 2)
         words = F.col("m") * F.col("size")
-        sums = rows.groupBy("source").agg(F.sum(words * 2 * F.col("p")).alias("got"), F.sum(words * 2 * F.col("x") * F.col("p") * (1 - F.col("p"))).alias("slope"))
+        exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+        sums = rows.groupBy("source").agg(exact(words * 2 * F.col("p")).alias("got"), exact(words * 2 * F.col("x") * F.col("p") * (1 - F.col("p"))).alias("slope"))
         s = old.join(sums.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("off", F.col("got") - F.col("target"))
         s = s.withColumn("low", F.when(F.col("off") < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("off") > 0, F.col("tilt")).otherwise(F.col("high")))
         step = F.col("tilt") - F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce(F.try_divide(F.col("off"), F.col("slope")), F.signum("off") * 4)))
@@ -91,7 +104,7 @@ def allot(narrow: DataFrame, part: int = 512, gaps: int = 4, **weighing) -> Data
     along = Window.partitionBy("source").orderBy("size")
     whole = Window.partitionBy("source")
     start = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
-    c = c.withColumn("end", F.floor(F.sum(F.col("m") * F.col("rate")).over(along) + start + 1e-9)).withColumn("k", F.col("end") - F.coalesce(F.lag("end").over(along), F.floor(start + 1e-9)))
+    c = c.withColumn("end", F.floor(F.sum((F.col("m") * F.col("rate")).cast("decimal(38,9)")).over(along).cast("double") + start + 1e-9)).withColumn("k", F.col("end") - F.coalesce(F.lag("end").over(along), F.floor(start + 1e-9)))
     c = c.withColumn("k", F.least(F.greatest(F.col("k"), F.lit(0)), 2 * F.col("m")))
     for _ in range(gaps):  # one document more, or less, of the largest size within the gap
         c = c.withColumn("gap", F.round(F.col("target") - F.sum(F.col("k") * F.col("size")).over(whole)))
@@ -117,14 +130,18 @@ def allot(narrow: DataFrame, part: int = 512, gaps: int = 4, **weighing) -> Data
 
 def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (with source, size, doc_id and any others): each with source_size, target, copies and taken. plan: of `allot`."""
-    classes = plan.groupBy(F.col("source").alias("_of"), F.col("size").alias("_as")).agg(F.max("parts").alias("_parts"))
-    r = rows.join(classes, F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_as"))).drop("_of", "_as")
-    r = r.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_part", F.pmod("_hash", "_parts"))
-    p = plan.select(F.col("source").alias("_of"), F.col("size").alias("_as"), F.col("part").alias("_in"), "source_size", "target", F.col("base").alias("_base"), F.col("extra").alias("_extra"))
-    r = r.join(p, F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_as")) & (F.col("_part") == F.col("_in")))
-    turn = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_hash", "doc_id"))
-    r = r.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("_base") + F.when(turn <= F.col("_extra"), 1).otherwise(0)).cast("int"))
-    return r.withColumn("taken", F.col("copies") * F.col("size")).drop("_of", "_as", "_in", "_base", "_extra", "_hash", "_part", "_parts")
+    p = C.free_prefix(rows)
+    clash = [c for c in ("source_size", "target", "copies", "taken") if c in rows.columns]
+    r = rows.drop(*clash)
+    classes = plan.groupBy(F.col("source").alias(f"{p}of"), F.col("size").alias(f"{p}as")).agg(F.max("parts").alias(f"{p}parts"))
+    same = F.col("source").eqNullSafe(F.col(f"{p}of")) & (F.col("size") == F.col(f"{p}as"))
+    r = r.join(classes, same).drop(f"{p}of", f"{p}as")
+    r = r.withColumn(f"{p}hash", F.xxhash64("doc_id")).withColumn(f"{p}part", F.pmod(f"{p}hash", f"{p}parts"))
+    q = plan.select(F.col("source").alias(f"{p}of"), F.col("size").alias(f"{p}as"), F.col("part").alias(f"{p}in"), "source_size", "target", F.col("base").alias(f"{p}base"), F.col("extra").alias(f"{p}extra"))
+    r = r.join(q, same & (F.col(f"{p}part") == F.col(f"{p}in")))
+    turn = F.row_number().over(Window.partitionBy("source", "size", f"{p}part").orderBy(f"{p}hash", "doc_id"))
+    r = r.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col(f"{p}base") + F.when(turn <= F.col(f"{p}extra"), 1).otherwise(0)).cast("int"))
+    return r.withColumn("taken", F.col("copies") * F.col("size")).drop(*[f"{p}{x}" for x in ("of", "as", "in", "base", "extra", "hash", "part", "parts")])
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:

@@ -3,7 +3,7 @@
 A document is the mean of learned vectors, one for each hashed word and each hashed character n-gram (3 to 5
 bytes of a word and the white space at its ends), one for a word that repeats one of the three words before it,
 and one that every document has; a softmax over two outputs follows. Vectors and outputs are trained by stochastic gradient descent in numpy, on the driver, over a bounded
-sample of labelled rows (`max_rows`, those of the smallest hashes of doc_id; whole texts).
+sample of labelled rows (`max_rows` rows and `max_bytes` of text at most, those of the smallest hashes of doc_id; whole texts).
 
 After training the model is linear in the mean, so that scoring needs the difference of the two outputs for each
 bucket only: one float for each bucket (2**bits * 4 bytes, 1 MB with the default) goes to the executors.
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -120,8 +120,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, **how) -> Model:
-    """Train on the `max_rows` labelled rows outside the held-out fold whose doc_id hashes lowest."""
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 256 << 20, **how) -> Model:
+    """Train on the labelled rows outside the held-out fold whose doc_id hashes lowest: `max_rows` of them, or as many as fit `max_bytes`."""
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
@@ -129,7 +129,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, **how) ->
     )
     texts = documents.select("doc_id", "text")
     # at most max_rows rows of two numbers: a bounded side to broadcast; of rows with one doc_id one text counts
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = C.written(rows.withColumn("size", F.octet_length("text").cast("long")), "quality-sample")
+    by = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # max_rows rows
+    fits = rows.select("doc_id", F.sum("size").over(by).alias("sum")).where(F.col("sum") <= max_bytes).select("doc_id")
+    rows = rows.join(F.broadcast(fits), "doc_id", "left_semi").collect()
     return train([(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)], **how)
 
 

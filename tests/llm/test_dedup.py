@@ -158,3 +158,71 @@ def test_shards_of_repeated_and_large_rows(spark):
     assert sharding.assign(docs(spark, []).limit(0)).count() == 0
     clash = docs(spark, rows).withColumn("shard_id", F.lit("old")).withColumn("h", F.lit(1))
     assert sharding.assign(clash, limit=1000).where("shard_id = 'old'").isEmpty()
+
+
+def plain_shards(rows, limit):
+    """Extendible hashing by hand: a bucket over the limit splits on one more bit. rows: (hash, bytes)."""
+    out, todo = {}, [("", rows)]
+    while todo:
+        prefix, held = todo.pop()
+        if sum(b for _, b in held) <= limit or len(prefix) == 64:
+            out |= {h: prefix for h, _ in held}
+        else:
+            todo += [(prefix + bit, part) for bit in "01" if (part := [r for r in held if f"{r[0]:064b}"[len(prefix)] == bit])]
+    return out
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 30_000])
+def test_op3_equals_brute_force(spark, monkeypatch, limit):
+    """The query as it is, and with a limit at which the table splits."""
+    assign = sharding.assign
+    monkeypatch.setattr(sharding, "assign", lambda d, **k: assign(d, limit=limit))
+    got = queries.op3_sharding(spark, SF).collect()
+    text = F.coalesce("text", F.lit(""))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64(text)).alias("h"), F.octet_length(text).alias("n")).collect()
+    want = plain_shards([(r.h % (1 << 64), r.n) for r in rows], limit)
+    of = {r.doc_id: want[r.h % (1 << 64)] for r in rows}
+    assert {r.doc_id: r.shard_id for r in got} == of
+    size, many = Counter(), Counter(of.values())
+    for r in rows:
+        size[of[r.doc_id]] += r.n
+    assert all((r.shard_bytes, r.shard_rows, r.over_limit) == (size[r.shard_id], many[r.shard_id], size[r.shard_id] > limit) for r in got)
+
+
+def test_clashing_columns(spark):
+    names = ["n_bytes", "shard_id", "pages", "h", "cell", "shard", "_n_h", "rid", "flag", "fp", "component", "digits", "size", "name"]
+    d = docs(spark, [(i, f"some words number {i % 3} in a row") for i in range(20)])
+    for n in names:
+        d = d.withColumn(n, F.lit("mine"))
+    assert sharding.assign(d, limit=200).count() == 20
+    for out, n in ((exact_dedup.deduplicate(d), 3), (simhash.deduplicate(d), None)):
+        assert out.columns == d.columns and out.where("rid = 'mine' and flag = 'mine'").count() == out.count() == (n or out.count()) > 0
+
+
+def test_filter_misses_nothing(spark):
+    from newsloom.llm import common
+
+    rows, keys = spark.range(3000).withColumnRenamed("id", "k"), spark.range(0, 3000, 7)
+    got = common.flagged(rows, F.col("k"), keys, "f").where("f").select("k")
+    assert {r.id for r in keys.collect()} <= {r.k for r in got.collect()} and got.count() < 800
+    assert {r.k for r in common.without(rows, "k", keys).collect()} == set(range(3000)) - set(range(0, 3000, 7))
+
+
+def test_a_forest_finds_what_trees_find():
+    draw = np.random.default_rng(4)
+    points = draw.integers(0, 1 << 10, 400).astype(np.uint64)
+    shard = np.sort(draw.integers(0, 60, 400))
+    shard = np.unique(shard, return_inverse=True)[1]
+    order = np.lexsort((points, shard))
+    points, shard = points[order], shard[order]
+    got = {(a, b) for q, p in simhash.BKTree(points, shard, int(shard[-1]) + 1).within(points, 2, shard) for a, b in zip(q.tolist(), p.tolist(), strict=True)}
+    want = {(i, j) for i in range(400) for j in range(400) if shard[i] == shard[j] and (int(points[i]) ^ int(points[j])).bit_count() <= 2}
+    assert got == want
+    one = simhash.BKTree.loaded(simhash.BKTree(points[:50]).dumped())
+    near = {(int(points[q]), int(one.point[p])) for qs, ps in one.within(points[:50], 2) for q, p in zip(qs, ps, strict=True)}
+    assert near == {(int(a), int(b)) for a in points[:50] for b in points[:50] if (int(a) ^ int(b)).bit_count() <= 2}
+
+
+def test_large_shards_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST", 3000)
+    test_links_of_dense_groups(spark, 12)

@@ -40,6 +40,28 @@ def test_counts_equal_the_library():
     assert [token_counts.count_tokens([t], pieces, store)[0] for t in ts] == want
 
 
+def test_long_sequences_equal_the_library(monkeypatch):
+    """Sequences longer than any bound, and all through blocks."""
+    import sentencepiece
+
+    draw = random.Random(2)
+    ts = ["".join(draw.choice("abehinortsš日the") for _ in range(n)) for n in (64, 65, 127, 128, 129, 193, 1000, 20000)] + ["the" * 3000, "a" * 5001, "aab" * 3000, "internationalization" * 500, "\n".join(f"word{i}" for i in range(3000))]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = token_counts.Pieces(PIECES)
+    assert token_counts.count_tokens(ts, pieces, token_counts.Store(10)) == [len(x) for x in sp.encode(ts)]
+    monkeypatch.setattr(token_counts, "SHORT", 2)
+    ts = texts()
+    assert token_counts.count_tokens(ts, pieces, token_counts.Store(10)) == [len(x) for x in sp.encode(ts)]
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_places_one_by_one_or_together(tiktoken_encoding, monkeypatch, few):
+    monkeypatch.setattr(bpe, "FEW", few)
+    ranks, ts = bpe.Ranks(RANKS, P.PATTERN), texts()
+    for t, (n, ids, _) in zip(ts, bpe.encode_texts(ts, ranks, bpe.Store(30)), strict=True):
+        assert ids.decode() == " ".join(map(str, tiktoken_encoding.encode_ordinary(t))), t
+
+
 def test_ids_equal_the_library(tiktoken_encoding):
     ts = texts()
     ranks = bpe.Ranks(RANKS, P.PATTERN)
