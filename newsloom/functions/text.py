@@ -11,19 +11,35 @@ _PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorsssttuuuuuuuyyzzzAAAAAAAAACCCDEE
 
 def fold(text: Column) -> Column:
     """Accents off Latin letters, combining marks away; letters that carry no mark (ß, ø is folded) stay."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", ""))
+
+
+#: A character with a border after it, within one run: camel case, capitals before a word, letters beside digits.
+BORDERS = r"([a-z](?=[A-Z0-9])|[A-Z](?=[A-Z][a-z]|[0-9])|[0-9](?=[A-Za-z]))"
+#: Known compounds, in order, over words with single spaces between.
+COMPOUNDS = ((r"\bi gaming\b", "igaming gaming"), (r"\be cricket\b", "ecricket cricket"), (r"\be sports?\b", "esports"), (r"\besport\b", "esports"))
+#: No text without one of these has a compound.
+COMPOUND_PARTS = ("gaming", "cricket", "sport")
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it: an expression that is pushed down is copied for each name."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _compounds(t: Column) -> Column:
+    joined = t
+    for pattern, to in COMPOUNDS:
+        joined = F.regexp_replace(joined, pattern, to)
+    return F.when(contains_any(t, list(COMPOUND_PARTS)), joined).otherwise(t)
 
 
 def normalize(text: Column) -> Column:
     """Search form: accents folded, camel case and letter-digit borders split, lower case, signs to spaces, known
     compounds joined, white space collapsed. Null becomes ''."""
-    t = fold(F.coalesce(text, F.lit("")))
-    for pattern, to in (("([a-z])([A-Z])", "$1 $2"), ("([A-Z])([A-Z][a-z])", "$1 $2"), ("([A-Za-z])([0-9])", "$1 $2"), ("([0-9])([A-Za-z])", "$1 $2")):
-        t = F.regexp_replace(t, pattern, to)
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s]", " ")
-    for pattern, to in ((r"\bi\s+gaming\b", "igaming gaming"), (r"\be\s+cricket\b", "ecricket cricket"), (r"\be\s+sports?\b", "esports"), (r"\besport\b", "esports")):
-        t = F.regexp_replace(t, pattern, to)
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), BORDERS, "$1 ")
+    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]+", " "))
+    return once(t, _compounds)
 
 
 def join_fields(*fields: Column) -> Column:
@@ -153,3 +169,32 @@ def gap_keywords(text: Column) -> Column:
     """Names, quoted terms, acronyms, money and years of a gap's text, each once."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", 0), (r'"([^"]+)"', 1), (r"\b[A-Z]{2,6}\b", 0), (r"[$€£]\s?[0-9][0-9,.]*\s?(?:million|billion|m|bn)?", 0), (r"\b(?:19|20)[0-9]{2}\b", 0))]
     return F.array_distinct(F.transform(F.concat(*found), lambda x: F.lower(F.trim(x))))
+
+
+def phrases(text: Column, stopwords: list[str], known: list[str]) -> Column:
+    """Words of three letters or more that are not common, then pairs of neighbours: known ones, and those of two words that are not common."""
+    common = lambda w: w.isin(stopwords)
+    words = F.filter(F.split(clean(text), " "), lambda w: w != "")
+
+    def both(ws: Column) -> Column:
+        single = F.filter(ws, lambda w: (F.length(w) >= 3) & ~common(w))
+        pair = F.filter(ngrams(ws, 2), lambda g: g.isin(known) | ~(common(F.substring_index(g, " ", 1)) | common(F.substring_index(g, " ", -1))))
+        return F.concat(single, pair)
+
+    return once(words, both)
+
+
+def regions(text: Column, lists: dict[str, list[str]], tribal: bool = True) -> Column:
+    """Regions of which a phrase occurs, in the order of the lists. tribal: the word alone speaks for North America."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def found(t: Column) -> Column:
+        hits = []
+        for region, phrases_ in lists.items():
+            hit = contains_any(t, phrases_)
+            if tribal and region == "North America":
+                hit = hit | F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(" tribal "))
+            hits.append(F.when(hit, F.lit(region)))
+        return F.array_compact(F.array(*hits))
+
+    return once(low, found)

@@ -71,7 +71,8 @@ def upsert(history: DataFrame, new: DataFrame, scraped: str) -> DataFrame:
     """History with new articles: columns aligned, dates filled, the earliest row of each id and link kept. Doing it twice changes nothing."""
     stamped = new.withColumn("scrape_timestamp", F.lit(scraped))
     both = history.withColumn("_new", F.lit(0)).unionByName(stamped.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    both = backfill_dates(both).withColumn("_seq", F.concat_ws("|", "_new", "article_id", "title"))
+    # of rows of one id and date the first by all that is shown stays, whatever order they arrive in
+    both = backfill_dates(both).withColumn("_seq", F.to_json(F.struct("_new", *[c for c in ("article_id", "title", "link", "summary", "content", "source") if c in both.columns])))
     return earliest_by_id_and_link(both, "_seq").drop("_new", "_seq")
 
 

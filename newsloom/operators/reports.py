@@ -15,9 +15,9 @@ def export_strings(df: DataFrame, lists: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.array_join(c, sep) for c, sep in lists.items()})
 
 
-def json_rows(df: DataFrame, columns: list[str], n: int, ts: str | None = None) -> DataFrame:
-    """json: the first n rows as objects, a timestamp as a date."""
-    d = df.select(*columns).limit(n)
+def json_rows(df: DataFrame, columns: list[str], n: int, ts: str | None = None, order: list[Column] | None = None) -> DataFrame:
+    """json: the first n rows, by an order (by all columns if none is given), as objects, a timestamp as a date."""
+    d = df.select(*columns).orderBy(*(order or columns)).limit(n)
     if ts in columns:
         d = d.withColumn(ts, F.date_format(ts, "yyyy-MM-dd"))
     return d.select(F.to_json(F.struct(*columns)).alias("json"))
@@ -148,14 +148,15 @@ def rollup_batches(batch_companies: DataFrame) -> DataFrame:
     return d.orderBy(F.col("n").desc(), F.lower("name")).limit(10).select("name", "n", F.col("m.context").alias("context"))
 
 
-def markdown(title: str, sections: dict[str, DataFrame], columns: dict[str, list[str]], most: int = 50) -> str:
-    """A report of small tables (their first `most` rows)."""
-    out = [f"# {title}"]
-    for name, df in sections.items():
-        out.append(f"\n## {name}\n")
-        for r in df.select(*columns[name]).limit(most).collect():
-            out.append("- " + ": ".join("" if v is None else str(v) for v in r))
-    return "\n".join(out) + "\n"
+def markdown(title: str, sections: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """at, line: a report of tables, a heading for each and a list item for each row, in the order of the columns. Rows stay where they are."""
+    spark = next(iter(sections.values())).sparkSession
+    every = spark.createDataFrame([(0, "", f"# {title}")], "section int, key string, line string")
+    for i, (name, df) in enumerate(sections.items(), 1):
+        head = spark.createDataFrame([(2 * i - 1, "", f"## {name}")], every.schema)
+        item = F.concat(F.lit("- "), F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns[name]]), ": "))
+        every = every.unionByName(head).unionByName(df.select(F.lit(2 * i).alias("section"), item.alias("key"), item.alias("line")))
+    return every.orderBy("section", "key").select("section", "line")
 
 
 def content_brief(topic: DataFrame) -> DataFrame:

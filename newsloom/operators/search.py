@@ -1,8 +1,9 @@
 """Boolean full-text search.
 
-A query is parsed on the driver into steps; the steps fold into one boolean column over the normalised text, so a
-query is one scan. A word matches articles that have it as a token; only where no article has, or if asked
-for, as a substring. Words of fewer than four letters match as tokens only.
+A query is parsed on the driver into steps; the steps fold into one boolean over the normalised text, which is
+computed once for each article however many words ask for it. A word matches articles that have it as a token; only
+where no article has, or if asked for, as a substring. Words of fewer than four letters match as tokens only. A word
+that normalises to something that no article has ("bRazil": b razil) is tried again as it is, in lower case.
 """
 
 from __future__ import annotations
@@ -39,18 +40,28 @@ def parse(query: str) -> list[Step]:
 def normalize(value: str) -> str:
     """As functions.text.normalize, for query words."""
     t = "".join(c for c in unicodedata.normalize("NFKD", value) if unicodedata.category(c) != "Mn")
-    for pattern, to in (("([a-z])([A-Z])", r"\1 \2"), ("([A-Z])([A-Z][a-z])", r"\1 \2"), ("([A-Za-z])([0-9])", r"\1 \2"), ("([0-9])([A-Za-z])", r"\1 \2")):
-        t = re.sub(pattern, to, t)
-    t = re.sub(r"[^\w\s]", " ", t.lower())
-    for pattern, to in ((r"\bi\s+gaming\b", "igaming gaming"), (r"\be\s+cricket\b", "ecricket cricket"), (r"\be\s+sports?\b", "esports"), (r"\besport\b", "esports")):
+    t = re.sub(r"[^\w]+", " ", re.sub(text.BORDERS, r"\1 ", t).lower()).strip()
+    for pattern, to in text.COMPOUNDS:
         t = re.sub(pattern, to, t)
     return " ".join(t.split())
 
 
+def _plain(value: str) -> str | None:
+    """A word in lower case, where that is not its normal form."""
+    return value.lower() if normalize(value) and value.lower() != normalize(value) else None
+
+
 def indexed(articles: DataFrame, *fields: str) -> DataFrame:
     """Articles with search_text and has_content; rows without an id are left out."""
-    fields = fields or ("title", "summary", "content")
-    return articles.where(F.coalesce("article_id", F.lit("")) != "").withColumn("search_text", text.normalize(text.join_fields(*[F.col(f) for f in fields]))).withColumn("has_content", text.has_content(F.col("content")))
+    return _with_id(articles).withColumn("search_text", search_text(*fields)).withColumn("has_content", text.has_content(F.col("content")))
+
+
+def _with_id(articles: DataFrame) -> DataFrame:
+    return articles.where(F.coalesce("article_id", F.lit("")) != "")
+
+
+def search_text(*fields: str) -> Column:
+    return text.normalize(text.join_fields(*[F.col(f) for f in fields or ("title", "summary", "content")]))
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -64,33 +75,106 @@ def _has_token(word: str, column: Column) -> Column:
 
 def words_of(steps: list[Step]) -> list[str]:
     """Tokens of four letters or more whose rule depends on whether some article has them."""
-    return sorted({w for s in steps if s.op != "PHRASE" for w in normalize(s.value).split() if len(w) >= 4})
+    values = [s.value for s in steps if s.op != "PHRASE"]
+    words = [w for v in values for w in normalize(v).split()] + [p for v in values if (p := _plain(v))]
+    return sorted({w for w in words if len(w) >= 4})
 
 
-def known_words(index: DataFrame, words: list[str]) -> set[str]:
-    """Which of the words some article has as a token: one aggregate of as many booleans."""
-    if not words:
-        return set()
-    row = index.agg(*[F.coalesce(F.bool_or(_has_token(w, F.col("search_text"))), F.lit(False)).alias(f"w{i}") for i, w in enumerate(words)]).first()
-    return {w for i, w in enumerate(words) if row[i]}
+def _any(articles: DataFrame, tests: list, fields: tuple[str, ...]) -> list[bool]:
+    """For each test of the normalised text, whether some article meets it: one aggregate."""
+    held = text.once(search_text(*fields), lambda s: F.array(*[t(s) for t in tests]))
+    hits = _with_id(articles).select(held.alias("hits"))
+    row = hits.agg(*[F.coalesce(F.bool_or(F.col("hits")[i]), F.lit(False)).alias(f"h{i}") for i in range(len(tests))]).first()
+    return list(row)
+
+
+def _compound(word: str) -> bool:
+    return any(part in word for part in text.COMPOUND_PARTS)
+
+
+def _whole(fields: tuple[str, ...]) -> Column:
+    return text.join_fields(*[F.col(f) for f in fields or ("title", "summary", "content")])
+
 
+def _may(words: list[str], low: Column) -> Column:
+    """Whether all words occur as letters in a row (compounds aside, a part of a token of the normal form is such a run). A condition that costs little."""
+    out = F.lit(True)
+    for w in words:
+        if not _compound(w):
+            out = out & F.contains(low, F.lit(w))
+    return out
 
-def _word(value: str, known: set[str], column: Column, substring: bool) -> Column:
+
+def known_words(articles: DataFrame, words: list[str], fields: tuple[str, ...] = ()) -> set[str]:
+    """Which of the words some article has as a token.
+
+    A lower-case word between two spaces is one, whatever stands around it: one cheap aggregate settles frequent
+    words. For the others, only articles that hold one of them as letters in a row are normalised.
+    """
+    plain = [w for w in words if not _compound(w)]
+    known: set[str] = set()
+    if plain:
+        spaced = articles.select(F.concat(F.lit(" "), _whole(fields), F.lit(" ")).alias("t"), "article_id")
+        row = _with_id(spaced).agg(*[F.coalesce(F.bool_or(F.contains("t", F.lit(f" {w} "))), F.lit(False)).alias(f"w{i}") for i, w in enumerate(plain)]).first()
+        known = {w for i, w in enumerate(plain) if row[i]}
+    rest = [w for w in words if w not in known]
+    if not rest:
+        return known
+    if not any(_compound(w) for w in rest):
+        articles = articles.where(text.once(F.lower(text.fold(_whole(fields))), lambda s: text.contains_any(s, rest)))
+    return known | {w for w, hit in zip(rest, _any(articles, [lambda s, w=w: _has_token(w, s) for w in rest], fields), strict=True) if hit}
+
+
+def _single(w: str, known: set[str], column: Column, substring: bool) -> Column:
+    return _has_token(w, column) if len(w) < 4 or (w in known and not substring) else F.contains(column, F.lit(w))
+
+
+def _normal(value: str, known: set[str], column: Column, substring: bool) -> Column:
     out = None
     for w in normalize(value).split():
-        p = _has_token(w, column) if len(w) < 4 or (w in known and not substring) else F.contains(column, F.lit(w))
+        p = _single(w, known, column, substring)
         out = p if out is None else out & p
     return F.lit(False) if out is None else out
 
 
-def predicate(steps: list[Step], known: set[str], column: Column | None = None, substring: bool = False) -> Column:
+def found_nowhere(articles: DataFrame, steps: list[Step], known: set[str], substring: bool = False, fields: tuple[str, ...] = ()) -> set[str]:
+    """Words whose normal form no article has, of those that are something else in plain lower case."""
+    values = sorted({s.value for s in steps if s.op != "PHRASE" and _plain(s.value)})
+    if not values:
+        return set()
+    hits = _any(articles, [lambda s, v=v: _normal(v, known, s, substring) for v in values], fields)
+    return {v for v, hit in zip(values, hits, strict=True) if not hit}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What the corpus decides about a query's words: known tokens, and words to be taken in plain lower case."""
+
+    known: set[str]
+    plain: set[str]
+
+
+def rules(articles: DataFrame, steps: list[Step], substring: bool = False, fields: tuple[str, ...] = ()) -> Rules:
+    known = set() if substring else known_words(articles, words_of(steps), fields)
+    return Rules(known, found_nowhere(articles, steps, known, substring, fields))
+
+
+def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = False, rough: bool = False) -> Column:
     """The steps, from left to right: alternatives gather until the next AND; gathered ones are joined with what was
-    found so far by OR, then the AND applies. An AND before anything was found starts the result."""
-    column = F.col("search_text") if column is None else column
+    found so far by OR, then the AND applies. An AND before anything was found starts the result.
+
+    rough: a weaker condition over the text in lower case, which every match meets."""
     result: Column | None = None
     gathered: Column | None = None
     for s in steps:
-        p = F.contains(column, F.lit(normalize(s.value))) if s.op == "PHRASE" else _word(s.value, known, column, substring)
+        if rough:
+            p = _may([_plain(s.value)] if s.value in by.plain else normalize(s.value).split(), column) if normalize(s.value) else F.lit(s.op == "PHRASE")
+        elif s.op == "PHRASE":
+            p = F.contains(column, F.lit(normalize(s.value)))
+        elif s.value in by.plain:
+            p = _single(_plain(s.value), by.known, column, substring)
+        else:
+            p = _normal(s.value, by.known, column, substring)
         if s.op == "OR":
             gathered = p if gathered is None else gathered | p
         elif result is None:
@@ -104,30 +188,88 @@ def predicate(steps: list[Step], known: set[str], column: Column | None = None,
     return F.lit(False) if result is None else result
 
 
-def search(articles: DataFrame, query: str, substring: bool = False, sources: list[str] | None = None, categories: list[str] | None = None, known_in: DataFrame | None = None) -> DataFrame:
-    """Matching articles with the seven display columns and has_content. known_in: the corpus that decides which words count as tokens."""
+def search(articles: DataFrame, query: str, substring: bool = False, sources: list[str] | None = None, categories: list[str] | None = None, regions: list[str] | None = None, known_in: DataFrame | None = None) -> DataFrame:
+    """Matching articles with the seven display columns and has_content. known_in: the corpus that decides which words count as tokens.
+
+    regions: only articles whose array `regions_list` has one of them.
+    """
     steps = parse(query)
-    index = indexed(articles)
-    known = set() if substring else known_words(index if known_in is None else indexed(known_in), words_of(steps))
-    found = index.where(predicate(steps, known, substring=substring))
+    by = rules(articles if known_in is None else known_in, steps, substring)
+    found = _with_id(articles)
     if sources:
         found = found.where(F.col("source").isin(sources))
     if categories:
         found = found.where(F.col("category").isin(categories))
+    if regions:
+        found = found.where(F.arrays_overlap("regions_list", F.array(*[F.lit(r) for r in regions])))
+    found = found.where(text.once(F.lower(text.fold(_whole(()))), lambda s: predicate(steps, by, s, substring, rough=True)))
+    found = found.where(text.once(search_text(), lambda s: predicate(steps, by, s, substring)))
     wanted = ["article_id", "title", "summary", "source", "link", "category", "published_date"]
-    return found.select(*[c for c in wanted if c in found.columns], "has_content")
+    return found.select(*[c for c in wanted if c in found.columns], text.has_content(F.col("content")).alias("has_content"))
+
+
+def keyword_index(articles: DataFrame, keywords: list[str]) -> DataFrame:
+    """keyword, article_id: articles that a search for each keyword finds. All keywords are looked for in one scan."""
+    steps = {k: parse(k) for k in keywords}
+    by = rules(articles, [s for parsed in steps.values() for s in parsed])
+    hits = text.once(search_text(), lambda t: F.array_compact(F.array(*[F.when(predicate(s, by, t), F.lit(k)) for k, s in steps.items()])))
+    rough = text.once(F.lower(text.fold(_whole(()))), lambda t: F.exists(F.array(*[predicate(s, by, t, rough=True) for s in steps.values()]), lambda x: x))
+    return _with_id(articles).where(rough).select(F.explode(hits).alias("keyword"), "article_id").distinct()
 
 
 def keyword_counts(articles: DataFrame, keywords: list[str]) -> DataFrame:
-    """keyword, n: articles that a search for each keyword finds, most first; keywords that find nothing are left out.
+    """keyword, n: how many articles a search for each keyword finds, most first; keywords that find nothing are left out."""
+    return keyword_index(articles, keywords).groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "keyword")
 
-    All keywords are counted in one scan.
-    """
-    index = indexed(articles)
-    steps = {k: parse(k) for k in keywords}
-    known = known_words(index, sorted({w for s in steps.values() for w in words_of(s)}))
-    hits = F.array_compact(F.array(*[F.when(predicate(s, known), F.lit(k)) for k, s in steps.items()]))
-    return index.select(F.explode(hits).alias("keyword"), "article_id").groupBy("keyword").agg(F.count_distinct("article_id").alias("n")).orderBy(F.col("n").desc(), "keyword")
+
+def fingerprint(articles: DataFrame) -> str:
+    """What tells one state of a corpus from another: rows, and a sum over ids, titles and texts that does not depend on their order."""
+    of = F.xxhash64("article_id", "title", "summary", "content").cast("decimal(38,0)")
+    row = articles.agg(F.count(F.lit(1)).alias("n"), F.sum(of).alias("h")).first()
+    return f"rows:{row.n}_ids:{row.h or 0}" if row.n else "empty"
+
+
+class IndexCache:
+    """Search indexes by fields and fingerprint, kept between queries; when there are more than `most`, all go."""
+
+    def __init__(self, most: int = 5):
+        self.most, self.held = most, {}
+
+    def get(self, articles: DataFrame, *fields: str) -> DataFrame:
+        key = (fields, fingerprint(articles))
+        if key not in self.held:
+            if len(self.held) > self.most:
+                for df in self.held.values():
+                    df.unpersist()
+                self.held.clear()
+            self.held[key] = indexed(articles, *fields).persist()
+        return self.held[key]
+
+
+def find_in_list(articles: DataFrame, column: str, name: str) -> DataFrame:
+    """Articles whose array `column` has the name; by keyword where there is no such column."""
+    if column not in articles.columns:
+        return find_by_keyword(articles, name)
+    return _found(articles.where(F.array_contains(column, name)))
+
+
+def find_by_keyword(articles: DataFrame, keyword: str) -> DataFrame:
+    """Articles with the keyword, in any case, as a substring of title and summary."""
+    low = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
+    return _found(articles.where(F.contains(low, F.lit(keyword.lower()))))
+
+
+def _found(d: DataFrame) -> DataFrame:
+    got = lambda c, otherwise: (F.coalesce(F.col(c).cast("string"), F.lit(otherwise)) if c in d.columns else F.lit(otherwise)).alias(c)
+    return d.select(got("article_id", ""), got("source", "Unknown"), got("title", "No title"), got("link", ""), got("category", "unknown"), got("published_date", "No date"))
+
+
+def find_smart(articles: DataFrame, term: str, topics: list[str], companies: list[str], regions: list[str]) -> DataFrame:
+    """What the term is known as decides: a topic, a company, a region, else a keyword. search_type says which."""
+    for kind, names, column in (("topic", topics, "topics_list"), ("company", companies, "companies_list"), ("region", regions, "regions_list")):
+        if term in names:
+            return find_in_list(articles, column, term).withColumn("search_type", F.lit(kind))
+    return find_by_keyword(articles, term).withColumn("search_type", F.lit("keyword"))
 
 
 def option(keyword: Column, n: Column) -> Column:

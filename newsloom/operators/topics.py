@@ -32,7 +32,7 @@ def best_k(inertias: list[tuple[int, float]]) -> int:
 def cluster(docs: DataFrame, column: str, k: int | None = None, least: int = 8, most: int = 25, seed: int = 42):
     """docs with `cluster`, and a table cluster, label (the three heaviest terms). k is searched in steps of 4 if not given."""
     f, words = features(docs, column)
-    f = f.persist()
+    f = f.select("features", *docs.columns).persist()
     n = f.count()
     if k is None:
         tried = []
@@ -41,6 +41,7 @@ def cluster(docs: DataFrame, column: str, k: int | None = None, least: int = 8,
         k = best_k(tried)
     model = KMeans(k=min(k, max(2, n)), seed=seed, predictionCol="cluster", maxIter=20).fit(f)
     rows = [(i, ", ".join(words[j] for j in c.argsort()[::-1][:3])) for i, c in enumerate(model.clusterCenters())]
+    f.unpersist()
     return model.transform(f).drop("features"), docs.sparkSession.createDataFrame(rows, "cluster int, label string")
 
 

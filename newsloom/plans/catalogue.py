@@ -6,6 +6,8 @@ functions.lexicons. Articles are the view `articles` over documents; all windows
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
 from ..operators import advantages, articles, evidence, metrics, reports, search, tagging, topics
+from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,16 +152,18 @@ def dedupe_title_source(spark, sf):
 @query(f"""WITH {_HIST}, o AS (SELECT *, 0 AS new FROM h WHERE lang <> 'fr'), n AS (SELECT *, 1 AS new FROM h WHERE lang <> 'de'), b AS (SELECT * FROM o UNION ALL SELECT * FROM n),
   a AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY published_date, concat_ws('|', new, id, title), doc_id) = 1),
   l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY address ORDER BY published_date, concat_ws('|', new, id, title)) = 1)
-  SELECT id AS article_id, published_date FROM l""")
+  SELECT id AS article_id, published_date, address AS link, title FROM l""")
 def history_upsert(spark, sf):
     d = _history(spark, sf).select("article_id", "source", "title", "link", "published_date", "doc_id", "lang").withColumn("run_timestamp", F.lit(None).cast("string")).withColumn("scrape_timestamp", F.lit(None).cast("string"))
-    return articles.upsert(d.where("lang <> 'fr'"), d.where("lang <> 'de'"), "2024-04-01 00:00").select("article_id", "published_date")
+    return articles.upsert(d.where("lang <> 'fr'"), d.where("lang <> 'de'"), "2024-04-01 00:00").select("article_id", "published_date", "link", "title")
 
 
-@query(f"WITH {ART} SELECT article_id, doc_id FROM art WHERE published >= TIMESTAMP '2024-02-01' AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(f"WITH {ART} SELECT article_id, doc_id, strftime(published, '%Y-%m-%d %H:%M') AS published_date FROM art WHERE published >= TIMESTAMP '2024-02-01' OR doc_id IN (SELECT doc_id FROM labels)")
 def backfill_antijoin(spark, sf):
-    d = corpus_view(spark, sf).where("published >= timestamp_ntz'2024-02-01 00:00:00'")
-    return d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select("article_id", "doc_id")
+    """The labelled articles as history, filled up with all since a date."""
+    d = corpus_view(spark, sf).withColumn("published_date", F.date_format("published", "yyyy-MM-dd HH:mm"))
+    history = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return articles.backfill(history, d, "2024-02-01").select("article_id", "doc_id", "published_date")
 
 
 @query(f"WITH {_HIST} SELECT lower(address) AS link, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1")
@@ -216,10 +221,14 @@ def category_rollup(spark, sf):
     return d.select(F.coalesce("category", F.lit("(all)")).alias("category"), F.coalesce("source", F.lit("(all)")).alias("source"), "n")
 
 
-@query(f"WITH {ART}, c AS (SELECT article_id, source, lower(category) AS x, is_affiliate FROM art) SELECT article_id, x = 'internal' AS named_internal, true AS rest_competitor_or_internal, source IN ('src1','src3','src4','src5','src6','src7','src8') AS affiliate_space FROM c")
+_RULED = "CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Affiliate' WHEN 2 THEN 'external' WHEN 3 THEN 'our' ELSE category END"
+
+
+@query(f"""WITH {ART}, c AS (SELECT article_id, lower({_RULED}) AS x FROM art) SELECT article_id, CASE WHEN x = 'internal' THEN 'internal' WHEN x IN ('competitor', 'affiliate') THEN 'competitor' END AS affiliates,
+  CASE WHEN x IN ('internal', 'us', 'our') THEN 'internal' WHEN x IN ('competitor', 'them', 'external', 'comp') THEN 'competitor' END AS named, CASE WHEN x = 'internal' THEN 'internal' WHEN x IS NOT NULL THEN 'competitor' END AS rest FROM c""")
 def corpus_rules(spark, sf):
-    d = corpus_view(spark, sf)
-    return d.select("article_id", (articles.corpus(F.col("category"), "named") == "internal").alias("named_internal"), articles.corpus(F.col("category"), "rest").isNotNull().alias("rest_competitor_or_internal"), F.col("is_affiliate").alias("affiliate_space"))
+    d, c = corpus_view(spark, sf).withColumn("c", F.expr(_RULED)), F.col("c")
+    return d.select("article_id", articles.corpus(c).alias("affiliates"), articles.corpus(c, "named").alias("named"), articles.corpus(c, "rest").alias("rest"))
 
 
 # ---- search ----------------------------------------------------------------------------------------------------
@@ -251,6 +260,12 @@ def search_or(spark, sf):
     return search.search(corpus_view(spark, sf), "tion OR bleing or nble").select("article_id")
 
 
+@query(_INDEX + f" SELECT article_id FROM n WHERE CASE WHEN (SELECT bool_or({_word('blei')} AND {_tok('ng')}) FROM n) THEN {_word('blei')} AND {_tok('ng')} ELSE {_word('bleing')} END")
+def search_mixed_case(spark, sf):
+    """bleiNG: blei ng, which no article has, so bleing."""
+    return search.search(corpus_view(spark, sf), "bleiNG").select("article_id")
+
+
 @query(_INDEX + " SELECT article_id FROM n WHERE contains(s, 'of the')")
 def search_phrase(spark, sf):
     return search.search(corpus_view(spark, sf), '"of the"').select("article_id")
@@ -393,40 +408,40 @@ def cadence(spark, sf):
 
 
 def _gram_sql(pattern: str) -> str:
-    return f"w AS (SELECT corpus, regexp_extract_all(lower(summary), '{pattern}') AS w FROM win), g AS (SELECT corpus, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS ngram FROM w)"
+    return f"w AS (SELECT corpus, regexp_extract_all(lower(content), '{pattern}') AS w FROM win), g AS (SELECT corpus, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS ngram FROM w)"
 
 
 _GRAMS = f"WITH {ART}, " + _gram_sql(r"\b[a-z][a-z0-9]+\b") + ", c AS (SELECT ngram, count(*) FILTER (corpus = 'internal') AS internal, count(*) FILTER (corpus = 'competitor') AS competitor FROM g GROUP BY ngram)"
 
 
 def _english(spark, sf):
-    """Titles and summaries in ASCII, where word borders mean the same in both engines."""
-    return window(spark, sf).withColumn("summary", F.regexp_replace("summary", r"[^\x00-\x7F]", " "))
+    """Whole texts in ASCII, where word borders mean the same in both engines."""
+    return window(spark, sf).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", " "))
 
 
-_GRAMS = _GRAMS.replace("lower(summary)", r"lower(regexp_replace(summary, '[^\x00-\x7F]', ' ', 'g'))")
+_GRAMS = _GRAMS.replace("lower(content)", r"lower(regexp_replace(content, '[^\x00-\x7F]', ' ', 'g'))")
 
 
 @query(_GRAMS + " SELECT * FROM c ORDER BY internal + competitor DESC, ngram LIMIT 500")
 def ngram_counts(spark, sf):
-    return metrics.ngram_counts(_english(spark, sf), "summary", 2, 500)
+    return metrics.ngram_counts(_english(spark, sf), "content", 2, 500)
 
 
 @query(_GRAMS + """, k AS (SELECT * FROM c ORDER BY internal + competitor DESC, ngram LIMIT 2000), t AS (SELECT sum(internal) AS ti, sum(competitor) AS tc FROM k),
   s AS (SELECT ngram, internal, competitor, round(ln(((internal + 1) / (ti + 2)) / ((competitor + 1) / (tc + 2))), 6) AS score FROM k, t WHERE internal + competitor >= 3 AND len(list_filter(string_split(ngram, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'that'))) > 0)
   SELECT * FROM s WHERE score > 0 ORDER BY score DESC, ngram LIMIT 20""")
 def log_odds_terms(spark, sf):
-    return metrics.log_odds_terms(metrics.ngram_counts(_english(spark, sf), "summary", 2, 2000), ["the", "and", "that"])
+    return metrics.log_odds_terms(metrics.ngram_counts(_english(spark, sf), "content", 2, 2000), ["the", "and", "that"])
 
 
-_RATES = f"""WITH {ART}, w AS (SELECT corpus, unnest(list_filter(regexp_extract_all(lower(regexp_replace(summary, '[^\\x00-\\x7F]', ' ', 'g')), '\\b[a-z]{{3,}}\\b'), lambda x: x NOT IN ('the', 'and'))) AS keyword FROM win), tot AS (SELECT count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM win),
+_RATES = f"""WITH {ART}, w AS (SELECT corpus, unnest(list_filter(regexp_extract_all(lower(regexp_replace(content, '[^\\x00-\\x7F]', ' ', 'g')), '\\b[a-z]{{3,}}\\b'), lambda x: x NOT IN ('the', 'and'))) AS keyword FROM win), tot AS (SELECT count(*) FILTER (corpus = 'internal') AS ni, count(*) FILTER (corpus = 'competitor') AS nc FROM win),
   c AS (SELECT keyword, count(*) FILTER (corpus = 'internal') AS i, count(*) FILTER (corpus = 'competitor') AS c FROM w GROUP BY keyword ORDER BY i + c DESC, keyword LIMIT 100), r AS (SELECT keyword, round(i * 100.0 / ni, 6) AS internal_rate, round(c * 100.0 / nc, 6) AS competitor_rate FROM c, tot)"""
 
 
 @query(_RATES + """, g AS (SELECT *, round(internal_rate - competitor_rate, 6) AS gap FROM r) SELECT keyword, internal_rate, competitor_rate, gap, CASE WHEN gap >= 2 THEN 'strength' WHEN gap <= -2 THEN 'gap' ELSE 'parity' END AS trend, keyword IN ('that', 'with', 'tion') AS is_industry
   FROM g WHERE greatest(internal_rate, competitor_rate) >= 1 ORDER BY is_industry DESC, abs(gap) DESC, keyword LIMIT 15""")
 def seo_trending(spark, sf):
-    return metrics.trending(metrics.keyword_rates(_english(spark, sf), "summary", ["the", "and"]), ["that", "with", "tion"])
+    return metrics.trending(metrics.keyword_rates(_english(spark, sf), "content", ["the", "and"]), ["that", "with", "tion"])
 
 
 # ---- topics ----------------------------------------------------------------------------------------------------
@@ -527,7 +542,7 @@ def adv_franchise(spark, sf):
 
 @query(f"WITH {ART}, gp AS (" + " UNION ALL ".join(f"SELECT article_id, corpus, '{p}' AS place FROM win WHERE contains(lower(concat_ws(' ', title, summary)), '{p}')" for p in ("onthe", "ouer", "ziel", "quele")) + ") SELECT place, count(DISTINCT article_id) FILTER (corpus = 'internal') AS our, count(DISTINCT article_id) FILTER (corpus = 'competitor') AS their FROM gp GROUP BY place")
 def adv_geography(spark, sf):
-    e = advantages.geographies(window(spark, sf), ["onthe", "ouer", "ziel", "quele"])
+    e = advantages.geographies(window(spark, sf), _PLACES)
     n = lambda c: F.count_distinct(F.when(F.col("corpus") == c, F.col("article_id")))
     return e.groupBy("place").agg(n("internal").alias("our"), n("competitor").alias("their"))
 
@@ -693,35 +708,53 @@ def conversation_stats(spark, sf):
 
 
 def _folder(spark) -> str:
-    import tempfile
-
+    """Where the driver and all executors write: spark.checkpoint.dir, a temporary folder only in a local session without one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.gettempdir()}").rstrip("/") + "/newsloom-streams"
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}"
+    return f"{found.rstrip('/')}/newsloom-streams/{uuid.uuid4().hex[:12]}"
+
+
+#: Rows that reach the stream last, when their windows have closed long since.
+_LATE = "event_id % 97 = 5 AND ts < TIMESTAMP '2024-01-08'"
+
+
+def _events(spark, sf, folder: str) -> DataFrame:
+    """Events as a stream of files in order of time, one for each trigger; late rows and two of a later time, which close all windows, at the end."""
+    e, late = table(spark, sf, "events"), F.expr(_LATE.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    end = e.orderBy(F.col("ts").desc()).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL '60' DAY")).withColumn("event_type", F.lit("end")).withColumn("user_id", F.lit(-1).cast("long"))
+    cuts = ["2000-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "2100-01-01"]
+    parts = [e.where(~late & (F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    for part in [*parts, end, e.where(late), end]:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/source")
+    return streams.source(spark, f"{folder}/source", files=1)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf):
-    from ..streaming import events
+    """A key's state outlives all events, late ones too: every key once."""
+    folder = _folder(spark)
+    s = streams.deduplicated(_events(spark, sf, folder).where("user_id >= 0"), ["user_id", "event_type"], "ts", "90 days")
+    return streams.drained(s, folder).select("user_id", "event_type")
 
-    s = events.source(spark, f"{sf}/events.parquet").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return events.drained(events.deduplicated(s, ["user_id", "event_type"], "ts"), _folder(spark)).select("user_id", "event_type")
 
-
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query(f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE NOT ({_LATE}) GROUP BY 1, 2")
 def stream_tumbling(spark, sf):
-    from ..streaming import events
-
-    d = events.drained(events.tumbling(events.source(spark, f"{sf}/events.parquet", files=1000), "ts"), _folder(spark), "complete")
+    """Windows leave when the watermark has passed them; rows that come after are dropped."""
+    folder = _folder(spark)
+    d = streams.drained(streams.tumbling(_events(spark, sf, folder), "ts"), folder).where("event_type <> 'end'")
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+@query(f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WHERE NOT ({_LATE})), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
   SELECT min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, sf):
-    from ..streaming import events
-
-    d = events.drained(events.sessions(events.source(spark, f"{sf}/events.parquet", files=1000), "ts"), _folder(spark), "complete")
+    folder = _folder(spark)
+    d = streams.drained(streams.sessions(_events(spark, sf, folder), "ts"), folder).where("user_id >= 0")
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
-from . import documents as _documents  # noqa: E402, F401  registers more queries
+from . import composed as _composed  # noqa: E402, F401  registers more queries
+from . import documents as _documents  # noqa: E402, F401

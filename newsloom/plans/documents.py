@@ -45,10 +45,12 @@ def title_truncation(spark, sf):
     return corpus_view(spark, sf).select("doc_id", text.truncate_title(F.col("title")).alias("short"))
 
 
-@query("""WITH k AS (SELECT item_id, list_distinct(list_transform(list_concat(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b'), regexp_extract_all(text, '\\b(?:19|20)[0-9]{2}\\b')), lambda x: lower(trim(x)))) AS ks FROM (SELECT event_id AS item_id, upper(event_type) || ' in ' || CAST(2000 + user_id % 30 AS VARCHAR) || ' UK' AS text FROM events))
+@query("""WITH k AS (SELECT item_id, list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), regexp_extract_all(text, '"([^"]+)"', 1)), list_concat(list_concat(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b'), regexp_extract_all(text, '[$€£]\\s?[0-9][0-9,.]*\\s?(?:million|billion|m|bn)?')),
+    regexp_extract_all(text, '\\b(?:19|20)[0-9]{2}\\b'))), lambda x: lower(trim(x)))) AS ks FROM (SELECT event_id AS item_id, upper(event_type) || ' in ' || CAST(2000 + user_id % 30 AS VARCHAR) || ' UK: Big Deal "' || event_type || ' ' || CAST(user_id % 7 AS VARCHAR) || '" of $' || CAST(user_id % 50 AS VARCHAR) || ' million by Ann Bee' AS text FROM events))
   SELECT item_id, len(ks) AS n, array_to_string(list_sort(ks), ',') AS keywords FROM k""")
 def gap_keywords(spark, sf):
-    t = F.concat(F.upper("event_type"), F.lit(" in "), (2000 + F.col("user_id") % 30).cast("string"), F.lit(" UK"))
+    n = lambda k: (F.col("user_id") % k).cast("string")
+    t = F.concat(F.upper("event_type"), F.lit(" in "), (2000 + F.col("user_id") % 30).cast("string"), F.lit(' UK: Big Deal "'), F.col("event_type"), F.lit(" "), n(7), F.lit('" of $'), n(50), F.lit(" million by Ann Bee"))
     k = text.gap_keywords(t)
     return table(spark, sf, "events").select(F.col("event_id").alias("item_id"), k.alias("k")).select("item_id", F.size("k").cast("long").alias("n"), F.array_join(F.array_sort("k"), ",").alias("keywords"))
 
@@ -110,12 +112,10 @@ def region_insight(spark, sf):
     return reports.insight("region", c.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query(f"WITH {ART} SELECT doc_id, CASE WHEN i + c = 0 OR i / (i + c) < 0.5 THEN 'behind' WHEN c = 0 THEN 'alone' ELSE 'ahead' END AS state FROM (SELECT doc_id, doc_id % 4 AS i, doc_id % 3 AS c FROM art)")
+@query(f"""WITH {ART} SELECT doc_id, CASE WHEN c = 0 THEN 'Only we cover this: turn it into a series.' WHEN i / (i + c) >= 0.7 THEN 'We lead here: publish a reference piece and keep the pace.'
+  WHEN i / (i + c) >= 0.5 THEN 'Close race: add depth that others lack.' ELSE 'Others lead: pick one angle of our own.' END AS action FROM (SELECT doc_id, doc_id % 4 AS i, doc_id % 3 AS c FROM art)""")
 def topic_actions(spark, sf):
-    i, c = F.col("doc_id") % 4, F.col("doc_id") % 3
-    a = reports.action_text(i, c)
-    state = F.when(a.startswith("Others") | (i + c == 0), F.lit("behind")).when(a.startswith("Only"), F.when(i == 0, F.lit("behind")).otherwise(F.lit("alone"))).otherwise(F.lit("ahead"))
-    return corpus_view(spark, sf).select("doc_id", state.alias("state"))
+    return corpus_view(spark, sf).select("doc_id", reports.action_text(F.col("doc_id") % 4, F.col("doc_id") % 3).alias("action"))
 
 
 @query("SELECT c_mktsegment AS segment, CASE WHEN isodow(o_orderdate) >= 6 THEN 'weekend' ELSE 'week' END AS part, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")

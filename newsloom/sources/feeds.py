@@ -1,13 +1,14 @@
 """A data source for RSS and Atom feeds: spark.read.format("feed").
 
 Options: path (a file or address, or several joined by commas), source, category, is_affiliate, limit (entries of
-a feed, 50), mode ("rss" or "proxy": links are redirects that carry their target). A feed is one partition; what
+a feed, 50), feeds (JSON: [path, source, category, is_affiliate, mode] of each, instead), mode ("rss" or "proxy": links are redirects that carry their target). A feed is one partition; what
 cannot be fetched or parsed gives no rows.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 import urllib.parse
 import urllib.request
@@ -62,8 +63,8 @@ def target(link: str) -> str:
 
 
 class _Feed(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, source: str, category: str, is_affiliate: bool, mode: str):
+        self.path, self.source, self.category, self.is_affiliate, self.mode = path, source, category, is_affiliate, mode
 
 
 class FeedReader(DataSourceReader):
@@ -71,7 +72,9 @@ class FeedReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Feed(p.strip()) for p in self.options.get("path", "").split(",") if p.strip()]
+        o = self.options
+        one = lambda p: _Feed(p, o.get("source", p), o.get("category", "competitor"), o.get("is_affiliate", "false").lower() == "true", o.get("mode", "rss"))
+        return [_Feed(*f) for f in json.loads(o.get("feeds", "[]"))] + [one(p.strip()) for p in o.get("path", "").split(",") if p.strip()]
 
     def read(self, partition):
         o = self.options
@@ -85,8 +88,8 @@ class FeedReader(DataSourceReader):
         except OSError:
             return
         for e in entries(data, int(o.get("limit", "50"))):
-            link = target(e["link"]) if o.get("mode") == "proxy" else e["link"]
-            yield (o.get("source", partition.path), html.unescape(e["title"]), link, e["published"], e["summary"], o.get("category", "competitor"), o.get("is_affiliate", "false").lower() == "true")
+            link = target(e["link"]) if partition.mode == "proxy" else e["link"]
+            yield (partition.source, html.unescape(e["title"]), link, e["published"], e["summary"], partition.category, partition.is_affiliate)
 
 
 class FeedSource(DataSource):
@@ -107,12 +110,8 @@ def read(spark: SparkSession, registry: DataFrame, blocked_sources: list[str] |
     The registry is a configuration of a few dozen rows, read on the driver.
     """
     spark.dataSource.register(FeedSource)
-    found = None
-    for r in registry.collect():
-        d = spark.read.format("feed").option("path", r["url"]).option("source", r["name"]).option("category", r["category"]).option("is_affiliate", str(bool(r["is_affiliate"])).lower()).option("mode", r["mode"] or "rss").load()
-        found = d if found is None else found.unionByName(d)
-    if found is None:
-        found = spark.createDataFrame([], SCHEMA)
+    feeds = [[r["url"], r["name"], r["category"], bool(r["is_affiliate"]), r["mode"] or "rss"] for r in registry.collect()]
+    found = spark.read.format("feed").option("feeds", json.dumps(feeds)).load()  # one scan, a partition for each feed
     d = found.withColumn("link", urls.normalize(F.col("link"))).withColumn("published_date", dates.standardize(F.col("published"))).withColumn("summary", text.strip_html(F.col("summary"), 300)).drop("published")
     d = d.withColumn("article_id", urls.article_id(F.col("source"), F.col("link"))).where(~urls.blocked(F.col("source"), F.col("link"), blocked_sources or [""], blocked_domains or []))
     from ..operators.articles import keep_first

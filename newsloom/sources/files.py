@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,28 @@ def history_csv(spark: SparkSession, path: str, drop_undated: bool = True) -> Da
     return d.where("published is not null") if drop_undated else d
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and what makes a path of it."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def replaced(spark: SparkSession, path: str, write) -> None:
+    """Writes beside a folder, then puts the new one in its place: a failure on the way loses neither."""
+    fs, make = _folder(spark, path)
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    fs.delete(make(new), True)
+    write(new)
+    fs.delete(make(old), True)
+    if fs.exists(make(path)):
+        fs.rename(make(path), make(old))
+    fs.rename(make(new), make(path))
+    fs.delete(make(old), True)
+
+
 def write_history(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The history in place of the one that was there (which df may read)."""
+    replaced(df.sparkSession, path, lambda at: df.write.option("header", True).option("escape", '"').csv(at))
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +103,54 @@ def load_settings(path: str) -> dict:
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    replaced(df.sparkSession, path, df.write.json)
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, stamp: str) -> dict[str, str]:
+    """Each table as a dated CSV and as the latest one; tables without rows are left out. Returns the latest paths."""
+    paths = {}
+    for name, df in tables.items():
+        if not df.isEmpty():
+            write_csv(df, f"{folder}/{name}_{stamp}.csv")
+            paths[name] = f"{folder}/{name}_latest.csv"
+            write_csv(df, paths[name])
+    return paths
+
+
+def remove_dated(spark: SparkSession, folder: str) -> list[str]:
+    """Deletes the dated CSVs of a folder (name_YYYYMMDD_HHMMSS.csv) and returns their names; the latest ones stay."""
+    fs, make = _folder(spark, folder)
+    if not fs.exists(make(folder)):
+        return []
+    gone = sorted(s.getPath() for s in fs.listStatus(make(folder)) if re.search(r"_\d{8}_\d{6}\.csv$", s.getPath().getName()))
+    for path in gone:
+        fs.delete(path, True)
+    return [path.getName() for path in gone]
+
+
+def empty_window(articles: DataFrame, days: int, at: str) -> DataFrame | None:
+    """json: what is written in place of an analysis where a window holds no article; None where it holds one. articles: the window's."""
+    if not articles.isEmpty():
+        return None
+    t = F.struct(F.lit(True).alias("empty_window"), F.lit(at).alias("timestamp"), F.lit(0).alias("competitor_count"), F.lit(0).alias("internal_count"), F.lit(days).alias("analysis_period_days"))
+    return articles.sparkSession.range(1).select(F.to_json(t).alias("json"))
+
+
+def briefing(analysis: DataFrame, window: DataFrame, run: DataFrame, days: int, at: str) -> DataFrame:
+    """json: the analysis (one row) with its run's id and time and with the window's counts; all articles of the window count as analysed.
+
+    window: articles with corpus; run: run_id, generated_at of the latest run, or no row.
+    """
+    count = lambda c: F.count_if(F.col("corpus") == c)
+    stats = window.agg(F.count(F.lit(1)).alias("n"), count("competitor").alias("c"), count("internal").alias("i"))
+    meta = F.struct(
+        F.col("n").alias("total_window_articles"), F.col("c").alias("total_window_competitor"), F.col("i").alias("total_window_internal"), F.col("n").alias("articles_analyzed"),
+        F.date_format(F.lit(at).cast("timestamp_ntz"), "yyyy-MM-dd").alias("analysis_date"), F.lit(days).alias("analysis_period_days"),
+    )
+    latest = run.agg(F.max(F.struct("generated_at", "run_id")).alias("r"))  # a row also without a run
+    d = analysis.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(latest))
+    whole = F.struct(*[F.col(c) for c in analysis.columns], F.col("r.run_id").alias("run_id"), F.col("r.generated_at").cast("string").alias("generated_at"), F.lit(days).alias("analysis_period_days"), meta.alias("metadata"))
+    return d.select(F.to_json(whole).alias("json"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
