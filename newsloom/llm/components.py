@@ -43,5 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         sign = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if sign == seen or not sign.n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        seen = sign
-        now = C.written(_small_star(_large_star(now)), "stars")
+        seen, old = sign, now
+        now = C.written(_small_star(_large_star(old)), "stars")
+        C.discard(old)

@@ -87,6 +87,7 @@ def solve(counts: DataFrame, goal: DataFrame, steps: int = 60, near: float = 1e-
         tilt = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
         error = F.when(F.col("whole"), 0.0).otherwise(F.abs("off") / F.greatest(F.col("target"), F.lit(1.0)))
         state = C.written(s.select("source", "target", "mean", "whole", F.when(error <= near, F.col("tilt")).otherwise(tilt).alias("tilt"), "low", "high", error.alias("error")), "mixing-state")
+        C.discard(old)
         if (state.agg(F.max("error")).first()[0] or 0) <= near:
             break
     return state.select("source", "tilt", "whole", "mean")
