@@ -45,15 +45,13 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     line = b" ".join(words)
     if len(words) <= size:
         return xxhash.xxh64_intdigest(line, 42)
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *[e + 1 for e in ends[:-1]]]
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])
     hashed = xxhash.xxh64_intdigest
     total, n = np.zeros(64, np.int64), len(words) - size + 1
     for first in range(0, n, 4096):
-        h = np.array([hashed(line[a:b], 42) for a, b in zip(starts[first : min(n, first + 4096)], ends[first + size - 1 :], strict=False)], "<u8")
+        last = min(n, first + 4096)
+        h = np.array([hashed(line[a:b], 42) for a, b in zip(starts[first:last].tolist(), ends[first + size - 1 : last + size - 1].tolist(), strict=True)], "<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * total > n, bitorder="little")
     return int(bits.view("<u8")[0])
@@ -72,6 +70,10 @@ def fingerprints(documents: DataFrame, size: int = 4, row: str | None = None) ->
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, rid long")
 
 
+#: Steps of a search that are taken at once.
+STEPS = 1 << 14
+
+
 class BKTree:
     """Nodes are points; the children of a node are keyed by their Hamming distance to it.
 
@@ -111,22 +113,29 @@ class BKTree:
             left, level = left[~new], ids
 
     def within(self, queries: np.ndarray, radius: int, root: np.ndarray | None = None):
-        """Pairs (place in queries, place in points) within the radius, in runs; root: each query's shard."""
+        """Pairs (place in queries, place in points) within the radius, in runs; root: each query's shard.
+
+        Steps are (query, node) pairs; what a run of STEPS leads to is followed to its end before the next run, so that
+        memory is bounded by the depth of the trees, however many nodes a query meets.
+        """
         if not len(self.point):
             return
-        for start in range(0, len(queries), 4096):
-            q = np.arange(start, min(len(queries), start + 4096))
-            v = np.zeros(len(q), np.int64) if root is None else root[q]
-            while len(q):
-                d = np.bitwise_count(queries[q] ^ self.point[v]).astype(np.int16)
-                near = d <= radius
-                if near.any():
-                    yield q[near], self.order[v[near]]
-                many = self.count[v]
-                kids = np.repeat(self.first[v] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                q, d = np.repeat(q, many), np.repeat(d, many)
-                go = np.abs(self.edge[kids].astype(np.int16) - d) <= radius
-                q, v = q[go], kids[go]
+        runs = [(np.arange(len(queries)), np.zeros(len(queries), np.int64) if root is None else root)]
+        while runs:
+            q, v = runs.pop()
+            if len(q) > STEPS:
+                runs.append((q[STEPS:], v[STEPS:]))
+                q, v = q[:STEPS], v[:STEPS]
+            d = np.bitwise_count(queries[q] ^ self.point[v]).astype(np.int16)
+            near = d <= radius
+            if near.any():
+                yield q[near], self.order[v[near]]
+            many = self.count[v]
+            kids = np.repeat(self.first[v] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            q, d = np.repeat(q, many), np.repeat(d, many)
+            go = np.abs(self.edge[kids].astype(np.int16) - d) <= radius
+            if go.any():
+                runs.append((q[go], kids[go]))
 
     def dumped(self) -> bytes:
         """The tree as bytes, 21 for each point; places in points are not kept (nodes are known by their points)."""
