@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     # a model of no language decides without evidence
     facts = page_facts(spark.read.parquet(f"{sf_dir}/pages.parquet")) if model.languages else None
-    return language.identify(docs, model, host=F.col("source"), facts_of=facts).where("kept").select(*docs.columns)
+    return language.known(docs, model, host=F.col("source"), facts_of=facts)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,6 +236,19 @@ def identify(
     return rows.select(*[F.col(f"`{c}`") for c in kept], *ADDED)
 
 
+def known(documents: DataFrame, model: Model, **how) -> DataFrame:
+    """The rows of documents that identify() keeps, without columns of its own.
+
+    Texts are scored once, for a table of row numbers and decisions; of the rows themselves only those that the filter
+    of the rejected numbers flags are shuffled.
+    """
+    name = C.free_name(documents, "rid")
+    rows = C.numbered(documents, name)
+    decided = identify(rows, model, columns=[name, "doc_id"], **how)
+    gone = C.written(decided.where(~F.col("kept")).select(name), "language-rejected")
+    return C.without(rows, name, gone).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 def _priors(by_host: DataFrame, k: int, strength: float) -> DataFrame:
     """_host, _prior: log priors; a host's sums are smoothed by its domain's, those by all."""
     d = by_host.withColumn("_domain", F.coalesce(domain(F.col("_host")), F.lit("")))

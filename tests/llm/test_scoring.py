@@ -206,6 +206,21 @@ def test_language_evidence_and_odd_rows(spark):
     assert language.identify(short, m, facts_of=facts, columns=["doc_id"]).first().language == "fr"
 
 
+def test_known_rows_are_those_that_identify_keeps(spark):
+    m = language.train([("the cat and the dog of the house", "en"), ("le chat et le chien de la maison", "fr")] * 8, bits=12)
+    rows = [(1, None, 0), (2, "", 0), (3, "the dog of the cat", 1), (3, "the dog of the cat", 1), (4, "le chien de la maison", 1), (5, "123 456", 0), (None, "the house", 1), (None, "", 0)]
+    d = docs(spark, [r[:2] for r in rows]).withColumn("kept", F.lit("mine")).withColumn("rid", F.lit(7))
+    facts = spark.createDataFrame([(3, "a.uk", "en", "en"), (3, "b.uk", "en", "en")], "doc_id long, host string, declared string, suffix string")
+    for how in ({}, {"host": F.col("source"), "facts_of": facts}):
+        got = language.known(d, m, **how)
+        assert got.columns == d.columns
+        texts = sorted((str(r.doc_id), r.text, r.kept, r.rid) for r in got.collect())
+        assert texts == sorted((str(i), t, "mine", 7) for i, t, stays in rows if stays)
+        kept = language.identify(d, m, **how).where(F.col("kept"))
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [x[:2] for x in texts]
+    assert language.known(d.limit(0), m).count() == 0 and language.known(d, language.train([])).count() == 0
+
+
 def test_host_priors_lean_on_their_domains(spark):
     h = spark.createDataFrame([("a.x.fr", 0.0, 40.0), ("b.x.fr", 0.0, 0.0), ("c.y.de", 40.0, 0.0), (None, 0.0, 0.0)], "_host string, s0 double, s1 double")
     p = {r._host: r._prior for r in language._priors(h, 2, 20.0).collect()}
