@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +62,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trim() -> None:
+    """Gives back what a Python worker holds without need: it lives on, idle, beside the JVM's next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    freed = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if freed is not None:
+        freed(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

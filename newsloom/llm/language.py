@@ -97,7 +97,7 @@ def evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     """Log likelihoods (relative), number of grams and how many of them were seen in training, for each text."""
     k = len(model.languages)
     like, n, known = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for first, end in C.slices(texts):
+    for first, end in C.slices(texts, 1 << 18):
         b, at = _bytes(texts.slice(first, end - first))
         for places, x in _buckets(b, model.bits):
             row = np.searchsorted(at, places, "right") - 1 + first
@@ -146,6 +146,8 @@ def fit(documents: DataFrame, max_rows: int = 3000, language: str = "lang", **ho
                     count[places[lang]] += np.bincount(x, minlength=1 << bits)
         at, bucket = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bucket), pa.array(count[at, bucket])], ["at", "bucket", "n"])
+        del count
+        C.trim()
 
     # no text reaches the driver: sums for 2**bits buckets of each language do
     sums = texts.mapInArrow(tally, "at long, bucket long, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -194,6 +196,7 @@ def identify(
                 like, n, known_ = evidence(batch.column(at).cast(pa.string()), sent.value)
                 z = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array((like * temper).ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:echoed], z, pa.array(np.where(n > 0, known_ / np.maximum(n, 1), 0.0))], [*batch.schema.names[:echoed], f"{p}like", f"{p}known"])
+            C.trim()
 
         return go
 

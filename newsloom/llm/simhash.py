@@ -65,6 +65,7 @@ def fingerprints(documents: DataFrame, size: int = 4, row: str | None = None) ->
         for batch in batches:
             fp = np.array([fingerprint(t, size) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(1)], ["doc_id", "fp", "rid"])
+        C.trim()
 
     rid = F.lit(None).cast("long") if row is None else F.col(row)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, rid long")
@@ -222,6 +223,8 @@ def links(points: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
             held = rows.iloc[last:]
         if held is not None and len(held):
             yield search(held)
+        held = None
+        C.trim()
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         c, under, fp = (rows[x].to_numpy() for x in ("c", "under", "fp"))
