@@ -142,6 +142,15 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(raw, at, 32), at[:-1] + np.arange(len(texts))
 
 
+def word_array(b: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """Where each word of the byte array (of `flat_bytes`) begins, and the words."""
+    gap = SPACE[b]
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+    ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return starts, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(b[~gap])])
+
+
 def slices(texts: pa.Array, most: int = 1 << 20):
     """Runs of consecutive texts of about `most` bytes each, a longer text alone: (first, end)."""
     sizes = np.fromiter((len(t) if t else 0 for t in texts.to_pylist()), np.int64, len(texts)) if not len(texts) else lengths(texts)

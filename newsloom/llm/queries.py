@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, pii, quality, rules, sharding, simhash, token_counts
+from . import bpe, exact_dedup, fim, language, mixing, packing, periodic, pii, quality, rules, sharding, simhash, token_counts
+from . import common as C
 from .common import written
 
 
@@ -75,7 +76,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(rows, mixing.allot(rows)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_sharding, op4_simhash, op5_quality_rules, op6_bpe, op7_language, op8_exact_dedup, op9_pii, op10_mixing)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """doc_id and text; in one of ten documents the words from a place on become repetitions of those that follow it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    changes = F.coalesce(h % 10 == 0, F.lit(False))
+    d = documents.select("doc_id", "text", F.when(changes, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(C.WORD), F.lit(0))).alias("words"), g.alias("g"))
+    d = d.withColumn("n", F.size("words"))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    period = F.slice("words", F.col("a") + 1, p)
+    copies = F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(with_planted_runs(_documents(spark, sf_dir))).withColumn("best", periodic.greatest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_sharding, op4_simhash, op5_quality_rules, op6_bpe, op7_language, op8_exact_dedup, op9_pii, op10_mixing, op11_packing, op12_periodic, op13_fim)}
 
 ORACLES = {
     "op5_quality_rules": r"""
@@ -103,4 +136,15 @@ ORACLES = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op13_fim": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+        r AS (SELECT *, CAST('0x' || h[1:8] AS UBIGINT) % (n + 1) AS r1, CAST('0x' || h[9:16] AS UBIGINT) % (n + 1) AS r2,
+                     CAST('0x' || h[17:24] AS UBIGINT) % 100 AS r3, CAST('0x' || h[25:32] AS UBIGINT) % 100 AS r4 FROM d),
+        c AS (SELECT *, CAST(least(r1, r2) AS BIGINT) AS a, CAST(greatest(r1, r2) AS BIGINT) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain'
+                          WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+        p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
