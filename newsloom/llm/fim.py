@@ -140,15 +140,15 @@ def cut(text: bytes, numbers: tuple[int, int, int, int], matcher, plain: int, sp
     return n, "psm", *sizes, b"<P>" + prefix + b"<S>" + suffix + b"<M>" + middle
 
 
-def transform(documents: DataFrame, pattern: str | None = None, seed: str = "1", plain: int = 10, spm: int = 20) -> DataFrame:
-    """documents with n_units, form, prefix_chars, middle_chars and output. pattern: of a unit, a code point if None; plain, spm: per cent."""
+def transform(documents: DataFrame, pattern: str | None = None, seed: str = "1", plain: int = 10, spm: int = 20, columns: list[str] | None = None) -> DataFrame:
+    """documents (of it `columns`, all if None) with n_units, form, prefix_chars, middle_chars and output. pattern: of a unit, a code point if None; plain, spm: per cent."""
     C.small_batches(documents.sparkSession)
-    kept = documents.drop(*ADDED)
-    n = len(kept.columns)
     # by position: a name may hold any sign
-    rows = kept.toDF(*[f"c{i}" for i in range(n)])
-    doc_id, text = (F.col(f"c{kept.columns.index(c)}") for c in ("doc_id", "text"))
-    rows = rows.withColumn("id", doc_id.cast("long")).withColumn("bytes", F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    places = [i for i, c in enumerate(documents.columns) if c.lower() not in ADDED and (columns is None or c in columns)]
+    n, types = len(places), [f"c{i} {documents.dtypes[i][1]}" for i in places]
+    d = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    doc_id, text = (F.col(f"c{documents.columns.index(c)}") for c in ("doc_id", "text"))
+    rows = d.select(*[f"c{i}" for i in places], doc_id.cast("long").alias("id"), F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("bytes"))
 
     def run(batches):
         matcher = CodePoints() if pattern is None else Matches(pattern)
@@ -160,9 +160,8 @@ def transform(documents: DataFrame, pattern: str | None = None, seed: str = "1",
                 new = [pa.array(units, pa.int64()), pa.array(form, pa.string()), pa.array(before, pa.int64()), pa.array(middle, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:n], *new], [*batch.schema.names[:n], *ADDED])
 
-    types = [f"c{i} {t}" for i, (_, t) in enumerate(kept.dtypes)]
     made = rows.mapInArrow(run, ", ".join([*types, "n_units long", "form string", "prefix_chars long", "middle_chars long", "output string"]))
-    return made.toDF(*kept.columns, *ADDED)
+    return made.toDF(*[documents.columns[i] for i in places], *ADDED)
 
 
 def restored(output: Column, form: Column) -> Column:

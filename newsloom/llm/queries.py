@@ -104,7 +104,7 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fim.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    made = fim.transform(_documents(spark, sf_dir), columns=["doc_id"])
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
