@@ -507,7 +507,7 @@ def global_notes(spark, sf):
 
 @query()
 def topic_kmeans(spark, sf):
-    d, names = topics.cluster(corpus_view(spark, sf).select("doc_id", "content"), "content", k=8)
+    d, names = topics.cluster(corpus_view(spark, sf).select("doc_id", "content"), "content", key="doc_id", k=8)
     return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(names, "cluster")
 
 

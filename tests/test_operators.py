@@ -278,7 +278,7 @@ def test_region_edges(spark):
 def test_clusters_release_what_they_cache(spark):
     d = spark.createDataFrame([(i, f"apple banana {'cherry' if i % 2 else 'plum'} tree number {i % 5}") for i in range(40)], "doc_id int, content string")
     before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
-    got, names = topics.cluster(d, "content", k=2)
+    got, names = topics.cluster(d, "content", key="doc_id", k=2)
     assert got.select("doc_id").distinct().count() == 40 and names.count() == 2
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
 
