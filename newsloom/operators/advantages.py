@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
+from . import followups
 
 
 def _counts(hits: DataFrame, hit: Column) -> DataFrame:
@@ -88,10 +89,8 @@ def followed_pairs(articles: DataFrame, least: int = 2, block: int = 256) -> Dat
 
 
 def followthrough(articles: DataFrame) -> DataFrame:
-    """Stories followed up: unique articles in pairs, clusters by the first three shared words."""
-    p = followed_pairs(articles)
-    ids = p.select("corpus", "cluster", F.explode(F.array("a", "b")).alias("id"))
-    c = ids.agg(F.count_distinct(F.when(F.col("corpus") == "internal", F.col("id"))).alias("our"), F.count_distinct(F.when(F.col("corpus") == "competitor", F.col("id"))).alias("their"), F.count_distinct(F.when(F.col("corpus") == "internal", F.col("cluster"))).alias("clusters"))
+    """Stories followed up: unique articles with a partner, clusters by the first three shared words; no pairs are listed."""
+    c = followups.counted(articles)
     score = F.col("our") + F.when(F.col("clusters") >= 3, 2).otherwise(0) + F.when(F.col("our") > F.col("their"), 1).otherwise(0)
     return c.where("our >= 2").select(F.lit("followthrough").alias("advantage_key"), "our", "their", score.cast("long").alias("score"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import advantages, articles, evidence, metrics, reports, search, tagging, topics
+from ..operators import advantages, articles, evidence, followups, metrics, reports, search, tagging, topics
+from ..sources import shared
 from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,6 +558,19 @@ def adv_followthrough(spark, sf):
     return advantages.followed_pairs(d)
 
 
+@query(_FOLLOW.replace("{8,}", "{4,}") + " SELECT corpus, a AS article_id FROM pr WHERE len(s) >= 2 UNION SELECT corpus, b FROM pr WHERE len(s) >= 2")
+def adv_followed_articles(spark, sf):
+    """Articles with a partner; work follows the titles, not the pairs."""
+    return followups.followed(window(spark, sf).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", " ")))
+
+
+@query(_FOLLOW.replace("{8,}", "{4,}") + " SELECT DISTINCT corpus, array_to_string(s[1:3], ' ') AS cluster FROM pr WHERE len(s) >= 2")
+def adv_story_clusters(spark, sf):
+    """The clusters that followed stories form, found without listing pairs."""
+    found = followups.titles(window(spark, sf).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", " ")))
+    return followups.clusters(shared.written(followups.classes(found), "title-classes"))
+
+
 @query(f"""WITH {ART}, d AS (SELECT * FROM {_EXPL} UNION ALL SELECT * FROM {_EVNT} UNION ALL SELECT * FROM {_FRAN}), t AS (SELECT count(*) FILTER (corpus = 'internal') AS no, count(*) FILTER (corpus = 'competitor') AS nt FROM win),
   p AS (SELECT advantage_key, least(our, no) AS our, least(their, nt) AS their, round(our * 100.0 / no, 6) AS our_pct, round(their * 100.0 / nt, 6) AS their_pct, score FROM d, t) SELECT advantage_key, our, their, our_pct, their_pct, round(CASE WHEN their_pct > 0 THEN our_pct / their_pct ELSE 99.0 END, 6) AS concentration_ratio, score FROM p WHERE our_pct > their_pct""")
 def adv_cards(spark, sf):
