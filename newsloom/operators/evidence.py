@@ -20,15 +20,37 @@ def by_title(gaps: DataFrame, articles: DataFrame) -> DataFrame:
     return g.join(a, "_t").select("gap_id", "article_id", F.lit("exact").alias("match_method"))
 
 
-def by_part(gaps: DataFrame, articles: DataFrame, max_gaps: int = 10_000) -> DataFrame:
-    """One title within the other, the smallest id of several. Every gap meets every title: up to `max_gaps` gaps are
-    sent to every task; more are dealt into blocks of about that size, each of which meets each part of the titles."""
-    a = articles.select("article_id", _key(F.col("title")).alias("_t")).where("_t <> ''")
-    g = gaps.select("gap_id", _key(F.col("evidence")).alias("_e")).where("_e <> ''")
-    n = g.count()
-    g = F.broadcast(g) if n <= max_gaps else g.repartition(-(-n // max_gaps)).hint("shuffle_replicate_nl")
-    hit = a.join(g, F.contains(F.col("_t"), F.col("_e")) | F.contains(F.col("_e"), F.col("_t")))
-    return hit.groupBy("gap_id").agg(F.min("article_id").alias("article_id")).withColumn("match_method", F.lit("partial"))
+def _ngrams(c: Column, n: int) -> Column:
+    """The distinct runs of n signs."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: i <= F.length(c) - n + 1)
+    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
+
+
+def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """needle, hay: the strings `s` of needles that stand within strings `s` of hay. Both: distinct strings, none empty.
+
+    A string within another has its runs of three signs there (shorter strings: the whole string). Strings of hay are
+    posted under their runs by a hash; of a needle's runs the one with the fewest postings fetches candidates in an equi join, and a
+    needle with a run that is posted nowhere goes at once. Candidates fetch their strings, and `contains` decides.
+    """
+    posted = hay.select(F.xxhash64("s").alias("id"), F.explode(F.concat(*[_ngrams(F.col("s"), n) for n in (1, 2, 3)])).alias("g"))
+    often = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    own = F.when(F.length("s") < 3, F.array("s")).otherwise(_ngrams(F.col("s"), 3))
+    runs = needles.select("s", own.alias("own")).select("s", F.size("own").alias("n"), F.explode("own").alias("g"))
+    found = runs.join(often, "g").groupBy("s", "n").agg(F.count(F.lit(1)).alias("posted"), F.min(F.struct("df", "g")).alias("least"))
+    rarest = found.where("posted = n").select(F.col("s").alias("needle"), F.col("least.g").alias("g"))
+    strings = hay.select(F.xxhash64("s").alias("id"), F.col("s").alias("hay"))
+    return rarest.join(posted, "g").select("needle", "id").join(strings, "id").where(F.contains("hay", F.col("needle"))).select("needle", "hay")
+
+
+def by_part(gaps: DataFrame, articles: DataFrame) -> DataFrame:
+    """One title within the other, the smallest id of several; titles meet through postings of their runs of three signs, in both directions."""
+    a = articles.select("article_id", _key(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("article_id").alias("article_id"))
+    g = gaps.select("gap_id", _key(F.col("evidence")).alias("e")).where("e <> ''")
+    titles, parts = a.select(F.col("t").alias("s")), g.select(F.col("e").alias("s")).distinct()
+    met = contained(parts, titles).select(F.col("needle").alias("e"), F.col("hay").alias("t")).unionByName(contained(titles, parts).select(F.col("hay").alias("e"), F.col("needle").alias("t")))
+    best = met.join(a, "t").groupBy("e").agg(F.min("article_id").alias("article_id"))
+    return g.join(best, "e").groupBy("gap_id").agg(F.min("article_id").alias("article_id")).withColumn("match_method", F.lit("partial"))
 
 
 def by_keyword(gaps: DataFrame, articles: DataFrame, n: int = 5) -> DataFrame:

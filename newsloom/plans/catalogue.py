@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import advantages, articles, evidence, followups, metrics, reports, search, tagging, topics
+from ..operators import advantages, articles, automaton, evidence, followups, metrics, reports, search, tagging, topics
 from ..sources import shared
 from ..streaming import events as streams
 
@@ -307,6 +307,15 @@ def topic_tags(spark, sf):
     return tagged(spark, sf).select("article_id", F.explode("entities").alias("entity"))
 
 
+@query(f"""WITH {ART}, k AS (SELECT DISTINCT w AS keyword, w[1:1] AS label FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS w FROM benchmark))
+  SELECT DISTINCT article_id, label FROM art JOIN k ON contains(lower(content), keyword)""")
+def topic_tags_by_table(spark, sf):
+    """Labels by substring from a dictionary that is a table: the words of the benchmark, by their first letters."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("keyword")).distinct()
+    d = corpus_view(spark, sf)
+    return automaton.tag(d, F.col("content"), words.withColumn("label", F.substring("keyword", 1, 1)))
+
+
 @query("SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3")
 def region_lookup(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region").where("r_regionkey < 3")
