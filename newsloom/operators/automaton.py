@@ -132,7 +132,8 @@ class Automaton:
         return both >> 32, (both & 0xFFFFFFFF).astype(np.int64)
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings, and where each begins; one place more for the end."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2] if len(column) else None
@@ -161,7 +162,7 @@ def tag(articles: DataFrame, column: Column, terms: DataFrame, key: str = "artic
             automaton, names = sent.value
             labels = pa.array(names, pa.string())
             for batch in batches:
-                text, found = automaton.find(*_texts(batch.column(1)))
+                text, found = automaton.find(*texts(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), labels.take(pa.array(found))], ["key", "label"])
 
         got = rows.mapInArrow(run, f"key {kind}, label string")

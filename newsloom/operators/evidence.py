@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
+from ..sources.shared import written
+from . import automaton
 
 
 def _key(c: Column) -> Column:
@@ -20,33 +24,57 @@ def by_title(gaps: DataFrame, articles: DataFrame) -> DataFrame:
     return g.join(a, "_t").select("gap_id", "article_id", F.lit("exact").alias("match_method"))
 
 
-def _ngrams(c: Column, n: int) -> Column:
-    """The distinct runs of n signs."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: i <= F.length(c) - n + 1)
-    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
+def _runs(strings: DataFrame, shorter: bool) -> DataFrame:
+    """id, n, run: the distinct runs of three bytes of each string (id, s), as numbers, and how many it has. shorter: runs of one and two bytes too; else these only of strings so short."""
+
+    def parts(batch):  # a row at least, about a megabyte at most
+        upto, first = automaton.texts(batch.column(1))[1], 0
+        while first < len(batch):
+            end = max(first + 1, int(np.searchsorted(upto, upto[first] + (1 << 20), "right")) - 1)
+            yield batch.slice(first, end - first)
+            first = end
+
+    def run(batches):
+        for batch in (part for whole in batches for part in parts(whole)):
+            data, offsets = automaton.texts(batch.column(1))
+            size = np.diff(offsets)
+            data, of = data[offsets[0] : offsets[-1]].astype(np.int64), np.repeat(np.arange(len(size)), size)
+            left = np.repeat(offsets[1:] - offsets[0], size) - np.arange(len(data))  # bytes from here to the string's end
+            found, code = [], np.zeros(len(data), np.int64)
+            for n in (1, 2, 3):
+                code = (code << 8)[: len(data) - n + 1] | data[n - 1 :]
+                ok = left[: len(code)] >= n
+                if n < 3 and not shorter:
+                    ok &= size[of[: len(code)]] == n
+                found.append(of[: len(code)][ok] << 32 | n << 24 | code[ok])
+            both = np.unique(np.concatenate(found))
+            of, code = both >> 32, both & 0xFFFFFFFF
+            n = np.bincount(of, minlength=len(size))[of]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(n), pa.array(code)], ["id", "n", "run"])
+
+    return strings.select("id", "s").mapInArrow(run, "id long, n long, run long")
 
 
 def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """needle, hay: the strings `s` of needles that stand within strings `s` of hay. Both: distinct strings, none empty.
 
-    A string within another has its runs of three signs there (shorter strings: the whole string). Strings of hay are
-    posted under their runs by a hash; of a needle's runs the one with the fewest postings fetches candidates in an equi join, and a
+    A string within another has its runs of three bytes there (shorter strings: the whole string). Strings of hay are
+    posted under their runs; of a needle's runs the one with the fewest postings fetches candidates in an equi join, and a
     needle with a run that is posted nowhere goes at once. Candidates fetch their strings, and `contains` decides.
     """
-    posted = hay.select(F.xxhash64("s").alias("id"), F.explode(F.concat(*[_ngrams(F.col("s"), n) for n in (1, 2, 3)])).alias("g"))
-    often = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    own = F.when(F.length("s") < 3, F.array("s")).otherwise(_ngrams(F.col("s"), 3))
-    runs = needles.select("s", own.alias("own")).select("s", F.size("own").alias("n"), F.explode("own").alias("g"))
-    found = runs.join(often, "g").groupBy("s", "n").agg(F.count(F.lit(1)).alias("posted"), F.min(F.struct("df", "g")).alias("least"))
-    rarest = found.where("posted = n").select(F.col("s").alias("needle"), F.col("least.g").alias("g"))
-    strings = hay.select(F.xxhash64("s").alias("id"), F.col("s").alias("hay"))
-    return rarest.join(posted, "g").select("needle", "id").join(strings, "id").where(F.contains("hay", F.col("needle"))).select("needle", "hay")
+    needles, hay = (written(d.select(F.monotonically_increasing_id().alias("id"), "s"), "strings") for d in (needles, hay))
+    posted = _runs(hay, shorter=True).select(F.col("id").alias("in"), "run")
+    often = posted.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+    found = _runs(needles, shorter=False).join(often, "run").groupBy("id", "n").agg(F.count(F.lit(1)).alias("posted"), F.min(F.struct("df", "run")).alias("least"))
+    rarest = found.where("posted = n").select("id", F.col("least.run").alias("run"))
+    met = rarest.join(posted, "run").select("id", "in").join(needles.select("id", F.col("s").alias("needle")), "id").join(hay.select(F.col("id").alias("in"), F.col("s").alias("hay")), "in")
+    return met.where(F.contains("hay", F.col("needle"))).select("needle", "hay")
 
 
 def by_part(gaps: DataFrame, articles: DataFrame) -> DataFrame:
-    """One title within the other, the smallest id of several; titles meet through postings of their runs of three signs, in both directions."""
-    a = articles.select("article_id", _key(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("article_id").alias("article_id"))
-    g = gaps.select("gap_id", _key(F.col("evidence")).alias("e")).where("e <> ''")
+    """One title within the other, the smallest id of several; titles meet through postings of their runs of three bytes, in both directions."""
+    a = written(articles.select("article_id", _key(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("article_id").alias("article_id")), "titles")
+    g = written(gaps.select("gap_id", _key(F.col("evidence")).alias("e")).where("e <> ''"), "gaps")
     titles, parts = a.select(F.col("t").alias("s")), g.select(F.col("e").alias("s")).distinct()
     met = contained(parts, titles).select(F.col("needle").alias("e"), F.col("hay").alias("t")).unionByName(contained(titles, parts).select(F.col("hay").alias("e"), F.col("needle").alias("t")))
     best = met.join(a, "t").groupBy("e").agg(F.min("article_id").alias("article_id"))

@@ -17,10 +17,10 @@ def test_automaton_equals_in(monkeypatch, chunk):
     texts = [None, "", "a", "日本語"] + ["".join(draw.choice("abcé日本") for _ in range(draw.randint(0, 60))) for _ in range(120)]
     codes = [i % 7 for i in range(len(words))]
     a = automaton.Automaton([w.encode() for w in words], codes)
-    got = set(zip(*(x.tolist() for x in a.find(*automaton._texts(pa.array(texts)))), strict=True))
+    got = set(zip(*(x.tolist() for x in a.find(*automaton.texts(pa.array(texts)))), strict=True))
     assert got == {(i, c) for i, t in enumerate(texts) for w, c in zip(words, codes, strict=True) if w in (t or "")}
     sliced = pa.array(texts).slice(50, 20)
-    got = set(zip(*(x.tolist() for x in a.find(*automaton._texts(sliced))), strict=True))
+    got = set(zip(*(x.tolist() for x in a.find(*automaton.texts(sliced))), strict=True))
     assert got == {(i, c) for i, t in enumerate(sliced.to_pylist()) for w, c in zip(words, codes, strict=True) if w in t}
 
 
