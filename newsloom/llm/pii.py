@@ -7,10 +7,12 @@ Each shift can be undone, so different entities have different surrogates, and o
 every document and layout: coreference needs no table. What makes a value valid is kept: the octets of addresses,
 the issuer digit and check digit of cards, country codes, the top-level domain.
 
-Names are found after a title, or where a known given name stands before capitalised words. They are replaced word
-by word, so that "Maria Lopez" and "Mrs. Lopez" stay one family: a known given name becomes another of the same
-gender and script (a rotation of its list, by the key), any other word is permuted, keeping the last letter, which
-carries gender where words do. The title stays.
+Names are found after a title, or where a known given name stands before capitalised words; hyphens and apostrophes join
+parts of a word, particles (de la, van der) stand between words, and both may be in capitals. They are replaced part by part, so that
+"Maria Lopez", "MARIA LOPEZ" and "Mrs. Lopez" stay one family. A known given name, and an unknown one between a title
+that says the gender and a surname, gets a name of its gender and script: the known ones change places in a keyed ring; where
+that is real in the corpus, two names of the list are joined by a hyphen, later more. Any other part is permuted, keeping the last
+letter, which carries gender where words do. The title, particles and single letters stay.
 
 Labels and hexadecimal digits count in either case, and secrets of any length. One of more than PART characters
 is permuted part by part, each with a key of its place. Runs of 13 to 19 digits are cards only if the check digit is right.
@@ -20,8 +22,7 @@ entities are a table; they are grouped with their surrogates by value. An entity
 belongs to another (one of several keeps it), draws again with the next attempt's key, against all real values and all surrogates
 given so far, until none is left. After WIDE attempts the format is made one character longer with each attempt (names, e-mails, secrets, phones),
 so that a small format in which every value is taken is left behind; a format that cannot grow raises an error
-after ATTEMPTS rather than keep a real value. Entities that drew again are few; only rows that a broadcast filter of
-them flags are joined with them, all others are rewritten where they are read.
+after ATTEMPTS rather than keep a real value. A value is a whole replacement: a part of a name, or a hyphenated given name.
 
 All of it is DataFrame expressions, no Python runs over rows.
 
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа"
 # ---- Fixed values: given names by gender and script. ----
 GIVEN = {
     "female, Latin": "Anna Maria Elena Laura Sofia Julia Emma Olivia Charlotte Isabella Camille Chloé Claire Inès Léa Manon Marie Sophie Katharina Lena Johanna Hannah Greta Ingrid Carmen Lucía Paula Marta Mary Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Emily".split(),
@@ -47,7 +47,15 @@ GIVEN = {
     "male, Cyrillic": "Александр Дмитрий Сергей Андрей Алексей Иван Михаил Николай Владимир Павел Олег Виктор".split(),
 }
 # ---- End of fixed values. ----
-_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|MRS|FRAU"
+_MALE = r"Mr|Herr|Señor|Monsieur|Господин|MR|HERR"
+_TITLES = rf"{_FEMALE}|{_MALE}|Dr|Prof|DR|PROF"
+_GIVEN = "|".join(w for names in GIVEN.values() for n in names for w in (n, n.upper()))
+#: A word of a name: hyphens and apostrophes join its parts, but for the possessive.
+_WORD = r"(?:\p{Lu}\p{L}{1,30}|\p{Lu}(?=['’]\p{Lu}))(?:[-'’](?!s(?!\p{L}))\p{L}{1,30}){0,3}"
+#: Particles between the words of a name; they stay.
+_PARTICLES = r"(?:(?:de|del|della|di|da|dos|van|von|der|den|du|la|las|le|los|bin|al|ter|zu) ){0,3}"
+_MORE = rf"(?: {_PARTICLES}{_WORD})"
 _LABELS = "token|secret|passwd|password|api_key|apikey|access_key"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Pattern of each kind, tried in this order at each place. Look-behinds are bounded, and short ones stand before
@@ -59,11 +67,11 @@ KINDS: dict[str, str] = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9.])(?:[0-9]{13,19}+|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
-    "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLES})\.? )\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}}){{0,2}}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_])(?:{_GIVEN})(?: \p{{Lu}}\p{{L}}{{1,30}}){{1,2}}",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLES})\.? ){_WORD}{_MORE}{{0,2}}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_])(?:{_GIVEN})(?:(?:-{_WORD})?{_MORE}{{1,2}}|-{_WORD})",
 }
 PATTERN = "|".join(KINDS.values())
 #: A text without any of these holds no entity.
-_HINT = rf"[0-9]|@|(?i:token|secret|passw|key)|\b(?:{_TITLES})\b|(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}"
+_HINT = rf"[0-9]|@|(?i:token|secret|passw|key)|\b(?:{_TITLES})\b|(?=\p{{Lu}})(?:{_GIVEN})[ -]"
 #: Attempts in a format as it is, and attempts in all.
 WIDE, ATTEMPTS = 8, 200
 #: Longer secrets are permuted in parts of so many characters: each step hashes all that it is permuted with.
@@ -82,7 +90,7 @@ def kind_sql(e: str) -> str:
         f"CASE WHEN instr({e}, '@') > 0 THEN 'email' WHEN {e} rlike {_q('^' + KINDS['ip'] + '$')} THEN 'ip' WHEN {e} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn' "
         f"WHEN {e} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' THEN if({_valid_sql(e)}, 'card', 'number') WHEN {e} rlike '^[+(0-9][0-9 ().+-]{{6,}}$' AND {e} rlike '[ ().+-]' THEN 'phone' WHEN {e} rlike '^[0-9a-f]{{8,}}$' THEN 'hex' "
         f"WHEN {e} rlike '^[0-9A-Fa-f]{{8,}}$' AND {e} rlike '[0-9]' THEN 'HEX' "
-        f"WHEN {e} rlike '^\\\\p{{Lu}}\\\\p{{L}}+( \\\\p{{Lu}}\\\\p{{L}}+){{0,2}}$' AND NOT {e} rlike '[0-9]' THEN 'name' ELSE 'secret' END"
+        f"WHEN {e} rlike {_q(rf'^{_WORD}{_MORE}{{0,2}}$')} THEN 'name' ELSE 'secret' END"
     )
 
 
@@ -153,39 +161,56 @@ def _found(text: str) -> str:
     each = f"CASE WHEN {text} rlike {_q(_HINT)} THEN regexp_extract_all({text}, {_q(PATTERN)}, 0) ELSE array() END"
     # what stands before a value tells a secret of digits or letters only from a number or a name
     label = _q(rf"(?i:{_LABELS})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?$")
+    said = lambda titles: _q(rf"\b(?:{titles})\.? $")
     before = f"slice(split({text}, {_q(PATTERN)}, -1), 1, size(a.each))"
-    formed = f"zip_with(a.each, {before}, (e, p) -> named_struct('e', e, 'secret', p rlike {label}))"
-    kinds = f"transform({formed}, x -> named_struct('e', x.e, 'kind', element_at(transform(array({kind_sql('x.e')}), k -> if(x.secret AND k IN ('number', 'name'), 'secret', k)), 1)))"
-    whole = f"transform({kinds}, x -> named_struct('e', x.e, 'kind', x.kind, 'canonical', {canonical_sql('x.kind', 'x.e')}))"
+    formed = f"zip_with(a.each, {before}, (e, p) -> named_struct('e', e, 'secret', p rlike {label}, 'gender', CASE WHEN p rlike {said(_FEMALE)} THEN 'f' WHEN p rlike {said(_MALE)} THEN 'm' ELSE '' END))"
+    kinds = f"transform({formed}, x -> named_struct('e', x.e, 'gender', x.gender, 'kind', element_at(transform(array({kind_sql('x.e')}), k -> if(x.secret AND k IN ('number', 'name'), 'secret', k)), 1)))"
+    whole = f"transform({kinds}, x -> named_struct('e', x.e, 'kind', x.kind, 'parts', {_parts_sql('x.kind', 'x.e', 'x.gender')}))"
     return f"element_at(transform(array(named_struct('each', {each})), a -> if(size(a.each) = 0, array(), {whole})), 1)"
 
 
-_ALL_GIVEN = "array(" + ", ".join(_q(n) for names in GIVEN.values() for n in names) + ")"
+_CODES = {"female, Latin": "given:fl", "male, Latin": "given:ml", "female, Cyrillic": "given:fc", "male, Cyrillic": "given:mc"}
 
 
-def _given_sql(key: str, w: str) -> str:
-    """A known given name's surrogate: its list, turned by the key (never by nothing)."""
-    turned = []
-    for label, names in GIVEN.items():
-        by = 1 + int(hashlib.sha256(f"{key}|{label}".encode()).hexdigest(), 16) % (len(names) - 1)
-        turned += [_q(names[(i + by) % len(names)]) for i in range(len(names))]
-    return f"element_at(array({', '.join(turned)}), int(array_position({_ALL_GIVEN}, {w})))"
+def _array_sql(names: list[str]) -> str:
+    return "array(" + ", ".join(map(_q, names)) + ")"
 
 
-def _parts_sql(kind: str, canonical: str) -> str:
-    """What an entity is replaced by: itself, or a name's words without known given names."""
-    return f"CASE {kind} WHEN 'number' THEN array() WHEN 'name' THEN filter(split({canonical}, ' '), w -> NOT array_contains({_ALL_GIVEN}, w)) ELSE array({canonical}) END"
+def _parts_sql(kind: str, e: str, gender: str) -> str:
+    """What an entity is replaced by, part by part: w (as it stands), kind ('' stays as it is) and canonical. A name's parts are its runs of letters.
+
+    A known given name has the kind of its list. So has the first of several words after a title that says the gender.
+    Other words are of kind name; particles and single letters stay.
+    """
+    known = " ".join(f"WHEN array_contains({_array_sql(GIVEN[label])}, y.c) THEN '{code}'" for label, code in _CODES.items())
+    script = "if(y.c rlike '\\\\p{IsCyrillic}', 'c', 'l')"
+    part = f"CASE WHEN length(y.w) < 2 OR substr(y.w, 1, 1) = lower(substr(y.w, 1, 1)) THEN '' {known} WHEN y.i = 0 AND {gender} <> '' AND {e} rlike '[ -]' THEN concat('given:', {gender}, {script}) ELSE 'name' END"
+    words = f"transform(transform(regexp_extract_all({e}, '\\\\p{{L}}+', 0), (w, i) -> named_struct('w', w, 'i', i, 'c', concat(upper(substr(w, 1, 1)), lower(substr(w, 2))))), y -> named_struct('w', y.w, 'kind', {part}, 'canonical', y.c))"
+    return f"CASE {kind} WHEN 'number' THEN array() WHEN 'name' THEN {words} ELSE array(named_struct('w', {e}, 'kind', {kind}, 'canonical', {canonical_sql(kind, e)})) END"
+
+
+def _seen(documents: DataFrame, *columns: str) -> DataFrame:
+    """columns and `found`, the entities of each text that has any; read once, and written."""
+    # generated, not projected: a filter on it would be pushed below a projection, and texts searched twice
+    found = documents.select(*columns, F.explode(F.array(F.expr(_found("string(text)")))).alias("found"))
+    return C.written(found.where("exists(found, x -> x.kind <> 'number')"), "pii-found")
 
 
-def _asked(documents: DataFrame, *columns: str) -> DataFrame:
+def _asked(seen: DataFrame, *columns: str) -> DataFrame:
     """kind and canonical of each value to be replaced in each text."""
-    found = documents.select(*columns, F.explode(F.expr(_found("string(text)"))).alias("x"))
-    return found.select(*columns, F.col("x.kind").alias("kind"), F.explode(F.expr(_parts_sql("x.kind", "x.canonical"))).alias("canonical"))
+    parts = seen.select(*columns, F.explode(F.expr("flatten(transform(found, x -> x.parts))")).alias("x")).where("x.kind <> ''")
+    return parts.select(*columns, F.col("x.kind").alias("kind"), F.col("x.canonical").alias("canonical"))
+
+
+def _joined(seen: DataFrame) -> DataFrame:
+    """value: the hyphenated names of the texts, which are real too."""
+    whole = seen.select(F.explode("found").alias("x")).where("x.kind = 'name' and instr(x.e, '-') > 0")
+    return whole.select(F.explode(F.regexp_extract_all("x.e", F.lit(r"\p{L}+(?:-\p{L}+)+"), F.lit(0))).alias("w")).select(F.initcap(F.regexp_replace("w", "-", " ")).alias("value")).select(F.regexp_replace("value", " ", "-").alias("value")).distinct()
 
 
 def entities(documents: DataFrame) -> DataFrame:
     """kind and canonical, the distinct values of all texts that need a surrogate."""
-    return _asked(documents).distinct()
+    return _asked(_seen(documents)).distinct()
 
 
 def _attempt(key: str, n: int) -> str:
@@ -195,24 +220,42 @@ def _attempt(key: str, n: int) -> str:
         f"CASE kind WHEN 'name' THEN concat(substr(canonical, 1, length(canonical) - 1), repeat(if(canonical rlike '[а-яё]', 'а', 'a'), {more}), substr(canonical, -1)) "
         f"WHEN 'email' THEN concat(repeat('a', {more}), canonical) WHEN 'card' THEN canonical WHEN 'ip' THEN canonical WHEN 'ssn' THEN canonical ELSE concat(canonical, repeat('0', {more})) END"
     )
-    return permute_sql(f"{key}#{n}" if n else key, "kind", f"({grown})" if more else "canonical")
-
-
-def surrogates(real: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    again = f"{key}#{n}" if n else key
+    return f"CASE WHEN kind LIKE 'given:%' THEN {_given_sql(again, n)} ELSE {permute_sql(again, 'kind', f'({grown})' if more else 'canonical')} END"
+
+
+def _given_sql(key: str, n: int) -> str:
+    """A given name's surrogate: first a name of its list (listed names change places in one keyed ring), then two names of it with a hyphen, later more."""
+    cases = []
+    for label, code in _CODES.items():
+        names = GIVEN[label]
+        drawn = lambda j, names=names: f"element_at({_array_sql(names)}, int(pmod({_shift_sql(key, 'kind', str(j), 'canonical')}, {len(names)})) + 1)"
+        if n:
+            several = ", ".join(drawn(j) for j in range(2 + max(0, n - WIDE + 1) // 4))
+            cases.append(f"WHEN '{code}' THEN concat_ws('-', {several})")
+        else:
+            ring = sorted(names, key=lambda x: hashlib.sha256(f"{key}|{label}|{x}".encode()).digest())
+            after = dict(zip(ring, ring[1:] + ring[:1], strict=True))
+            cases.append(f"WHEN '{code}' THEN coalesce(element_at({_array_sql([after[x] for x in names])}, nullif(int(array_position({_array_sql(names)}, canonical)), 0)), {drawn(0)})")
+    return f"CASE kind {' '.join(cases)} END"
+
+
+def surrogates(real: DataFrame, key: str, besides: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """kind, canonical and the surrogate drawn first; and the same of those that drew again, with what they got (None if there is none).
 
-    real: distinct kind, canonical. All surrogates that hold are distinct, and none is a value of `real` of any kind.
+    real: distinct kind, canonical. All surrogates that hold are distinct, and none is a value of `real` of any kind, or of `besides` (one column).
     """
     first = C.written(real.select("kind", "canonical", F.expr(_attempt(key, 0)).alias("surrogate")), "pii-first")
     me = F.struct("kind", "canonical")
-    by_value = first.select(F.col("surrogate").alias("v"), me.alias("of")).unionByName(first.select(F.col("canonical").alias("v"), F.lit(None).cast("struct<kind:string,canonical:string>").alias("of")))
+    known = first.select("canonical") if besides is None else first.select("canonical").unionByName(besides.toDF("canonical"))
+    by_value = first.select(F.col("surrogate").alias("v"), me.alias("of")).unionByName(known.select(F.col("canonical").alias("v"), F.lit(None).cast("struct<kind:string,canonical:string>").alias("of")))
     # a value counts once for each that got it, and as taken if it is real; of several the smallest keeps it
     met = by_value.groupBy("v").agg(F.count_if(F.col("of").isNull()).alias("real"), F.count("of").alias("n"), F.min("of").alias("winner")).where("(real > 0 and n > 0) or n > 1")
     met = met.select(F.col("v").alias("surrogate"), "real", F.col("winner.kind").alias("wk"), F.col("winner.canonical").alias("wc"))
     going = C.written(first.join(met, "surrogate").where("real > 0 or kind <> wk or canonical <> wc").select("kind", "canonical"), "pii-again")
     if going.isEmpty():
         return first, None
-    taken = first.select(F.col("canonical").alias("surrogate")).unionByName(first.select("surrogate"))
+    taken = known.toDF("surrogate").unionByName(first.select("surrogate"))
     done = None
     for n in range(1, ATTEMPTS):
         drawn = C.written(going.select("kind", "canonical", F.expr(_attempt(key, n)).alias("surrogate")), "pii-drawn")
@@ -226,46 +269,52 @@ def surrogates(real: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     raise ValueError(f"no free surrogate left for {going.select('kind').distinct().limit(5).collect()}")
 
 
+def _final(first: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """kind, canonical and the surrogate that holds."""
+    if moved is None:
+        return first
+    return first.join(moved.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(moved)
+
+
 def collisions(documents: DataFrame, key: str) -> DataFrame:
-    """Surrogates of two entities, or that are a real one, as `replace` gives them: kind, surrogate, n. For audits: always empty."""
-    first, moved = surrogates(C.written(entities(documents), "pii-entities"), key)
-    if moved is not None:
-        first = first.join(moved.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(moved)
-    both = first.select("kind", "surrogate").unionByName(first.select("kind", F.col("canonical").alias("surrogate")))
-    return both.groupBy("surrogate").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "surrogate", "n")
+    """Surrogates of two entities, or that are a real one, as `replace` gives them: kind, surrogate, n. For audits: always empty. Given names count like all others."""
+    seen = _seen(documents)
+    final = _final(*surrogates(C.written(_asked(seen).distinct(), "pii-entities"), key, _joined(seen)))
+    real = final.select("kind", F.col("canonical").alias("surrogate")).unionByName(_joined(seen).select(F.lit("name").alias("kind"), F.col("value").alias("surrogate")))
+    drawn = final.select("surrogate", "kind", F.lit(1).alias("given")).unionByName(real.select("surrogate", "kind", F.lit(0).alias("given")))
+    return drawn.groupBy("surrogate").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("given").alias("given")).where("given > 0 and n > 1").select("kind", "surrogate", "n")
 
 
 def replace(documents: DataFrame, key: str) -> DataFrame:
-    """documents with text rewritten, and n_entities, the entities replaced in it."""
+    """documents with text rewritten, and n_entities, the entities replaced in it.
+
+    Texts are searched once: what was found goes to a table by row. The distinct values get their surrogates there, and only
+    rows that have an entity, which a broadcast filter flags, are joined with theirs.
+    """
     base = documents.drop("n_entities")
-    _, moved = surrogates(C.written(entities(base), "pii-entities"), key)
-    if moved is None:
-        return _rewritten(base, key, None)
-    rid, flag, over = (C.free_name(base, n) for n in ("_rid", "_flag", "_over"))
+    rid, flag, found, over = (C.free_name(base, n) for n in ("_rid", "_flag", "_found", "_over"))
     rows = C.numbered(base, rid)
-    name = F.concat_ws("|", "kind", "canonical")
-    k = moved.select(F.xxhash64(name).alias("k"))
-    own = C.flagged(_asked(rows, rid), F.xxhash64(name), k, "hit").where("hit").join(moved, ["kind", "canonical"]).select(rid, name.alias("k"), "surrogate").distinct()
-    own = C.written(own.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(over)), "pii-own")
-    asked = C.flagged(rows, F.col(rid), own.select(rid), flag)
-    plain = _rewritten(asked.where(~F.col(flag)).drop(flag, rid), key, None)
-    return plain.unionByName(_rewritten(asked.where(flag).drop(flag).join(own, rid, "left").drop(rid), key, over))
-
-
-def _rewritten(rows: DataFrame, key: str, over: str | None) -> DataFrame:
-    """Rows with their texts rewritten; over: a column of surrogates by kind|canonical that go before the first drawn ones."""
-    found, pieces = C.free_name(rows, "_found"), C.free_name(rows, "_pieces")
-    rows = rows.withColumn(found, F.expr(_found("string(text)")))
-    rows = rows.withColumn(pieces, F.when(F.size(found) > 0, F.split(F.col("text").cast("string"), PATTERN, -1)))
-
-    def drawn(kind: str, canonical: str) -> str:
-        first = permute_sql(key, kind, canonical)
-        return first if over is None else f"coalesce(try_element_at(`{over}`, concat_ws('|', {kind}, {canonical})), {first})"
-
-    words = f"array_join(transform(split(x.canonical, ' '), w -> if(array_contains({_ALL_GIVEN}, w), {_given_sql(key, 'w')}, {drawn("'name'", 'w')})), ' ')"
-    given = f"transform(`{found}`, x -> named_struct('e', x.e, 'kind', x.kind, 's', CASE x.kind WHEN 'number' THEN x.e WHEN 'name' THEN {words} ELSE {drawn('x.kind', 'x.canonical')} END))"
-    out = f"transform({given}, x -> {layout_sql('x.kind', 'x.e', 'x.s')})"
+    seen = _seen(rows, rid)
+    asked = _asked(seen, rid).distinct()
+    final = _final(*surrogates(C.written(asked.select("kind", "canonical").distinct(), "pii-entities"), key, _joined(seen)))
+    given = asked.join(final, ["kind", "canonical"]).groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canonical"), "surrogate"))).alias(over))
+    own = C.written(seen.withColumnRenamed("found", found).join(given, rid), "pii-own")
+    asked_rows = C.flagged(rows, F.col(rid), own.select(rid), flag)
+    plain = asked_rows.where(~F.col(flag)).drop(flag, rid).withColumn("text", F.col("text").cast("string")).withColumn("n_entities", F.lit(0).cast("long"))
+    return plain.unionByName(_rewritten(asked_rows.where(flag).drop(flag).join(own, rid, "left").drop(rid), found, over))
+
+
+def _rewritten(rows: DataFrame, found: str, over: str) -> DataFrame:
+    """Rows with their texts rewritten by what was found in them (null: nothing) and its surrogates by kind|canonical."""
+    pieces = C.free_name(rows, "_pieces")
+    rows = rows.withColumn(pieces, F.when(F.col(found).isNotNull(), F.split(F.col("text").cast("string"), PATTERN, -1)))
+    value = f"element_at(`{over}`, concat_ws('|', q.kind, q.canonical))"
+    by_sign = "array_join(transform(sequence(1, length(v)), i -> if(substr(q.w, i, 1) = lower(substr(q.w, i, 1)), substr(v, i, 1), upper(substr(v, i, 1)))), '')"
+    word = f"if(q.kind = '', q.w, element_at(transform(array({value}), v -> CASE WHEN length(v) = length(q.w) THEN {by_sign} WHEN q.w = upper(q.w) THEN upper(v) ELSE v END), 1))"
+    name = f"array_join(zip_with(split(x.e, '\\\\p{{L}}+', -1), concat(transform(x.parts, q -> {word}), array('')), (gap, w) -> concat(gap, w)), '')"
+    other = f"element_at(transform(x.parts, q -> {layout_sql('x.kind', 'x.e', value)}), 1)"
+    out = f"transform(`{found}`, x -> CASE x.kind WHEN 'number' THEN x.e WHEN 'name' THEN {name} ELSE {other} END)"
     joined = f"array_join(zip_with(`{pieces}`, concat({out}, array('')), (p, s) -> concat(p, s)), '')"
-    n = F.expr(f"size(filter(`{found}`, x -> x.kind <> 'number'))").cast("long")
-    rows = rows.withColumn("n_entities", n).withColumn("text", F.when(n > 0, F.expr(joined)).otherwise(F.col("text").cast("string")))
-    return rows.drop(found, pieces, *([over] if over else []))
+    n = F.expr(f"coalesce(size(filter(`{found}`, x -> x.kind <> 'number')), 0)").cast("long")
+    rows = rows.withColumn("n_entities", F.when(F.col(found).isNull(), 0).otherwise(n).cast("long"))
+    return rows.withColumn("text", F.when(F.col("n_entities") > 0, F.expr(joined)).otherwise(F.col("text").cast("string"))).drop(found, pieces, over)
