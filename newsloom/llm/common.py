@@ -37,7 +37,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # a task holds a row group until it is full
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -115,7 +115,7 @@ def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
     flag = free_name(rows, "flag")
     asked = flagged(rows, F.col(name), gone, flag)
     stay = asked.where(~F.col(flag)).drop(flag)
-    return stay.unionByName(asked.where(flag).drop(flag).join(gone.select(F.col(gone.columns[0]).alias(name)), name, "left_anti").select(*rows.columns))
+    return stay.unionByName(asked.where(flag).drop(flag).join(gone.select(F.col(gone.columns[0]).alias(name)).hint("shuffle_hash"), name, "left_anti").select(*rows.columns))
 
 
 def numbered(documents: DataFrame, name: str) -> DataFrame:

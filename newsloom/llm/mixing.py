@@ -152,4 +152,5 @@ def mix(documents: DataFrame, **how) -> DataFrame:
     narrow = C.written(sized(rows.select(F.col(name).alias("rid"), F.col("doc_id"), "source", "text")).drop("text"), "mixing-sizes")
     taken = mixed(narrow, allot(narrow.drop("rid"), **how)).where("copies > 0").select(F.col("rid").alias(name), F.col("copies").alias(copies))
     again = C.free_name(documents, "again")
-    return rows.join(taken, name).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)
+    # the copies are the hashed side: whole texts pass by, and none is sorted or held
+    return rows.join(taken.hint("shuffle_hash"), name).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)
