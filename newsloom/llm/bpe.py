@@ -339,7 +339,7 @@ def _load(path: str, pattern: str) -> Ranks:
     return _ranks[path, pattern]
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int = 100_000, with_ids: bool = False) -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int = 40_000, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row; ids too if `with_ids`. ranks_path: a file that every executor has."""
     C.small_batches(documents.sparkSession)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
@@ -348,14 +348,19 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int
         ranks, store = _load(ranks_path, pattern), Store(store_size)
         sha = hashlib.sha256
         gc.disable()  # stores and indexes hold millions of tuples and no cycle; looking for cycles takes a sixth of the time
-        for batch in batches:
-            rows: list[tuple] = []
-            for first, end in C.slices(batch.column(1), 2 << 20):
-                for n, ids, decoded in encode_texts(batch.column(1).slice(first, end - first).to_pylist(), ranks, store):
-                    rows.append((n, sha(ids).hexdigest(), sha(decoded).hexdigest()) + (([int(i) for i in ids.split()],) if with_ids else ()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False))], names)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for first, end in C.slices(batch.column(1), 2 << 20):
+                    for n, ids, decoded in encode_texts(batch.column(1).slice(first, end - first).to_pylist(), ranks, store):
+                        rows.append((n, sha(ids).hexdigest(), sha(decoded).hexdigest()) + (([int(i) for i in ids.split()],) if with_ids else ()))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False))], names)
+        finally:  # the worker lives on
+            gc.enable()
+            del store
+            C.trim()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
