@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőřśšşťţùúûüūůűýÿžźżÀÁÂÃÄÅĀĂĄÇĆČĎÈÉÊËĒĘĚÌÍÎÏĪŁÑŃŇÒÓÔÕÖØŌŐŘŚŠŞŤŢÙÚÛÜŪŮŰÝŸŽŹŻ"
-_PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorsssttuuuuuuuyyzzzAAAAAAAAACCCDEEEEEEEIIIIILNNNOOOOOOOORSSSTTUUUUUUUYYZZZ"
+
+
+def _marks() -> str:
+    """A class of all combining marks that Python knows; query words lose the same ones (the JVM's own class is of an older Unicode)."""
+    at = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Mn"]
+    first = [i for i, before in zip(at, [-2, *at]) if i != before + 1]
+    last = [i for i, after in zip(at, [*at[1:], -2]) if after != i + 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]+"
+
+
+MARKS = _marks()
 
 
 def fold(text: Column) -> Column:
-    """Accents off Latin letters, combining marks away; letters that carry no mark (ß, ø is folded) stay."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", ""))
+    """Compatibility decomposition (NFKD) without combining marks: accents off, ligatures and wide letters as plain ones. ASCII texts pass as they are."""
+    decomposed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    return F.when(text.isNull() | (F.length(text) == F.octet_length(text)), text).otherwise(F.regexp_replace(decomposed, MARKS, ""))
 
 
 #: A character with a border after it, within one run: camel case, capitals before a word, letters beside digits.

@@ -97,3 +97,19 @@ def test_entities(spark):
     assert value(spark, text.ignored_entity(F.col("x"), lexicons.IGNORED_ENTITIES, lexicons.ROLES), x="Kambi") is False
     assert value(spark, text.headline_fragment(F.col("x"), ["wins"]), x="Kambi wins") is True
     assert value(spark, text.headline_fragment(F.col("x"), ["wins"]), x="Genius Sports") is False
+
+
+def test_folding_equals_nfkd_over_the_basic_plane(spark):
+    """Both sides of a search: texts on the JVM, query words in Python."""
+    import unicodedata
+
+    from newsloom.operators import search
+
+    known = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    d = spark.createDataFrame([(c, f"x{c}y") for c in [*known, "😀", "𝐀"]], "c string, t string")
+    plain = lambda t: "".join(k for k in unicodedata.normalize("NFKD", t) if unicodedata.category(k) != "Mn")
+    assert [r.c for r in d.select("c", text.fold(F.col("t")).alias("f")).collect() if r.f != plain(f"x{r.c}y")] == []
+    words = ["ﬁnance", "ｆｕｌｌ", "İstanbul", "Ⅷ", "½", "①", "ñandú", "Straße", "Ærø", "한국", "㎏"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.normalize(F.col("w")).alias("n")).collect()
+    assert [r.n for r in got] == [search.normalize(w) for w in words] and [r.n for r in got][:3] == ["finance", "full", "istanbul"]
+    assert spark.range(1).select(text.fold(F.lit(None).cast("string"))).first()[0] is None
