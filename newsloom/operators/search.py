@@ -159,22 +159,13 @@ def rules(articles: DataFrame, steps: list[Step], substring: bool = False, field
     return Rules(known, found_nowhere(articles, steps, known, substring, fields))
 
 
-def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = False, rough: bool = False) -> Column:
+def folded(steps: list[Step], test) -> Column:
     """The steps, from left to right: alternatives gather until the next AND; gathered ones are joined with what was
-    found so far by OR, then the AND applies. An AND before anything was found starts the result.
-
-    rough: a weaker condition over the text in lower case, which every match meets."""
+    found so far by OR, then the AND applies. An AND before anything was found starts the result. test: step -> condition."""
     result: Column | None = None
     gathered: Column | None = None
     for s in steps:
-        if rough:
-            p = _may([_plain(s.value)] if s.value in by.plain else normalize(s.value).split(), column) if normalize(s.value) else F.lit(s.op == "PHRASE")
-        elif s.op == "PHRASE":
-            p = F.contains(column, F.lit(normalize(s.value)))
-        elif s.value in by.plain:
-            p = _single(_plain(s.value), by.known, column, substring)
-        else:
-            p = _normal(s.value, by.known, column, substring)
+        p = test(s)
         if s.op == "OR":
             gathered = p if gathered is None else gathered | p
         elif result is None:
@@ -188,6 +179,21 @@ def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = Fa
     return F.lit(False) if result is None else result
 
 
+def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = False, rough: bool = False) -> Column:
+    """The folded steps over the normalised text.
+
+    rough: a weaker condition over the text in lower case, which every match meets."""
+
+    def test(s: Step) -> Column:
+        if rough:
+            return _may([_plain(s.value)] if s.value in by.plain else normalize(s.value).split(), column) if normalize(s.value) else F.lit(s.op == "PHRASE")
+        if s.op == "PHRASE":
+            return F.contains(column, F.lit(normalize(s.value)))
+        return _single(_plain(s.value), by.known, column, substring) if s.value in by.plain else _normal(s.value, by.known, column, substring)
+
+    return folded(steps, test)
+
+
 def search(articles: DataFrame, query: str, substring: bool = False, sources: list[str] | None = None, categories: list[str] | None = None, regions: list[str] | None = None, known_in: DataFrame | None = None) -> DataFrame:
     """Matching articles with the seven display columns and has_content. known_in: the corpus that decides which words count as tokens.
 

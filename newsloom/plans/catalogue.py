@@ -781,3 +781,4 @@ def stream_session(spark, sf):
 
 from . import composed as _composed  # noqa: E402, F401  registers more queries
 from . import documents as _documents  # noqa: E402, F401
+from . import indexed as _indexed  # noqa: E402, F401
