@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import frequent
 
 
 def entity_counts(articles: DataFrame, entities: str = "entities", corpus: str = "corpus") -> DataFrame:
@@ -80,11 +81,7 @@ def affiliate_difference(articles: DataFrame, flag: str, entities: str, n: int =
 
 def ngram_counts(docs: DataFrame, column: str, n_max: int = 3, features: int = 10_000, by: str = "corpus") -> DataFrame:
     """ngram, internal, competitor: occurrences of runs of 1..n_max words within documents, the most frequent `features`."""
-    words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"\b[a-z][a-z0-9]+\b"), F.lit(0))
-    d = docs.select(by, words.alias("w"))
-    grams = F.concat(*[text.ngrams(F.col("w"), n) for n in range(1, n_max + 1)])
-    c = d.select(by, F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count_if(F.col(by) == "internal").alias("internal"), F.count_if(F.col(by) == "competitor").alias("competitor"))
-    return c.orderBy((F.col("internal") + F.col("competitor")).desc(), "ngram").limit(features)
+    return frequent.top_ngrams(docs, column, n_max, features, by)
 
 
 def log_odds_terms(counts: DataFrame, stopwords: list[str], least: int = 3, n: int = 20) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import advantages, articles, automaton, evidence, followups, metrics, reports, search, tagging, topics
+from ..operators import advantages, articles, automaton, evidence, followups, frequent, metrics, reports, search, tagging, topics
 from ..sources import shared
 from ..streaming import events as streams
 
@@ -437,6 +437,17 @@ def ngram_counts(spark, sf):
     return metrics.ngram_counts(_english(spark, sf), "content", 2, 500)
 
 
+@query(
+    f"WITH {ART}, w AS (SELECT corpus, list_filter(string_split(" + _NORM.format(t="regexp_replace(content, '<[^>]+>', ' ', 'g')") + r""", ' '), lambda x: regexp_full_match(x, '[a-z][a-z0-9]+')) AS w FROM win),
+  g AS (SELECT corpus, unnest(list_concat(w, list_concat(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS ngram FROM w)
+  SELECT ngram, count(*) FILTER (corpus = 'internal') AS internal, count(*) FILTER (corpus = 'competitor') AS competitor FROM g GROUP BY ngram ORDER BY count(*) DESC, ngram LIMIT 1000"""
+)
+def ngram_counts_prepared(spark, sf):
+    """Of all languages, in the search form: words keep their accented letters, as plain ones."""
+    d = window(spark, sf).withColumn("content", frequent.prepared(F.col("content")))
+    return metrics.ngram_counts(d, "content", 3, 1000)
+
+
 @query(_GRAMS + """, k AS (SELECT * FROM c ORDER BY internal + competitor DESC, ngram LIMIT 2000), t AS (SELECT sum(internal) AS ti, sum(competitor) AS tc FROM k),
   s AS (SELECT ngram, internal, competitor, round(ln(((internal + 1) / (ti + 2)) / ((competitor + 1) / (tc + 2))), 6) AS score FROM k, t WHERE internal + competitor >= 3 AND len(list_filter(string_split(ngram, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'that'))) > 0)
   SELECT * FROM s WHERE score > 0 ORDER BY score DESC, ngram LIMIT 20""")
