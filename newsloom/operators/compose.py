@@ -20,7 +20,7 @@ def tagged(
 ) -> DataFrame:
     """articles with category (ours by source or host), topics_list, companies_list and regions_list.
 
-    One pass: topics and places by keyword, regions of phrases where no place was found; companies are capitalised
+    One pass: topics and places by keyword, regions of phrases as well; companies are capitalised
     runs of the title that are no generic term, role, headline fragment or platform, under their canonical names,
     and those of the dictionary that the text mentions.
     """

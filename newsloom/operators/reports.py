@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def export_strings(df: DataFrame, lists: dict[str, str]) -> DataFrame:
     """Array columns as joined strings; lists: column -> separator."""
@@ -95,13 +97,24 @@ def cache_get(cache: DataFrame, key: str, as_of: str) -> DataFrame:
     return cache.where((F.col("key") == key) & alive).orderBy(F.col("ts").desc()).limit(1)
 
 
-def speakers(briefing: DataFrame, section: str = "Potential Speakers") -> DataFrame:
-    """place, name, expertise: list items of a markdown section. briefing: value, the whole text."""
-    lines = briefing.select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    head = F.when(F.col("line").rlike("^#+ "), F.trim(F.regexp_replace("line", "^#+ ", "")))
-    d = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.orderBy("at"))).where((F.col("section") == section) & F.col("line").rlike(r"^\s*[-*] "))
+def speakers(briefings: DataFrame, section: str = "Potential Speakers", by: str | None = None) -> DataFrame:
+    """place, name, expertise: list items of a markdown section. briefings: value, the whole text of one; by: the key of many.
+
+    place: the item's line. A section ends at the next heading; null texts have no lines. Each text is read by itself, without a shuffle.
+    """
+    key = [] if by is None else [by]
+    line = lambda l: F.trim(F.regexp_replace(l, "^#+ ", ""))
+
+    def items(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike("^#+ "), i)), lambda i: i.isNotNull())
+        of = lambda i: F.array_max(F.filter(heads, lambda h: h <= i))
+        ours = lambda i: F.coalesce(line(F.get(lines, of(i))) == section, F.lit(False))
+        kept = F.transform(lines, lambda l, i: F.when(l.rlike(r"^\s*[-*] "), F.when(ours(i), F.struct(i.alias("place"), l.alias("line")))))
+        return F.array_compact(kept)
+
+    d = briefings.select(*key, F.inline(text.once(F.split("value", "\n"), items)))
     item = F.regexp_replace(F.regexp_replace("line", r"^\s*[-*] ", ""), r"\*\*", "")
-    return d.select(F.col("at").alias("place"), F.trim(F.substring_index(item, ":", 1)).alias("name"), F.trim(F.regexp_extract(item, ":(.*)$", 1)).alias("expertise"))
+    return d.select(*key, "place", F.trim(F.substring_index(item, ":", 1)).alias("name"), F.trim(F.regexp_extract(item, ":(.*)$", 1)).alias("expertise"))
 
 
 def weekend_numbers(note: Column) -> tuple[Column, Column]:

@@ -532,9 +532,14 @@ def topic_kmeans(spark, sf):
     return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(names, "cluster")
 
 
-@query("WITH p(k, inertia) AS (VALUES (8, 100.0), (12, 60.0), (16, 50.0), (20, 45.0), (24, 44.0)), b AS (SELECT lag(k) OVER (ORDER BY k) AS k, lag(inertia, 2) OVER (ORDER BY k) - 2 * lag(inertia) OVER (ORDER BY k) + inertia AS bend FROM p) SELECT k FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1")
+@query("""WITH e AS (SELECT unnest([8, 12, 16, 20, 24]) AS k, user_id, value FROM events WHERE value IS NOT NULL), g AS (SELECT k, user_id % k AS c, count(*) * var_pop(value) AS within FROM e GROUP BY ALL),
+  p AS (SELECT k, round(sum(within), 3) AS inertia FROM g GROUP BY k), b AS (SELECT lag(k) OVER (ORDER BY k) AS k, lag(inertia, 2) OVER (ORDER BY k) - 2 * lag(inertia) OVER (ORDER BY k) + inertia AS bend FROM p)
+  SELECT k FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1""")
 def inertia_knee(spark, sf):
-    return metrics.knee(spark.createDataFrame([(8, 100.0), (12, 60.0), (16, 50.0), (20, 45.0), (24, 44.0)], "k int, inertia double"))
+    """Of groups of users of several numbers: how far values lie from their group's mean."""
+    e = table(spark, sf, "events").where("value is not null").select(F.explode(F.array(*[F.lit(k) for k in (8, 12, 16, 20, 24)])).alias("k"), "user_id", "value")
+    g = e.groupBy("k", (F.col("user_id") % F.col("k")).alias("c")).agg((F.count(F.lit(1)) * F.var_pop("value")).alias("within"))
+    return metrics.knee(g.groupBy("k").agg(F.round(F.sum("within"), 3).alias("inertia")))
 
 
 # ---- advantages ------------------------------------------------------------------------------------------------

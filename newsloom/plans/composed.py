@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, lexicons, text
@@ -73,9 +76,11 @@ def top_counters(spark, sf):
     return compose.counters(_listed(spark, sf), {"regions": 2, "topics": 4})
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS label, {len(set(v))} AS n" for k, v in lexicons.REGIONS.items()))
+@query("SELECT p_brand AS label, count(DISTINCT lower(p_type)) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand")
 def dictionary_sizes(spark, sf):
-    return compose.cardinalities(tagging.dimension(spark, lexicons.REGIONS))
+    """Of a dictionary kept as a table: the types of each brand's parts."""
+    terms = table(spark, sf, "part").where("p_brand is not null").select(F.lower("p_type").alias("keyword"), F.col("p_brand").alias("label"))
+    return compose.cardinalities(terms)
 
 
 @query(TAGGED + ", e AS (SELECT t.entity, w.published, w.article_id, w.title, w.link FROM tags t JOIN win w ON w.article_id = t.article_id QUALIFY row_number() OVER (PARTITION BY entity ORDER BY published DESC, w.article_id) <= 3) SELECT entity, string_agg(article_id, ',' ORDER BY article_id) AS ids, count(*) AS n FROM e GROUP BY entity")
@@ -279,7 +284,14 @@ def briefing_json(spark, sf):
     return j.select(number("total_window_articles").alias("n"), number("total_window_internal").alias("internal"), number("articles_analyzed").alias("analysed"), number("analysis_period_days").cast("int").alias("days"), get("run_id").alias("run_id"), get("executive_summary").alias("summary"))
 
 
-@query("SELECT true AS empty_window, 7 AS days")
+@query(f"""WITH {ART}, e AS (SELECT unnest([DATE '1999-01-07', DATE '2024-01-03', DATE '2024-02-07', DATE '2024-04-20']) AS day)
+  SELECT CAST(day AS VARCHAR) AS day, true AS empty_window, 7 AS days FROM e WHERE NOT EXISTS (SELECT 1 FROM art WHERE published >= CAST(day AS TIMESTAMP) - INTERVAL 7 DAY AND published <= CAST(day AS TIMESTAMP))""")
 def empty_window_marker(spark, sf):
-    j = files.empty_window(window(spark, sf).limit(0), 7, AS_OF)
-    return j.select(F.get_json_object("json", "$.empty_window").cast("boolean").alias("empty_window"), F.get_json_object("json", "$.analysis_period_days").cast("int").alias("days"))
+    """The windows without an article, of four."""
+
+    def marker(day: str):
+        w = corpus_view(spark, sf).where(dates.closed(F.col("published"), f"{day} 00:00:00", 7))
+        j = files.empty_window(w, 7, AS_OF)
+        return j.select(F.lit(day).alias("day"), F.get_json_object("json", "$.empty_window").cast("boolean").alias("empty_window"), F.get_json_object("json", "$.analysis_period_days").cast("int").alias("days"))
+
+    return reduce(DataFrame.unionByName, [marker(day) for day in ("1999-01-07", "2024-01-03", "2024-02-07", "2024-04-20")])

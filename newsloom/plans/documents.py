@@ -55,10 +55,14 @@ def gap_keywords(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("item_id"), k.alias("k")).select("item_id", F.size("k").cast("long").alias("n"), F.array_join(F.array_sort("k"), ",").alias("keywords"))
 
 
-@query("SELECT 1 AS place, 'Ann B' AS name, 'law' AS expertise UNION ALL SELECT 2, 'Bo', 'tax'")
+@query("""SELECT doc_id, 2 AS place, coalesce(source, 'x') || ' ' || doc_id AS name, coalesce(lang, '') AS expertise FROM documents WHERE lang = 'en'
+  UNION ALL SELECT doc_id, 3, 'Bo', 'tax: all' FROM documents WHERE lang = 'en'""")
 def briefing_speakers(spark, sf):
-    d = spark.createDataFrame([("### Potential Speakers\n- **Ann B**: law\n- **Bo**: tax\n## Next\n- x: y",)], "value string")
-    return reports.speakers(d)
+    """Of a briefing for each document; only those of English ones have the section."""
+    head = F.when(F.col("lang") == "en", F.lit("# Day\n### Potential Speakers\n")).otherwise(F.lit("# Potential Speakers\n## Panels\n"))
+    name = F.concat(F.coalesce("source", F.lit("x")), F.lit(" "), F.col("doc_id").cast("string"))
+    value = F.concat(head, F.lit("- **"), name, F.lit("**: "), F.coalesce("lang", F.lit("")), F.lit("\n* **Bo**: tax: all\nno item\n## Next\n- x: y"))
+    return reports.speakers(table(spark, sf, "documents").select("doc_id", value.alias("value")), by="doc_id")
 
 
 @query(f"WITH {ART}, s AS (SELECT source, 1 AS p, count(*) AS n FROM art WHERE source < 'src3' GROUP BY source UNION ALL SELECT source, 2, count(*) + 1000 FROM art WHERE source > 'src2' GROUP BY source) SELECT source, n FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY p) = 1")

@@ -128,12 +128,10 @@ def remove_dated(spark: SparkSession, folder: str) -> list[str]:
     return [path.getName() for path in gone]
 
 
-def empty_window(articles: DataFrame, days: int, at: str) -> DataFrame | None:
-    """json: what is written in place of an analysis where a window holds no article; None where it holds one. articles: the window's."""
-    if not articles.isEmpty():
-        return None
+def empty_window(articles: DataFrame, days: int, at: str) -> DataFrame:
+    """json: what is written in place of an analysis where a window holds no article; no row where it holds one. articles: the window's."""
     t = F.struct(F.lit(True).alias("empty_window"), F.lit(at).alias("timestamp"), F.lit(0).alias("competitor_count"), F.lit(0).alias("internal_count"), F.lit(days).alias("analysis_period_days"))
-    return articles.sparkSession.range(1).select(F.to_json(t).alias("json"))
+    return articles.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.to_json(t).alias("json"))
 
 
 def briefing(analysis: DataFrame, window: DataFrame, run: DataFrame, days: int, at: str) -> DataFrame:

@@ -282,9 +282,19 @@ def test_clusters_release_what_they_cache(spark):
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
 
 
+def test_empty_window(spark):
+    from newsloom.sources import files
+
+    d = spark.createDataFrame([("a", 1)], "article_id string, n int")
+    assert files.empty_window(d, 7, "2024-01-01").collect() == []
+    assert '"empty_window":true' in files.empty_window(d.limit(0), 7, "2024-01-01").first().json
+
+
 def test_speakers_and_numbers(spark):
     d = spark.createDataFrame([("# T\n- no: one\n### Potential Speakers\n- **Ann B**: law\n- **Bo**: tax\n## Next\n- x: y",)], "value string")
     assert [(r.name, r.expertise) for r in reports.speakers(d).orderBy("place").collect()] == [("Ann B", "law"), ("Bo", "tax")]
+    many = spark.createDataFrame([("b1", "## Potential Speakers\n* Cy\n"), ("b2", None), ("b3", "- x: y\n# Potential Speakers\n# Potential Speakers\n- D: e: f"), ("b4", "")], "briefing string, value string")
+    assert sorted(tuple(r) for r in reports.speakers(many, by="briefing").collect()) == [("b1", 1, "Cy", ""), ("b3", 3, "D", "e: f")]
     a, b = reports.weekend_numbers(F.lit("We 12.5% vs them 3%"))
     assert tuple(spark.range(1).select(a, b).first()) == (12.5, 3.0)
 
