@@ -52,7 +52,7 @@ def _places(tokens: Column) -> Column:
 
         return text.once(F.array_compact(first), group)
 
-    return text.once(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at")))), cut)
+    return text.once(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at")))), cut)
 
 
 def _single(articles: DataFrame) -> DataFrame:
