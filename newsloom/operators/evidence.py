@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import automaton
 
 
+#: Bytes of strings whose runs are few enough to be sent to all tasks: a run of three begins at each byte, 24 bytes of numbers for each.
+FEW_BYTES = 1 << 20
+
+
 def _key(c: Column) -> Column:
     return F.lower(F.trim(c))
 
@@ -61,13 +65,23 @@ def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
     A string within another has its runs of three bytes there (shorter strings: the whole string). Strings of hay are
     posted under their runs; of a needle's runs the one with the fewest postings fetches candidates in an equi join, and a
     needle with a run that is posted nowhere goes at once. Candidates fetch their strings, and `contains` decides.
+
+    Runs are many times what the strings take, so a side is broadcast only if its strings are counted and few (FEW_BYTES);
+    of few needles the runs choose what is posted at all, before anything is dealt out.
     """
     needles, hay = (written(d.select(F.monotonically_increasing_id().alias("id"), "s"), "strings") for d in (needles, hay))
+    few = {side: d.agg(F.coalesce(F.sum(F.octet_length("s")), F.lit(0)).alias("n")).first().n <= FEW_BYTES for side, d in (("needles", needles), ("hay", hay))}
+    sent = lambda side, d: F.broadcast(d) if few[side] else dealt(d)
     posted = _runs(hay, shorter=True).select(F.col("id").alias("in"), "run")
+    asked = _runs(needles, shorter=False)
+    if few["needles"]:
+        posted = posted.join(F.broadcast(asked.select("run").distinct()), "run", "left_semi")
     often = posted.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
-    found = _runs(needles, shorter=False).join(often, "run").groupBy("id", "n").agg(F.count(F.lit(1)).alias("posted"), F.min(F.struct("df", "run")).alias("least"))
+    often = F.broadcast(often) if True in few.values() else dealt(often)
+    found = asked.join(often, "run").groupBy("id", "n").agg(F.count(F.lit(1)).alias("posted"), F.min(F.struct("df", "run")).alias("least"))
     rarest = found.where("posted = n").select("id", F.col("least.run").alias("run"))
-    met = rarest.join(posted, "run").select("id", "in").join(needles.select("id", F.col("s").alias("needle")), "id").join(hay.select(F.col("id").alias("in"), F.col("s").alias("hay")), "in")
+    met = rarest.join(sent("hay", posted), "run") if not few["needles"] else posted.join(F.broadcast(rarest), "run")
+    met = met.select("id", "in").join(sent("needles", needles.select("id", F.col("s").alias("needle"))), "id").join(sent("hay", hay.select(F.col("id").alias("in"), F.col("s").alias("hay"))), "in")
     return met.where(F.contains("hay", F.col("needle"))).select("needle", "hay")
 
 
@@ -77,7 +91,7 @@ def by_part(gaps: DataFrame, articles: DataFrame) -> DataFrame:
     g = written(gaps.select("gap_id", _key(F.col("evidence")).alias("e")).where("e <> ''"), "gaps")
     titles, parts = a.select(F.col("t").alias("s")), g.select(F.col("e").alias("s")).distinct()
     met = contained(parts, titles).select(F.col("needle").alias("e"), F.col("hay").alias("t")).unionByName(contained(titles, parts).select(F.col("hay").alias("e"), F.col("needle").alias("t")))
-    best = met.join(a, "t").groupBy("e").agg(F.min("article_id").alias("article_id"))
+    best = met.join(dealt(a), "t").groupBy("e").agg(F.min("article_id").alias("article_id"))
     return g.join(best, "e").groupBy("gap_id").agg(F.min("article_id").alias("article_id")).withColumn("match_method", F.lit("partial"))
 
 

@@ -20,6 +20,12 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df for a join that deals out both sides. Spark plans with the size of compressed files and takes exploded rows for
+    one of what they come from, so that it would send tables to the driver, and to each executor, that fit neither."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table there: its lineage ends, later readers prune its columns, and a lost executor loses nothing of it."""
     spark = df.sparkSession
