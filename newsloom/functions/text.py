@@ -68,10 +68,13 @@ def has_content(content: Column) -> Column:
     return F.coalesce(F.trim(content), F.lit("")) != ""
 
 
-def clean(text: Column) -> Column:
-    """Lower case without addresses, handles and signs; hyphens and apostrophes stay."""
+ADDRESSES = (r"(?:https?://|www\.)\S+", r"\S+@\S+\.\S+", r"[@#]\w+")
+
+
+def clean(text: Column, addresses: bool = False) -> Column:
+    """Lower case without addresses, handles and signs; hyphens and apostrophes stay. addresses: these stay too, as the words that they hold."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    for p in (r"(?:https?://|www\.)\S+", r"\S+@\S+\.\S+", r"[@#]\w+", r"[^\p{L}\p{N}_\s'\-]"):
+    for p in (*(() if addresses else ADDRESSES), r"[^\p{L}\p{N}_\s'\-]"):
         t = F.regexp_replace(t, p, " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

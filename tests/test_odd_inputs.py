@@ -40,6 +40,18 @@ def test_phrase_in_regions_as_written(matches):
     matches("search_in_regions", ["onth THE", "onth the end", "ouer tHe", "ouer breathe", "the", "onst the", "onst a"])
 
 
+@pytest.mark.parametrize("name", ["topic_candidates", "topic_scorecard"])
+def test_topics_beside_addresses(matches, name):
+    matches(name, ["alpha beta see http://host.org/path gamma", "ask a.b@example.com now alpha beta", "@handle alpha beta #tag gamma"] * 6)
+
+
+def test_topic_share_at_a_half(matches):
+    """23 of 40 are ours."""
+    texts = iter(["anque"] * 40)
+    turns = [0, 1, 2] * 5 + [3, 4] * 4 + [0]  # sources by turns: of five three are ours
+    matches("topic_candidates", [next(texts) if i % 5 < 3 and sum(1 for j in range(i) if j % 5 < 3) < 23 or i % 5 >= 3 and sum(1 for j in range(i) if j % 5 >= 3) < 17 else "nothing else" for i in range(len(turns) * 2)])
+
+
 def _strings(seed, n):
     draw = random.Random(seed)
     return sorted({"".join(draw.choice("abcé ") for _ in range(draw.randint(1, 9))) for _ in range(n)})
