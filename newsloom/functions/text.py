@@ -15,7 +15,9 @@ def _marks() -> str:
     at = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Mn"]
     first = [i for i, before in zip(at, [-2, *at]) if i != before + 1]
     last = [i for i, after in zip(at, [*at[1:], -2]) if after != i + 1]
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]+"
+    every = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(first, last, strict=True))
+    # Java asks all ranges for each character that is in none: a cheap test stands before them, and the block that Latin letters decompose to before that
+    return rf"[\x{{300}}-\x{{36f}}[\x{{370}}-\x{{10ffff}}&&[{every}]]]+"
 
 
 MARKS = _marks()

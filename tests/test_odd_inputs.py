@@ -52,6 +52,21 @@ def test_topic_share_at_a_half(matches):
     matches("topic_candidates", [next(texts) if i % 5 < 3 and sum(1 for j in range(i) if j % 5 < 3) < 23 or i % 5 >= 3 and sum(1 for j in range(i) if j % 5 >= 3) < 17 else "nothing else" for i in range(len(turns) * 2)])
 
 
+def test_marks_are_those_of_unicode(spark):
+    import sys
+    import unicodedata
+
+    every = [(i, chr(i)) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    d = spark.createDataFrame(every, "i int, c string")
+    gone = {r.i for r in d.where(F.regexp_replace("c", text.MARKS, "") == "").collect()}
+    assert gone == {i for i, c in every if unicodedata.category(c) == "Mn"}
+
+
+def test_ranges_of_marks_are_asked_last():
+    """Of the ranges beyond the first block none is asked for a letter of Latin texts."""
+    assert text.MARKS.startswith(r"[\x{300}-\x{36f}[\x{370}-\x{10ffff}&&[")
+
+
 def _strings(seed, n):
     draw = random.Random(seed)
     return sorted({"".join(draw.choice("abcé ") for _ in range(draw.randint(1, 9))) for _ in range(n)})
