@@ -27,8 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import dealt
 from . import search as scan
 
+#: Words of 64 bits of the filter of replaced articles, at most.
+FILTER_WORDS = 1 << 20
 SHOWN = ["article_id", "title", "summary", "source", "link", "category", "published_date"]
 _POSTINGS = "token string, article_id string, positions array<int>, segment int, bucket int"
 _TOKENS = "token string, bucket int, df bigint, segment int"
@@ -99,7 +102,20 @@ class Index:
         if len(live) < 2:
             return d
         newer = self._table("gone", _GONE, live).groupBy(F.col("article_id").alias("_id")).agg(F.max("segment").alias("_newest"))
-        return d.join(newer, (F.col("article_id") == F.col("_id")) & (F.col("segment") < F.col("_newest")), "left_anti")
+        rest, asked = self._flagged(d, live)
+        return rest.unionByName(asked.join(dealt(newer), (F.col("article_id") == F.col("_id")) & (F.col("segment") < F.col("_newest")), "left_anti"))
+
+    def _flagged(self, d: DataFrame, live: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+        """d in two parts: rows that no newer segment holds, by a filter of bits that goes to all tasks, and rows that one may hold. Only the latter are dealt out to learn it."""
+        n, m = self._table("gone", _GONE, live).count(), 64
+        while m < 64 * FILTER_WORDS and m < 16 * n:
+            m *= 2
+        at = F.xxhash64("article_id").bitwiseAND(F.lit(m - 1))
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+        bits = self._table("gone", _GONE, live).select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit(F.col("_at"))).alias("_bits"))
+        met = d.withColumn("_at", at).join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
+        hit = (F.col("segment") < max(live)) & F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_at"))) != 0, F.lit(False))
+        return met.where(~hit).select(*d.columns), met.where(hit).select(*d.columns)
 
     def postings(self) -> DataFrame:
         return self._table("postings", _POSTINGS)
@@ -131,8 +147,8 @@ def _commit(spark: SparkSession, folder: str, segments: tuple[int, ...], buckets
 def _write(spark: SparkSession, folder: str, number: int, postings: DataFrame, docs: DataFrame, gone: DataFrame) -> None:
     """A segment. Rebalanced by bucket: adaptive execution cuts the buckets of frequent tokens into several files."""
     to = lambda d, name: d.write.mode("overwrite").parquet(f"{folder}/{name}/segment={number}")
-    dealt = postings.select("token", "article_id", "positions", "bucket").hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={number}")
+    by_bucket = postings.select("token", "article_id", "positions", "bucket").hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
+    by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={number}")
     read = spark.read.schema("token string, article_id string, positions array<int>, bucket int").parquet(f"{folder}/postings/segment={number}")
     to(read.groupBy("token", "bucket").agg(F.count(F.lit(1)).alias("df")), "tokens")
     to(docs, "docs")

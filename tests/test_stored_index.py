@@ -95,3 +95,21 @@ def test_empty_repeated_and_unfinished(spark, folder):
     assert stored.opened(spark, folder).segments == (1, 2)
     assert stored.add(made(spark, [("a9", "banana", "", "", "S1")]), folder).segments == (1, 2, 3)
     assert [r.article_id for r in stored.search(stored.opened(spark, folder), "banana").collect()] == ["a9"]
+
+
+def test_replaced_articles_by_a_filter(spark, tmp_path, monkeypatch):
+    """Only rows that the filter flags are dealt out; one word of bits flags too many, and the rows are the same."""
+    rows = [(f"a{i}", f"title {i}", "alpha beta" if i % 2 else "gamma delta") for i in range(60)]
+    make = lambda r: spark.createDataFrame(r, "article_id string, title string, content string").withColumns({"summary": F.lit(None).cast("string"), "source": F.lit("s")})
+    for words in (1 << 20, 1):
+        monkeypatch.setattr(stored, "FILTER_WORDS", words)
+        folder = f"{tmp_path}/{words}"
+        stored.add(make(rows), folder)
+        index = stored.add(make([(a, t, "omega") for a, t, _ in rows[:20]] + [("b", "new", "omega")]), folder)
+        assert {r.article_id for r in stored.search(index, "alpha").collect()} == {f"a{i}" for i in range(21, 60, 2)}
+        assert stored.search(index, "omega").count() == 21 and index.docs().count() == 61
+        rest, asked = index._flagged(index.postings(), index.segments)
+        flagged = {r.article_id for r in asked.collect()}
+        assert flagged >= {f"a{i}" for i in range(20)} and (words == 1 or len(flagged) < 40) and rest.where("segment = 2").count() == index.postings().where("segment = 2").count()
+        merged = stored.merge(spark, folder)
+        assert {r.token: r.df for r in merged.tokens().collect()}["alpha"] == 20
