@@ -31,6 +31,10 @@ def fold(text: Column) -> Column:
 
 #: A character with a border after it, within one run: camel case, capitals before a word, letters beside digits.
 BORDERS = r"([a-z](?=[A-Z0-9])|[A-Z](?=[A-Z][a-z]|[0-9])|[0-9](?=[A-Za-z]))"
+#: The same borders in two passes, each with a space before or after: both begin with a class that few characters are in, so that
+#: Java passes over the others (the pattern above tries three alternatives at each letter).
+BORDER_BEFORE = r"[A-Z0-9](?<=[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Z]|[A-Z][A-Z](?=[a-z]))"
+BORDER_AFTER = r"[0-9](?=[a-z])"
 #: Known compounds, in order, over words with single spaces between.
 COMPOUNDS = ((r"\bi gaming\b", "igaming gaming"), (r"\be cricket\b", "ecricket cricket"), (r"\be sports?\b", "esports"), (r"\besport\b", "esports"))
 #: No text without one of these has a compound.
@@ -52,7 +56,13 @@ def _compounds(t: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Search form: accents folded, camel case and letter-digit borders split, lower case, signs to spaces, known
     compounds joined, white space collapsed. Null becomes ''."""
-    t = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), BORDERS, "$1 ")
+    return spread(fold(F.coalesce(text, F.lit(""))))
+
+
+def spread(folded: Column) -> Column:
+    """The search form of a text that is folded already."""
+    t = F.regexp_replace(folded, BORDER_BEFORE, " $0")
+    t = F.regexp_replace(t, BORDER_AFTER, "$0 ")
     t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]+", " "))
     return once(t, _compounds)
 

@@ -25,8 +25,13 @@ def words(column: Column) -> Column:
 def prepared(column: Column) -> Column:
     """Text for n-grams: tags to spaces, then the search form (accents folded, camel case split, signs to spaces), of which
     the tokens stay that are words as a whole; one with a letter beyond a to z is not cut in pieces, it goes."""
+    return F.array_join(prepared_words(column), " ")
+
+
+def prepared_words(column: Column) -> Column:
+    """The words of the prepared text, cut out of the search form by one pattern."""
     form = text.normalize(F.regexp_replace(F.coalesce(column, F.lit("")), r"<[^>]+>", " "))
-    return F.array_join(F.filter(F.split(form, " "), lambda t: t.rlike("^[a-z][a-z0-9]+$")), " ")
+    return F.regexp_extract_all(form, F.lit(r"(?<![^ ])[a-z][a-z0-9]+(?![^ ])"), F.lit(0))
 
 
 def _sums(by: str) -> list[Column]:
@@ -42,8 +47,12 @@ def top_ngrams(docs: DataFrame, column: str, n_max: int = 3, features: int = 10_
 
     cells: numbers that the first pass keeps of longer runs; more cells let fewer runs into the second. The result does
     not depend on it. Null texts have no words. Written to shared storage: at most `features` rows, read as often as wanted.
+    column: texts, or arrays of words that were cut before; these are written, as both passes read them.
     """
-    d = docs.select(by, words(F.col(column)).alias("w"))
+    if docs.schema[column].dataType.typeName() == "array":
+        d = shared.written(docs.select(by, F.col(column).alias("w")), "ngram-words")
+    else:
+        d = docs.select(by, words(F.col(column)).alias("w"))
     cell = lambda g: F.pmod(F.xxhash64(g), F.lit(cells)).cast("int")
     total = F.col("internal") + F.col("competitor")
     none = F.lit(None)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,15 +97,31 @@ def _whole(fields: tuple[str, ...]) -> Column:
     return text.join_fields(*[F.col(f) for f in fields or ("title", "summary", "content")])
 
 
-def _may(words: list[str], low: Column) -> Column:
-    """Whether all words occur as letters in a row (compounds aside, a part of a token of the normal form is such a run). A condition that costs little."""
+def _may(words: list[str], low: Column, folded_: Column, token) -> Column:
+    """Whether all words occur as letters in a row (compounds aside, a part of a token of the normal form is such a run). A condition that costs little.
+
+    token: word -> whether it must be a token, so that it has no small letter beside it."""
     out = F.lit(True)
     for w in words:
         if not _compound(w):
-            out = out & F.contains(low, F.lit(w))
+            out = out & _may_one(w, low, folded_, token(w))
     return out
 
 
+def _may_one(w: str, low: Column, folded_: Column, token: bool) -> Column:
+    """A token in small letters a to z begins after what is no letter a to z and no underscore, and ends before what is no small one; one with capitals may have borders within."""
+    found = F.contains(low, F.lit(w))
+    if not (token and re.fullmatch("[a-z]{2,}", w)):
+        return found
+    pattern = f"[{w[0]}{w[0].upper()}](?:{w[1:]}(?<=(?:^|[^A-Za-z_]){w})(?![a-z_])|(?i:{w[1:]})(?<!{w}))"
+    return found & folded_.rlike(pattern)
+
+
+def _roughly(fields: tuple[str, ...], test) -> Column:
+    """test(text in lower case, text) of an article's folded text."""
+    return text.once(text.fold(_whole(fields)), lambda t: text.once(F.lower(t), lambda low: test(low, t)))
+
+
 def known_words(articles: DataFrame, words: list[str], fields: tuple[str, ...] = ()) -> set[str]:
     """Which of the words some article has as a token.
 
@@ -121,12 +138,16 @@ def known_words(articles: DataFrame, words: list[str], fields: tuple[str, ...] =
     if not rest:
         return known
     if not any(_compound(w) for w in rest):
-        articles = articles.where(text.once(F.lower(text.fold(_whole(fields))), lambda s: text.contains_any(s, rest)))
+        articles = articles.where(_roughly(fields, lambda low, t: reduce(lambda a, b: a | b, [_may_one(w, low, t, True) for w in rest])))
     return known | {w for w, hit in zip(rest, _any(articles, [lambda s, w=w: _has_token(w, s) for w in rest], fields), strict=True) if hit}
 
 
+def _as_token(w: str, known: set[str], substring: bool) -> bool:
+    return len(w) < 4 or (w in known and not substring)
+
+
 def _single(w: str, known: set[str], column: Column, substring: bool) -> Column:
-    return _has_token(w, column) if len(w) < 4 or (w in known and not substring) else F.contains(column, F.lit(w))
+    return _has_token(w, column) if _as_token(w, known, substring) else F.contains(column, F.lit(w))
 
 
 def _normal(value: str, known: set[str], column: Column, substring: bool) -> Column:
@@ -179,14 +200,15 @@ def folded(steps: list[Step], test) -> Column:
     return F.lit(False) if result is None else result
 
 
-def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = False, rough: bool = False) -> Column:
+def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = False, rough: Column | None = None) -> Column:
     """The folded steps over the normalised text.
 
-    rough: a weaker condition over the text in lower case, which every match meets."""
+    rough: the folded text as it is written; the condition is then a weaker one over column, the same in lower case, which every match meets."""
 
     def test(s: Step) -> Column:
-        if rough:
-            return _may([_plain(s.value)] if s.value in by.plain else normalize(s.value).split(), column) if normalize(s.value) else F.lit(s.op == "PHRASE")
+        if rough is not None:
+            token = lambda w: s.op != "PHRASE" and _as_token(w, by.known, substring)
+            return _may([_plain(s.value)] if s.value in by.plain else normalize(s.value).split(), column, rough, token) if normalize(s.value) else F.lit(s.op == "PHRASE")
         if s.op == "PHRASE":
             return F.contains(column, F.lit(normalize(s.value)))
         return _single(_plain(s.value), by.known, column, substring) if s.value in by.plain else _normal(s.value, by.known, column, substring)
@@ -194,6 +216,30 @@ def predicate(steps: list[Step], by: Rules, column: Column, substring: bool = Fa
     return folded(steps, test)
 
 
+def _surely(steps: list[Step], by: Rules, written: Column, substring: bool) -> Column:
+    """A condition over the text as it is written, not even folded, that only matches meet: small letters a to z stay side by side
+    in the search form, and between two spaces they are a token."""
+
+    def test(s: Step) -> Column:
+        words = [_plain(s.value)] if s.op != "PHRASE" and s.value in by.plain else normalize(s.value).split()
+        if not words or not all(re.fullmatch("[a-z]+", w) and not _compound(w) for w in words):
+            return F.lit(s.op == "PHRASE" and not words)
+        if s.op == "PHRASE":
+            joined = F.contains(written, F.lit(" ".join(words)))
+            return joined if len(words) == 1 else joined & ~text.contains_any(F.lower(written), list(text.COMPOUND_PARTS))
+        return reduce(lambda a, b: a & b, [F.contains(written, F.lit(f" {w} " if _as_token(w, by.known, substring) else w)) for w in words])
+
+    return folded(steps, test)
+
+
+def _matches(steps: list[Step], by: Rules, substring: bool, fields: tuple[str, ...] = ()) -> Column:
+    """The folded steps over an article's search form, which only texts need that neither of two cheaper conditions settles."""
+    exact = lambda t: text.once(text.spread(t), lambda s: predicate(steps, by, s, substring))
+    rough = lambda t: text.once(F.lower(t), lambda low: predicate(steps, by, low, substring, rough=t))
+    left = lambda w: text.once(text.fold(w), lambda t: rough(t) & exact(t))
+    return text.once(_whole(fields), lambda w: _surely(steps, by, w, substring) | left(w))
+
+
 def search(articles: DataFrame, query: str, substring: bool = False, sources: list[str] | None = None, categories: list[str] | None = None, regions: list[str] | None = None, known_in: DataFrame | None = None) -> DataFrame:
     """Matching articles with the seven display columns and has_content. known_in: the corpus that decides which words count as tokens.
 
@@ -208,8 +254,7 @@ def search(articles: DataFrame, query: str, substring: bool = False, sources: li
         found = found.where(F.col("category").isin(categories))
     if regions:
         found = found.where(F.arrays_overlap("regions_list", F.array(*[F.lit(r) for r in regions])))
-    found = found.where(text.once(F.lower(text.fold(_whole(()))), lambda s: predicate(steps, by, s, substring, rough=True)))
-    found = found.where(text.once(search_text(), lambda s: predicate(steps, by, s, substring)))
+    found = found.where(_matches(steps, by, substring))
     wanted = ["article_id", "title", "summary", "source", "link", "category", "published_date"]
     return found.select(*[c for c in wanted if c in found.columns], text.has_content(F.col("content")).alias("has_content"))
 
@@ -219,7 +264,7 @@ def keyword_index(articles: DataFrame, keywords: list[str]) -> DataFrame:
     steps = {k: parse(k) for k in keywords}
     by = rules(articles, [s for parsed in steps.values() for s in parsed])
     hits = text.once(search_text(), lambda t: F.array_compact(F.array(*[F.when(predicate(s, by, t), F.lit(k)) for k, s in steps.items()])))
-    rough = text.once(F.lower(text.fold(_whole(()))), lambda t: F.exists(F.array(*[predicate(s, by, t, rough=True) for s in steps.values()]), lambda x: x))
+    rough = _roughly((), lambda low, t: F.exists(F.array(*[predicate(s, by, low, rough=t) for s in steps.values()]), lambda x: x))
     return _with_id(articles).where(rough).select(F.explode(hits).alias("keyword"), "article_id").distinct()
 
 
