@@ -20,18 +20,26 @@ hash is; null and blank fields are no text; an article without text is in docs o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import dealt
+from ..sources.shared import dealt, written
 from . import search as scan
 
 #: Words of 64 bits of the filter of replaced articles, at most.
 FILTER_WORDS = 1 << 20
+#: Bytes of texts that a task splits together.
+CHUNK = 1 << 22
+#: Ids of articles of several rows that are broadcast, at most.
+FEW = 100_000
 SHOWN = ["article_id", "title", "summary", "source", "link", "category", "published_date"]
 _POSTINGS = "token string, article_id string, positions array<int>, segment int, bucket int"
 _TOKENS = "token string, bucket int, df bigint, segment int"
@@ -42,27 +50,39 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _places(tokens: Column) -> Column:
-    """Each token of an article once, with its positions: sorted pairs, cut where the token changes (n log n steps)."""
-
-    def cut(pairs: Column) -> Column:
-        first = F.transform(pairs, lambda x, i: F.when((i == 0) | (F.get(pairs, i - 1)["token"] != x["token"]), i))
-
-        def group(starts: Column) -> Column:
-            size = lambda a, j: F.coalesce(F.get(starts, j + 1), F.size(pairs)) - a
-            places = lambda a, j: F.transform(F.slice(pairs, a + 1, size(a, j)), lambda x: x["at"])
-            return F.transform(starts, lambda a, j: F.struct(F.get(pairs, a)["token"].alias("token"), places(a, j).alias("positions")))
-
-        return text.once(F.array_compact(first), group)
-
-    return text.once(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at")))), cut)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of article_id and search form as token, article_id and positions, one row for each token of an article: about CHUNK bytes of text are split, numbered and sorted together."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK, "right")) - 1)
+            split = pc.split_pattern(texts.slice(a, b - a), " ")
+            row = np.repeat(np.arange(a, b), split.value_lengths().to_numpy(zero_copy_only=False))
+            some = pc.greater(pc.binary_length(split.flatten()), 0)
+            row, coded = row[some.to_numpy(zero_copy_only=False)], pc.dictionary_encode(split.flatten().filter(some))
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            key = row * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(order[first]))), ids.take(pa.array(row[order[first]])), positions], ["token", "article_id", "positions"])
+            a = b
 
 
 def _single(articles: DataFrame) -> DataFrame:
-    """Articles with an id, one row for each: the others of an id are found by narrow rows and taken out by a join on few."""
-    d = articles.where(F.coalesce("article_id", F.lit("")) != "").withColumn("_digest", F.xxhash64("title", "summary", "content"))
-    keys = d.groupBy("article_id").agg(F.min("_digest").alias("_digest"), F.max("_digest").alias("_most")).where("_digest < _most").select(F.col("article_id").alias("_id"), F.col("_digest").alias("_least"))
-    return d.join(keys, (F.col("article_id") == F.col("_id")) & (F.col("_digest") > F.col("_least")), "left_anti").drop("_digest")
+    """Articles with an id, one row for each. Ids alone tell which have several rows; whole rows are compared for these only, and no other row is dealt out."""
+    d = articles.where(F.coalesce("article_id", F.lit("")) != "")
+    several = written(d.groupBy("article_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("article_id").alias("_id")), "index-repeated")
+    n = several.count()
+    if not n:
+        return d
+    told = F.broadcast(several) if n <= FEW else dealt(several)
+    same = F.col("article_id") == F.col("_id")
+    row = F.struct(*[c for c in d.columns if c != "article_id"])
+    one = d.join(told, same, "left_semi").groupBy("article_id").agg(F.min_by(row, F.struct(F.xxhash64("title", "summary", "content"), row)).alias("d")).select("article_id", "d.*")
+    return d.join(told, same, "left_anti").unionByName(one)
 
 
 # ---- versions --------------------------------------------------------------------------------------------------
@@ -145,9 +165,9 @@ def _commit(spark: SparkSession, folder: str, segments: tuple[int, ...], buckets
 
 
 def _write(spark: SparkSession, folder: str, number: int, postings: DataFrame, docs: DataFrame, gone: DataFrame) -> None:
-    """A segment. Rebalanced by bucket: adaptive execution cuts the buckets of frequent tokens into several files."""
+    """A segment. Each task writes its own file of each bucket, so that postings, which are more than the texts, are not shuffled."""
     to = lambda d, name: d.write.mode("overwrite").parquet(f"{folder}/{name}/segment={number}")
-    by_bucket = postings.select("token", "article_id", "positions", "bucket").hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
+    by_bucket = postings.select("token", "article_id", "positions", "bucket").sortWithinPartitions("bucket", "token")
     by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={number}")
     read = spark.read.schema("token string, article_id string, positions array<int>, bucket int").parquet(f"{folder}/postings/segment={number}")
     to(read.groupBy("token", "bucket").agg(F.count(F.lit(1)).alias("df")), "tokens")
@@ -167,8 +187,7 @@ def add(articles: DataFrame, folder: str, buckets: int = 64) -> Index:
     d = _single(articles)
     missing = {c: F.lit(None).cast("string") for c in SHOWN if c not in d.columns}
     docs = d.withColumns(missing).select(*[F.col(c).cast("string").alias(c) for c in SHOWN], text.has_content(F.col("content")).alias("has_content"))
-    docs = docs.groupBy("article_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "article_id"])).alias("d")).select("article_id", "d.*")
-    entries = d.select("article_id", F.explode(_places(text.tokens(scan.search_text()))).alias("e")).select("e.token", "article_id", "e.positions")
+    entries = d.select("article_id", scan.search_text().alias("text")).mapInArrow(_postings, "token string, article_id string, positions array<int>")
     held = now.docs().select("article_id") if now and now.segments else docs.select("article_id").limit(0)
     gone = docs.select("article_id").join(held, "article_id", "left_semi")
     _write(spark, folder, number, entries.withColumn("bucket", _bucket(F.col("token"), buckets)), docs, gone)

@@ -113,3 +113,26 @@ def test_replaced_articles_by_a_filter(spark, tmp_path, monkeypatch):
         assert flagged >= {f"a{i}" for i in range(20)} and (words == 1 or len(flagged) < 40) and rest.where("segment = 2").count() == index.postings().where("segment = 2").count()
         merged = stored.merge(spark, folder)
         assert {r.token: r.df for r in merged.tokens().collect()}["alpha"] == 20
+
+
+def test_only_repeated_articles_and_no_posting_are_shuffled(spark, folder, monkeypatch):
+    """Whole rows are dealt out for articles of several rows only, a repeated row counts once, and segments are written as they are read."""
+    rows = [*random_rows(6, [f"a{i}" for i in range(30)]), ("r1", "apple pie", None, "x", "S1"), ("r1", "apple pie", None, "x", "S1"), ("r2", "apple", None, "x", "S1"), ("r2", "tart", None, "x", "S1")]
+    d = made(spark, rows)
+    plan = stored._single(made(spark, rows[:30]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    for few in (100_000, 0):
+        monkeypatch.setattr(stored, "FEW", few)
+        one = {r.article_id: r for r in stored._single(d).collect()}
+        assert len(one) == 32 == stored._single(d).count() and one["r2"].title in ("apple", "tart") and set(stored._single(d).columns) == set(d.columns)
+    kept = made(spark, [(i, r.title, r.summary, r.content, r.source) for i, r in one.items()])
+    monkeypatch.setattr(stored, "CHUNK", 40)
+    index = stored.add(d, folder, buckets=4)
+    assert {r.token: r.df for r in index.tokens().collect()} == {r.token: r.n for r in scan.postings(scan.indexed(kept)).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    want = {(t, i, tuple(at)) for i, s in scan.indexed(kept).select("article_id", "search_text").collect() for t in set(s.split()) for at in [[k for k, w in enumerate(s.split()) if w == t]]}
+    assert {(r.token, r.article_id, tuple(r.positions)) for r in index.postings().collect()} == want
+    written = []
+    monkeypatch.setattr(stored, "_write", lambda spark, folder, number, postings, docs, gone: written.append(postings))
+    monkeypatch.setattr(stored, "_commit", lambda *a: None)
+    stored.add(made(spark, rows[:30]), folder)
+    assert "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
