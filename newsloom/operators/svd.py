@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the matrix that are multiplied together: bounds a task's memory to as many rows of Q.
 ENTRIES = 1 << 14
+#: Cells of a block's own columns up to which it is multiplied as a dense matrix.
+CELLS = 1 << 21
 SLICES = 32
 _DDL = "slice int, salt int, part binary"
 
@@ -42,6 +44,23 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
+def _packed(columns, values, row, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The columns that a block of rows has, and the block over these alone; None where that would be large."""
+    of, at = np.unique(columns, return_inverse=True)
+    if n * len(of) > CELLS:
+        return None
+    return of, np.bincount(row * len(of) + at, values, n * len(of)).reshape(n, len(of))
+
+
+def _gram(columns, values, row, n: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns, and their rows of X'(Xq) for a block X."""
+    packed = _packed(columns, values, row, n)
+    if packed is None:
+        return _summed(columns, values[:, None] * _times(columns, values, row, n, q)[row])
+    of, x = packed
+    return of, x.T @ (x @ q[of])
+
+
 def _times(columns, values, row, n: int, q: np.ndarray) -> np.ndarray:
     """A block of rows times q."""
     out = np.zeros((n, q.shape[1]))
@@ -61,9 +80,8 @@ def gram_times(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
         held, q = np.zeros((width, k)), sent.value
         for batch in batches:
             for columns, values, row, n in _row_blocks(batch):
-                y = _times(columns, values, row, n, q)
                 if len(columns):
-                    of, sums = _summed(columns, values[:, None] * y[row])
+                    of, sums = _gram(columns, values, row, n, q)
                     held[of] += sums
         salt = int.from_bytes(np.random.default_rng().bytes(2))  # which partial sums meet first does not matter
         for i in range(SLICES):

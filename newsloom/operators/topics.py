@@ -27,14 +27,27 @@ def grams(docs: DataFrame, column: str, key: str) -> DataFrame:
     return d.select(key, F.concat("words", text.ngrams(F.col("words"), 2)).alias("grams"))
 
 
-def vocabulary(found: DataFrame, most: int = 20_000, min_df: int = 2) -> DataFrame:
-    """term, df and place (from 0 by term): of the terms in `min_df` texts or more the `most` that occur most often."""
-    counted = F.concat(
-        F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+def vocabulary(found: DataFrame, most: int = 20_000, min_df: int = 2, cells: int = 1 << 20) -> DataFrame:
+    """term, df and place (from 0 by term): of the terms in `min_df` texts or more the `most` that occur most often.
+
+    Words are counted by name. Pairs, most of which are rare, are counted first by the cell of their hash only, and by name in cells
+    that reach what the word in the last place has: no other pair can be among the first. With fewer words all pairs are counted.
+    """
+    pair = lambda g: F.contains(g, F.lit(" "))
+    cell = lambda g: F.pmod(F.xxhash64(g), F.lit(cells)).cast("int")
+    each = lambda g: F.concat(
+        F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
     )
-    totals = found.select(F.inline(counted)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
-    top = totals.orderBy(F.col("tf").desc(), "term").limit(most)
+    totals = lambda d: d.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
+    words = written(totals(found.select(F.inline(each(F.filter("grams", lambda g: ~pair(g)))))), "topic-words")
+    least = words.orderBy(F.col("tf").desc()).limit(most).agg(F.count(F.lit(1)).alias("k"), F.min("tf").alias("tf")).first()
+    pairs = F.filter("grams", pair)
+    counted = found.select(F.inline(each(pairs)))
+    if least.k == most:
+        full = found.select(F.explode(F.transform(pairs, cell)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least.tf)
+        counted = counted.withColumn("cell", cell(F.col("term"))).join(F.broadcast(written(full.select("cell"), "topic-cells")), "cell", "left_semi")
+    top = words.unionByName(totals(counted)).orderBy(F.col("tf").desc(), "term").limit(most)
     return top.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"))
 
 
