@@ -6,9 +6,10 @@ corpus in rank order, one rank at a time: the places of its pairs are taken from
 together, and only the two neighbours of each place are looked up again and go to the index under their new pairs.
 Words that share a pair share the work of finding it; nothing is scanned twice.
 
-A text is cut at single spaces between words first (where the pre-token pattern cuts too), so that the store,
-bounded in size, holds what each such piece encodes to; a text in which a space stands between white space goes
-through the pattern as a whole.
+Texts are cut first where bytes show that the pre-token pattern cuts too (`KNOWN`; by any other pattern they are
+matched whole). The distinct pieces of a block are found as a column, and so are the ids that they give and, from these, those of
+each text: no step goes over the words of the texts one by one. A store bounded in size holds the latest pieces with
+their ids; only pieces that it does not hold go through the pattern and are merged.
 
 Cases: null and empty texts give no ids. Where a merge makes a pair of a rank as low as its own, the word's places to
 the right of it wait until that pair is merged, as one word alone would be encoded. Repeated rows are encoded each; other columns are ignored. Ids that
@@ -21,20 +22,27 @@ import base64
 import gc
 import hashlib
 import heapq
-import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .token_counts import Store
 
-#: A space beside other white space on both sides (or at the end): no place to cut.
+#: The pattern by which `_pieces` cuts: letters, digits and other characters in runs, each with a space before it or none.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of bytes: a letter, a digit, a sign, or 0 for all that need a closer look (apostrophes may begin a match of letters).
+KINDS = np.array([(33 <= b < 127 and b != 39) * (1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3) for b in range(256)], np.uint8)
+#: The id of a pair that makes nothing.
 NONE = np.int32(2**31 - 1)
-_BETWEEN = re.compile(r"\s (?:\s|$)")
+#: Pre-tokens that are merged together at once, in bytes.
+BLOCK = 2 << 20
+#: A piece of more bytes is not held in the store.
+LONG = 256
 
 
 class PairTable:
@@ -146,27 +154,30 @@ class Ranks:
                     token, rank = line.split()
                     self.ids[base64.b64decode(token)] = int(rank)
         self.bytes = {i: t for t, i in self.ids.items()}
-        self.text = {i: b" %d" % i for i in self.bytes}
-        self.lengths = np.zeros((2, max(self.bytes) + 1), np.int64)  # of the ids in decimal with a space, and of the bytes
-        for i, t in self.bytes.items():
-            self.lengths[:, i] = len(self.text[i]), len(t)
+        every = range(max(self.bytes) + 1)
+        #: By id: in decimal with a space before, and the bytes.
+        self.spelled = [pa.array([b" %d" % i for i in every], pa.large_binary()), pa.array([self.bytes.get(i, b"") for i in every], pa.large_binary())]
         self.first = np.array([self.ids[bytes([i])] for i in range(256)], np.int32)
-        self.cut = regex.compile(pattern).findall
+        self.cut, self.known = regex.compile(pattern).findall, pattern == KNOWN
         n, ids, pairs = max(self.bytes) + 1, self.ids, {}
         for token, made in ids.items():
             for k in range(1, len(token)):
                 if (x := ids.get(token[:k])) is not None and (y := ids.get(token[k:])) is not None:
                     pairs[x * n + y] = made
         self.pair = PairTable(pairs, n)
+        #: Ids that are in a pair of a rank as low as their own.
+        self.low = np.zeros(n, bool)
+        keys, made = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        for part in np.divmod(keys, n):
+            self.low[part[made <= part]] = True
         self.pairs, self.n = pairs, n
 
-    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words, one word after the other, and how many each has: all merges of the block, in rank order."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+    def replay(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of these sizes in bytes, one word after the other, and how many each has: all merges of the block, in rank order."""
+        sym = self.first[data]
         total = len(sym)
         ends = np.cumsum(size)
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(size)), size)
         after = np.arange(1, total + 1)
         after[ends[size > 0] - 1] = -1
         before = np.arange(-1, total - 1)
@@ -183,7 +194,7 @@ class Ranks:
             else:
                 self._merge_many(r, places, sym, after, before, rank, word, index)
         left = sym >= 0
-        return sym[left], np.bincount(word[left], minlength=len(words))
+        return sym[left], np.bincount(word[left], minlength=len(size))
 
     def _merge_many(self, r, places, sym, after, before, rank, word, index) -> None:
         """One rank's places of all words at once."""
@@ -197,12 +208,12 @@ class Ranks:
         p = p[(np.arange(len(p)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(p)]])))) % 2 == 0]
         q, left = after[p], before[p]
         right = after[q]
-        # the pairs that each makes when it comes, those left of it done and those right of it not
-        joined = np.concatenate([[False], q[:-1] == left[1:]])
-        l, m = left >= 0, right >= 0
         lower = np.zeros(len(p), bool)
-        lower[l] = self.pair(np.where(joined[l], r, sym[left[l]]), np.full(l.sum(), r)) <= r
-        lower[m] |= self.pair(np.full(m.sum(), r), sym[right[m]]) <= r
+        if self.low[r]:  # the pairs that each makes when it comes, those left of it done and those right of it not
+            joined = np.concatenate([[False], q[:-1] == left[1:]])
+            l, m = left >= 0, right >= 0
+            lower[l] = self.pair(np.where(joined[l], r, sym[left[l]]), np.full(l.sum(), r)) <= r
+            lower[m] |= self.pair(np.full(m.sum(), r), sym[right[m]]) <= r
         if lower.any():  # the word's places after such a pair wait
             w = word[p]
             firsts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
@@ -253,81 +264,176 @@ class Ranks:
                         held = word_[p]
 
     def encode(self, text: str) -> list[int]:
-        return self.replay([w.encode("utf-8", "surrogatepass") for w in self.cut(text)])[0].tolist()
+        words = [w.encode("utf-8", "surrogatepass") for w in self.cut(text)]
+        return self.replay(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """The ids of each text, `ends` of them at its end, in decimal (a space before each) and as the bytes they decode to."""
+        out = []
+        for table in self.spelled:
+            parts, lengths = [], pc.binary_length(table).to_numpy()
+            for at in range(0, len(ids), 1 << 20):
+                parts.append(_columns(table.take(pa.array(ids[at : at + (1 << 20)])))[1])
+            whole = b"".join(parts)
+            at = np.concatenate([[0], np.cumsum(lengths[ids])])[ends].tolist()
+            out.append([whole[x:y] for x, y in zip([0, *at], at, strict=False)])
+        return out[0], out[1]
+
+
+def _columns(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of an array of large strings: where each begins and the last ends, and the bytes."""
+    _, at, data = strings.buffers()
+    at = np.frombuffer(at, np.int64)[strings.offset : strings.offset + len(strings) + 1] if at else np.zeros(1, np.int64)
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pa.array(values, pa.int32()))
+
+
+def _sizes(lists: pa.LargeListArray) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+class Store:
+    """The ids of the byte strings that were asked for last, `most` at most, in columns."""
+
+    def __init__(self, most: int):
+        self.most, self.keys, self.ids = most, pa.array([], pa.large_binary()), pa.array([], pa.large_list(pa.int32()))
+
+    def ask(self, keys: pa.LargeBinaryArray, make: Callable[[pa.LargeBinaryArray], pa.LargeListArray]) -> pa.LargeListArray:
+        """The ids of distinct keys; `make` makes those that are not held."""
+        place = pc.index_in(keys, value_set=self.keys)
+        new = place.is_null()
+        made = make(keys.filter(new))
+        new, place = new.to_numpy(zero_copy_only=False), place.fill_null(0).to_numpy().astype(np.int64)
+        old = np.ones(len(self.keys), bool)
+        old[place[~new]] = False
+        place[new] = len(self.ids) + np.arange(len(made))
+        out = pa.concat_arrays([self.ids, made]).take(pa.array(place))
+        now = pa.array(np.flatnonzero(pc.binary_length(keys).to_numpy() <= LONG)[: self.most])
+        old = pa.array(np.flatnonzero(old)[: self.most - len(now)])
+        self.keys = pa.concat_arrays([keys.take(now), self.keys.take(old)])
+        self.ids = pa.concat_arrays([out.take(now), self.ids.take(old)])
+        return out
+
+
+def _merged(words: pa.LargeBinaryArray, ranks: Ranks) -> pa.LargeListArray:
+    """The ids of pre-tokens, merged in blocks of about so many bytes."""
+    at, data = _columns(words)
+    size, ids, sizes = np.diff(at), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    first = 0
+    while first < len(size):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
+        i, n = ranks.replay(data[at[first] : at[end]], size[first:end])
+        ids.append(i)
+        sizes.append(n)
+        first = end
+    return _lists(np.concatenate(ids), np.concatenate(sizes))
 
-def _cut(pieces: list[str], ranks: Ranks) -> tuple[list[str], np.ndarray]:
-    """The pre-tokens of all pieces, one piece after the other, and how many each has.
 
-    Pieces without a line feed and without white space at their ends (but one space before) are cut in one pass,
+def _encoded(pieces: pa.LargeBinaryArray, ranks: Ranks) -> pa.LargeListArray:
+    """The ids of pieces, by those of their distinct pre-tokens.
+
+    Pieces without a line feed and without white space at their ends (but one space before) are matched in one pass,
     a line feed between them: there it is always a match of its own.
     """
-    plain = [("\n" not in p) and len(p) > 0 and not p[-1].isspace() and not p[p[0] == " "].isspace() for p in pieces]
-    tokens = ranks.cut("\n".join([p for p, x in zip(pieces, plain, strict=True) if x]))
-    if all(plain):
-        ends = np.flatnonzero(np.fromiter([t == "\n" for t in tokens], bool, len(tokens)))
-        n = np.diff(np.concatenate([[-1], ends, [len(tokens)]])) - 1
-        return [t for t in tokens if t != "\n"], n[: len(pieces)]
-    out, n, run, rest = [], [], iter(tokens), len(tokens)
-    for p, x in zip(pieces, plain, strict=True):
-        had = len(out)
-        if x:
-            for t in run:
-                if t == "\n":
-                    break
-                out.append(t)
-        else:
-            out += ranks.cut(p)
-        n.append(len(out) - had)
-    return out, np.array(n, np.int64)
-
-
-def encode_pieces(pieces: list[str], ranks: Ranks) -> list[tuple[int, bytes, bytes]]:
-    """For each piece of text: number of ids, the ids in decimal (a space before each), the bytes they decode to. The distinct pre-tokens of all pieces are replayed together."""
-    pieces_n = len(pieces)
-    tokens, n = _cut(pieces, ranks)
-    number: dict[str, int] = {}
-    which = np.fromiter([number.setdefault(t, len(number)) for t in tokens], np.int64, len(tokens))
-    ids, sizes = ranks.replay([w.encode("utf-8", "surrogatepass") for w in number])
-    # each token's ids in place of the token
-    size = sizes[which] if len(which) else which
-    firsts = (np.cumsum(sizes) - sizes)[which] if len(which) else which
-    flat = ids[np.repeat(firsts - (np.cumsum(size) - size), size) + np.arange(size.sum())] if len(which) else ids[:0]
-    piece = np.repeat(np.repeat(np.arange(pieces_n), n), size)
-    held = [np.bincount(piece, minlength=pieces_n).tolist()]
-    listed = flat.tolist()
-    for table, lengths in zip((ranks.text, ranks.bytes), ranks.lengths, strict=True):
-        whole = b"".join(map(table.__getitem__, listed))
-        ends = np.cumsum(np.bincount(piece, lengths[flat], pieces_n)).astype(np.int64).tolist()
-        held.append([whole[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-    return list(zip(*held, strict=True))
-
-
-def _pieces(text: str) -> list[str]:
-    if _BETWEEN.search(text) or text.startswith(" "):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
-
-
-def encode_texts(texts: list[str | None], ranks: Ranks, store: Store):
+    plain = _plain(*_columns(pieces)) if ranks.known else np.zeros(len(pieces), bool)
+    rest, tokens, n = np.flatnonzero(~plain), [], []
+    for p in pieces.take(pa.array(rest)).cast(pa.large_string()).to_pylist():
+        found = ranks.cut(p)
+        tokens += found
+        n.append(len(found))
+    n_rest, run = len(tokens), np.flatnonzero(plain)
+    if len(run):
+        tokens += ranks.cut("\n".join(pieces.take(pa.array(run)).cast(pa.large_string()).to_pylist()))
+    tokens = pa.array(tokens, pa.large_string()).cast(pa.large_binary()).dictionary_encode()
+    codes = tokens.indices.to_numpy()
+    between = codes == pc.index(tokens.dictionary, b"\n").as_py()
+    between[:n_rest] = False
+    ends = np.append(np.flatnonzero(between), len(codes)) - np.arange(1, len(run) + 1) + 1 if len(run) else np.zeros(0, np.int64)
+    ids = _merged(tokens.dictionary, ranks).take(pa.array(codes[~between]))
+    ends = np.concatenate([[0], np.cumsum(_sizes(ids))])[np.concatenate([np.cumsum(n, dtype=np.int64), ends])]
+    place = np.empty(len(pieces), np.int64)
+    place[np.concatenate([rest, run])] = np.arange(len(pieces))
+    return _lists(ids.flatten().to_numpy(), np.diff(ends, prepend=0)).take(pa.array(place))
+
+
+def _space_before(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before these places may be white space."""
+    one, two, three = padded[at - 1], padded[at - 2], padded[at - 3]
+    return (one <= 0x20) | (one > 0x7F) & ((two == 0xC2) | _wide(three, two))
+
+
+def _space_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that begins at these places may be white space."""
+    one, two = padded[at], padded[at + 1]
+    return (one <= 0x20) | (one == 0xC2) | _wide(one, two)
+
+
+def _wide(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.isin(one.astype(np.uint16) << 8 | two, [0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380])
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    """With three line feeds on both sides, so that white space is around all."""
+    return np.concatenate([np.full(3, 10, np.uint8), data, np.full(3, 10, np.uint8)])
+
+
+def _plain(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which pieces have no line feed, and no white space at their ends but one space before."""
+    if not len(at) - 1:
+        return np.zeros(0, bool)
+    feeds, padded = np.concatenate([[0], np.cumsum(data == 10)]), _padded(data)
+    first, end = at[:-1] + 3, at[1:] + 3
+    first = first + (padded[first] == 0x20)
+    return (feeds[at[1:]] == feeds[at[:-1]]) & (first < end) & ~_space_at(padded, np.minimum(first, end - 1)) & ~_space_before(padded, end)
+
+
+def _pieces(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts, which begin at these places of the data (the last ends there), are cut, and the place of each among the cuts.
+
+    The pattern `KNOWN` cuts between letters, digits and signs; before a space if a character other than white space stands before
+    or after it (then the white space before the space, if any, is a match of its own); before a line feed if such a character or nothing stands
+    before it, and then also after it if such a character stands there.
+    """
+    kind = KINDS[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at] = True
+    padded = _padded(data)
+    spaces = np.flatnonzero(data == 0x20)
+    spaces = spaces[~begins[spaces]]
+    cut[spaces] = True
+    spaces = spaces[_space_before(padded, spaces + 3)]  # few
+    cut[spaces[begins[spaces + 1] | _space_at(padded, spaces + 4)]] = False
+    feeds = np.flatnonzero(data == 10)
+    feeds = feeds[begins[feeds] | ~_space_before(padded, feeds + 3)]
+    cut[feeds] = True
+    cut[feeds[~_space_at(padded, feeds + 4)] + 1] = True
+    cut |= begins
+    bounds = np.flatnonzero(cut)
+    return bounds, np.searchsorted(bounds, at)
+
+
+def encode_texts(texts: list[str | None] | pa.Array, ranks: Ranks, store: Store):
     """For each text: number of ids, the ids in decimal joined by a space, and the bytes they decode to."""
-    cut = [_pieces(t or "") for t in texts]
-    everything = set()
-    everything.update(*cut)
-    store.turn()
-    missing = store.missing(everything)
-    missing.sort()
-    for at in range(0, len(missing), 50_000):
-        part = missing[at : at + 50_000]
-        store.new.update(zip(part, encode_pieces(part, ranks), strict=True))
-    get = store.new.__getitem__
-    for pieces in cut:
-        found = list(map(get, pieces))
-        yield sum([x[0] for x in found]), b"".join([x[1] for x in found])[1:], b"".join([x[2] for x in found])
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    at, data = _columns(texts.fill_null(""))
+    if not len(data):
+        yield from ((0, b"", b"") for _ in range(len(texts)))
+        return
+    bounds, before = _pieces(at, data) if ranks.known else np.unique(at, return_inverse=True)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    ids = store.ask(pieces.dictionary, lambda new: _encoded(new, ranks)).take(pieces.indices)
+    ends = np.concatenate([[0], np.cumsum(_sizes(ids))])[before]
+    decimal, decoded = ranks.spell(ids.flatten().to_numpy(), ends[1:])
+    for n, i, d in zip(np.diff(ends).tolist(), decimal, decoded, strict=True):
+        yield n, i[1:], d
 
 
 _ranks: dict[tuple[str, str], Ranks] = {}
@@ -339,7 +445,7 @@ def _load(path: str, pattern: str) -> Ranks:
     return _ranks[path, pattern]
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int = 40_000, with_ids: bool = False) -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int = 300_000, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row; ids too if `with_ids`. ranks_path: a file that every executor has."""
     C.small_batches(documents.sparkSession)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
@@ -351,8 +457,8 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, store_size: int
         try:
             for batch in batches:
                 rows: list[tuple] = []
-                for first, end in C.slices(batch.column(1), 2 << 20):
-                    for n, ids, decoded in encode_texts(batch.column(1).slice(first, end - first).to_pylist(), ranks, store):
+                for first, end in C.slices(batch.column(1), 4 << 20):
+                    for n, ids, decoded in encode_texts(batch.column(1).slice(first, end - first), ranks, store):
                         rows.append((n, sha(ids).hexdigest(), sha(decoded).hexdigest()) + (([int(i) for i in ids.split()],) if with_ids else ()))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]

@@ -99,3 +99,53 @@ def test_rows_nobody_wants(spark):
     back = {(x.doc_id, bytes(x.data)) for x in bpe.decode(enc, RANKS, P.PATTERN).collect()}
     assert back == {(1, b""), (None, b""), (2, b"a b")}
     assert token_counts.with_token_counts(d.limit(0), PIECES).count() == bpe.encode(d.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+SPACES = [" ", "  ", "   ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b"]
+SIGNS = [".", ",", "'", "''", "'s", "'ll", "!'s", "_", "(", "—", "“", "”", "…", "«", "´", "²", "½", "€", "|", "\x00", "\x7f", "\u0301"]
+LETTERS = ["a", "the", "Ab", "s", "t", "é", "Ü", "ß", "я", "日本", "ひ", "한", "ế", "ვ", "ª", "ⅷ", "7", "42", "٣", "😀"]
+
+
+def test_cuts_by_bytes_equal_the_pattern(tiktoken_encoding):
+    """All kinds of white space, signs, letters and digits beside each other, in slices and stores of any size."""
+    import pyarrow as pa
+
+    draw = random.Random(11)
+    ts = ["".join(draw.choice(draw.choice([SPACES, SIGNS, LETTERS])) for _ in range(draw.randint(0, 25))) for _ in range(4000)]
+    ts += [a + b + c for a in SPACES + SIGNS + LETTERS for b in (" ", "\n") for c in SPACES + SIGNS + LETTERS]
+    want = [tiktoken_encoding.encode_ordinary(t) for t in ts]
+    ranks = bpe.Ranks(RANKS, P.PATTERN)
+    assert ranks.known
+    for most, step in ((0, 700), (50, 700), (10**6, 100), (10**6, len(ts))):
+        store, got = bpe.Store(most), []
+        for at in range(0, len(ts), step):
+            got += bpe.encode_texts(pa.array([None, *ts])[1:].slice(at, step), ranks, store)
+            assert len(store.keys) == len(store.ids) <= most
+        for t, ids, (n, decimal, data) in zip(ts, want, got, strict=True):
+            assert (n, decimal.decode(), data) == (len(ids), " ".join(map(str, ids)), t.encode()), t
+
+
+def test_words_held_are_neither_matched_nor_merged_again(monkeypatch, tiktoken_encoding):
+    """Words known from other places, beside other signs, cost no work on their characters: that was most of the time of a large table."""
+    ranks, store = bpe.Ranks(RANKS, P.PATTERN), bpe.Store(1000)
+    words, signs = ["alonreth", "inthelle", "schungen", "2048"], [",", ".", ";", "!!", "|", "\n", "***"]
+    list(bpe.encode_texts([w for w in words] + [" " + w for w in words] + signs, ranks, store))
+    matched, merged = [], []
+    cut, replay = ranks.cut, ranks.replay
+    monkeypatch.setattr(ranks, "cut", lambda t: matched.append(t) or cut(t))
+    monkeypatch.setattr(ranks, "replay", lambda *x: merged.append(x) or replay(*x))
+    draw = random.Random(3)
+    ts = ["".join(draw.choice(["", " "]) + draw.choice(words) + draw.choice(signs) for _ in range(200)) for _ in range(20)]
+    assert [x[1].decode() for x in bpe.encode_texts(ts, ranks, store)] == [" ".join(map(str, tiktoken_encoding.encode_ordinary(t))) for t in ts]
+    assert not matched and not merged
+
+
+def test_other_patterns_match_whole_texts():
+    import tiktoken
+
+    pattern = r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+    held = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=held, special_tokens={})
+    ranks, ts = bpe.Ranks(RANKS, pattern), texts() + ["(the end).\nThe end", "a. b.\n\nc 1234567 (d"]
+    for t, (n, ids, data) in zip(ts, bpe.encode_texts(ts, ranks, bpe.Store(100)), strict=True):
+        assert (ids.decode(), data) == (" ".join(map(str, library.encode_ordinary(t))), t.encode()), t
